@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fold_of, text_of
+from ._common import fold_of, materialize, text_of
 
 BUCKETS, MAX_ROWS, MAX_TERMS, MIN_Z, FACTORS = 1 << 20, 40_000, 2_048, 4.0, 8
 THRESHOLD = 0.7
@@ -57,23 +57,15 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
     @staticmethod
-    def train(samples: list[tuple[list[int], float]], max_terms: int = MAX_TERMS, min_z: float = MIN_Z, factors: int = FACTORS,
+    def train(chosen: np.ndarray, samples: list[tuple[np.ndarray, float]], factors: int = FACTORS,
               epochs: int = 40, rate: float = 0.1, l1: float = 1e-4, l2: float = 1e-3) -> FactorizationMachine:
-        """samples: distinct buckets and label of each text."""
+        """chosen: the buckets of the model. samples: of each text, its places in chosen and its label."""
         if not samples:
             return FactorizationMachine({}, -35.0, np.zeros(0), np.zeros((0, factors)))
         y = np.array([label for _, label in samples])
-        flat = np.concatenate([np.asarray(b, np.int64) for b, _ in samples] or [np.zeros(0, np.int64)])
-        owner = np.repeat(np.arange(len(samples)), [len(b) for b, _ in samples])
         n1, n0 = max(y.sum(), 1e-9), max((1 - y).sum(), 1e-9)
-        in1, all_ = np.bincount(flat, y[owner], BUCKETS), np.bincount(flat, minlength=BUCKETS)
-        p = all_ / len(y)
-        z = (in1 / n1 - (all_ - in1) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-        ok = np.flatnonzero((np.abs(z) >= min_z) & (all_ >= 5))
-        chosen = np.sort(ok[np.lexsort((ok, -np.abs(z[ok])))][:max_terms])
-        at = np.searchsorted(chosen, flat)
-        hit = (at < len(chosen)) & (chosen[np.minimum(at, max(len(chosen) - 1, 0))] == flat) if len(chosen) else np.zeros(len(flat), bool)
-        cols, owner = at[hit], owner[hit]
+        cols = np.concatenate([np.asarray(r, np.int64) for r, _ in samples])
+        owner = np.repeat(np.arange(len(samples)), [len(r) for r, _ in samples])
         ends = np.searchsorted(owner, np.arange(len(y) + 1))
         rng = np.random.default_rng(7)
         w, v, w0 = np.zeros(len(chosen)), rng.normal(0, 0.02, (len(chosen), factors)), float(np.log(n1 / n0))
@@ -107,8 +99,8 @@ class FactorizationMachine:
         return FactorizationMachine({int(b): i for i, b in enumerate(chosen)}, w0, w, v)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[list[int], float]]:
-    """Buckets and mean label of at most max_rows different labelled texts of the rows in `learn`."""
+def training_sample(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """x, y, b: hash, mean label and distinct buckets of at most max_rows different labelled texts of the rows in `learn`."""
     text = text_of(text_col)
     narrow = docs.where(learn).select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_x"))
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.avg(label_col).alias("_y"))
@@ -122,12 +114,35 @@ def training_sample(docs: DataFrame, labels: DataFrame, learn: Column, max_rows:
             for x, y, t in zip(*(batch.column(c).to_pylist() for c in ("_x", "_y", "_text")), strict=True):
                 if x not in seen:
                     seen.add(x)
-                    out.append((x, y, np.array(sorted({bucket(x) for w in words_of(t) for x in terms_of(w)}), "<i4").tobytes()))
+                    out.append((x, y, sorted({bucket(z) for w in words_of(t) for z in terms_of(w)})))
             xs, ys, bs = zip(*out, strict=True) if out else ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.float64()), pa.array(bs, pa.binary())], names=["x", "y", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.float64()), pa.array(bs, pa.list_(pa.int32()))], names=["x", "y", "b"])
 
-    rows = texts.mapInArrow(features, "x long, y double, b binary").dropDuplicates(["x"]).collect()
-    return [(np.frombuffer(r["b"], "<i4"), r["y"]) for r in sorted(rows, key=lambda r: r["x"])]
+    return materialize(texts.mapInArrow(features, "x long, y double, b array<int>").dropDuplicates(["x"]), "toxicity-sample")
+
+
+def choose_terms(sample: DataFrame, max_terms: int = MAX_TERMS, min_z: float = MIN_Z) -> np.ndarray:
+    """The buckets whose share among toxic samples differs most, in standard errors, from that among the others."""
+    n, n1 = sample.agg(F.count("y"), F.sum("y")).first()
+    if not n or not 0 < n1 < n:
+        return np.zeros(0, np.int64)
+    counts = sample.select("y", F.explode("b").alias("t")).groupBy("t").agg(F.count("y").alias("a"), F.sum("y").alias("p")).where("a >= 5")
+    share = F.col("a") / F.lit(float(n))
+    z = F.abs(F.col("p") / n1 - (F.col("a") - F.col("p")) / (n - n1)) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / n1 + 1 / (n - n1)))
+    top = counts.withColumn("z", z).where(F.col("z") >= min_z).orderBy(F.desc("z"), "t").limit(max_terms).collect()
+    return np.array(sorted(r["t"] for r in top), np.int64)
+
+
+def places_in(sample: DataFrame, chosen: np.ndarray) -> list[tuple[np.ndarray, float]]:
+    """Of each sample, the places in chosen and the label; in the order of the hashes."""
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [np.flatnonzero(np.isin(chosen, b)).astype("<i2").tobytes() for b in batch.column("b").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(at, pa.binary())], names=["x", "y", "at"])
+
+    rows = sample.mapInArrow(select, "x long, y double, at binary").collect()
+    return [(np.frombuffer(r["at"], "<i2"), r["y"]) for r in sorted(rows, key=lambda r: r["x"])]
 
 
 _CACHE = 200_000
@@ -165,7 +180,9 @@ def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", **options) -> FactorizationMachine:
-    return FactorizationMachine.train(training_sample(docs, labels, F.lit(True) if learn is None else learn, id_col=id_col), **options)
+    sample = training_sample(docs, labels, F.lit(True) if learn is None else learn, id_col=id_col)
+    chosen = choose_terms(sample)
+    return FactorizationMachine.train(chosen, places_in(sample, chosen), **options)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
