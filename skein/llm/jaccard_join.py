@@ -2,15 +2,18 @@
 
 1. Every n-gram is a 64-bit hash. All documents share one global order of n-grams: those outside a bounded list of the
    most frequent ones first (by hash), then the listed ones, rarest first. Two sets with similarity of `percent` or more
-   share an n-gram among the first |set| - ceil(percent * |set|) + 1 of each. The list is counted over all documents; it only
-   makes the search cheaper, any order gives the same links.
-2. Equal sets become one class. Classes that share a prefix n-gram meet in the group of the smallest class with that n-gram.
+   share k n-grams among the first |set| - ceil(percent * |set|) + k of each; k grows with the set. The list is counted over all
+   documents; it only makes the search cheaper, any order gives the same links.
+2. Prefix n-grams of two or more different sets are found by one aggregation, and marked in a bit table of fixed size. A set
+   goes on if at least the k of the smallest set it may link with of its prefix n-grams are marked. (A bit that stands for
+   several n-grams lets more sets through, never fewer.)
+3. Equal sets become one class. Classes that share a prefix n-gram meet in the group of the smallest class with that n-gram.
    A group of more than `block` classes or `block_grams` n-grams is dealt into blocks, and each pair of blocks is a task.
-3. In a task, sets are stored in a trie (most frequent n-gram of the group first), and each set is run through the trie of
+4. In a task, sets are stored in a trie (most frequent n-gram of the group first), and each set is run through the trie of
    those before it: the overlap of a shared beginning is counted once, a subtree goes when the sizes or the remaining
    lengths can't reach the threshold, or when all of it is already in the set's own component. Hence a group of near
    copies costs one descent a set and gives one edge a set, never all pairs.
-4. Components of the edges, in rounds over tables.
+5. Components of the edges, in rounds over tables.
 
 Edge cases: null, empty and blank texts have no n-grams, no links, and are their own component; a text with fewer than n
 words is one n-gram; repeated rows and ids are rows of their own with the component of their text; null ids are ignored
@@ -34,6 +37,12 @@ from .components import components
 N, PERCENT = 5, 80
 FREQUENT, PER_TASK, FLUSH = 131_072, 20_000, 4_000_000
 BLOCK, BLOCK_GRAMS = 4_096, 4_000_000
+BITS = 27  # of the bit tables: 2 ** BITS bits
+
+
+def least_shared(size):
+    """k for a set of that size."""
+    return 1 + size // 25
 
 
 def gram_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -99,16 +108,17 @@ def _prefixes(df: DataFrame, frequent, n: int, percent: int) -> DataFrame:
                 else:
                     rank = np.full(len(flat), -1)
                 ends = np.cumsum(sizes)
-                keep = np.where(sizes > 0, sizes - -(-percent * sizes // 100) + 1, 0)
+                keep = np.where(sizes > 0, np.minimum(sizes, sizes - -(-percent * sizes // 100) + least_shared(sizes)), 0)
                 prefixes, marks = [], np.zeros(len(sets), np.int64)
                 for i, (e, s, k) in enumerate(zip(ends.tolist(), sizes.tolist(), keep.tolist(), strict=True)):
                     r = rank[e - s : e]
                     prefixes.append(sets[i][np.argsort(r, kind="stable")[:k]] if (r >= 0).any() else sets[i][:k])
                     if s:
                         marks[i] = mix64(mix64(sets[i].view(np.uint64)).sum(keepdims=True) + np.uint64(s)).view(np.int64)[0]
+                flat = np.concatenate(prefixes) if prefixes else flat
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("_id").slice(begin, len(texts)), batch.column("_tk").slice(begin, len(texts)), pa.array(sizes), pa.array(marks, mask=sizes == 0),
-                     list_array(np.concatenate(prefixes) if prefixes else flat, keep, pa.int64())], names=["_id", "_tk", "_n", "_sk", "_prefix"])
+                     list_array(flat, keep, pa.int64())], names=["_id", "_tk", "_n", "_sk", "_prefix"])
 
     with_key = df.select("_id", F.xxhash64("_text").alias("_tk"), "_text")
     return with_key.mapInArrow(run, f"_id {kind}, _tk long, _n long, _sk long, _prefix array<long>")
@@ -207,18 +217,60 @@ def group_edges(keys: np.ndarray, sets: list[np.ndarray], sides: list[int] | Non
     return [(own[i], own[r]) for i in range(len(own)) if (r := trie.find(i)) != i]
 
 
+def _bit_table(df: DataFrame, column: str) -> np.ndarray:
+    """A table of 2 ** BITS bits; those of the values of the column are set."""
+    place = F.col(column).bitwiseAND((1 << BITS) - 1)
+    words = df.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({column} & 63 as int))")).alias("b")).toArrow()
+    table = np.zeros(1 << (BITS - 6), np.int64)
+    table[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return table.view(np.uint8)
+
+
+def _marked(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    place = values & ((1 << BITS) - 1)
+    return (table[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+
+
 def _links(df: DataFrame, sets: DataFrame, n: int, percent: int, block: int, block_grams: int) -> DataFrame:
     """Edges (a, b) between set hashes."""
-    classes = sets.where("_n > 0").groupBy("_sk").agg(F.first("_prefix").alias("_prefix"), F.first("_n").alias("_n"), F.min("_tk").alias("_tk"))
-    postings = classes.select("_sk", "_n", "_tk", F.explode("_prefix").alias("_g"))
+    spark = df.sparkSession
+    several = sets.where("_n > 0").select("_sk", F.explode("_prefix").alias("_g")).groupBy("_g").agg(F.min("_sk").alias("x"), F.max("_sk").alias("y")).where("x < y")
+    shared = spark.sparkContext.broadcast(_bit_table(several, "_g"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, prefixes = batch.column("_n").to_numpy(), batch.column("_prefix")
+            flat, ends = prefixes.flatten().to_numpy(), np.cumsum(prefixes.value_lengths().to_numpy())
+            owner = np.repeat(np.arange(len(sizes)), prefixes.value_lengths().to_numpy())
+            on = _marked(shared.value, flat) if len(ends) else np.zeros(0, bool)
+            held = np.bincount(owner[on], minlength=len(sizes))
+            stay = held >= least_shared(percent * sizes // 100)
+            on &= stay[owner]
+            rest = batch.filter(pa.array(stay))
+            yield pa.RecordBatch.from_arrays([rest.column(c) for c in ("_sk", "_n", "_tk")] + [list_array(flat[on], held[stay], pa.int64())], names=["_sk", "_n", "_tk", "_prefix"])
+
+    chosen = sets.where("_n > 0").select("_sk", "_n", "_tk", "_prefix").mapInArrow(choose, "_sk long, _n long, _tk long, _prefix array<long>")
+    classes = chosen.groupBy("_sk").agg(F.first("_prefix").alias("_prefix"), F.first("_n").alias("_n"), F.min("_tk").alias("_tk"))
+    postings = materialize(classes.select("_sk", "_n", "_tk", F.explode("_prefix").alias("_g")), "jaccard-postings")
     firsts = postings.groupBy("_g").agg(F.min("_sk").alias("_rep"), F.max("_sk").alias("_last")).where("_rep < _last").select("_g", "_rep")
-    members = materialize(postings.join(firsts, "_g").select("_sk", "_n", "_tk", "_rep").distinct(), "jaccard-members")
-    loads = members.groupBy("_rep").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("_n") / block_grams)).cast("int").alias("_nb"))
+    met = materialize(postings.join(firsts, "_g").groupBy("_sk", "_n", "_tk", "_rep").agg(F.count("_g").alias("_met")), "jaccard-met")
+    enough = met.groupBy("_sk").agg(F.sum("_met").alias("_all"), F.first("_n").alias("_n")).where(F.col("_all") >= 1 + F.floor(F.floor(percent * F.col("_n") / 100) / 25))
+    members = met.join(enough.select("_sk"), "_sk", "left_semi").select("_sk", "_n", "_tk", "_rep")
+    loads = members.groupBy("_rep").agg(
+        F.count(F.lit(1)).alias("_c"), F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("_n") / block_grams)).cast("int").alias("_nb")
+    ).where("_c > 1")
     dealt = members.join(loads, "_rep").withColumn("_side", F.pmod(F.xxhash64("_sk", "_rep"), F.col("_nb")).cast("int"))
     tasks = dealt.select("_tk", "_sk", "_rep", "_side", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_other"))
     tasks = tasks.select("_tk", F.struct("_sk", "_rep", "_side", F.least("_side", "_other").alias("_i"), F.greatest("_side", "_other").alias("_j")).alias("_task"))
-    wanted = tasks.groupBy("_tk").agg(F.collect_list("_task").alias("_tasks"))
-    texts = df.select(F.xxhash64("_text").alias("_tk"), "_text").groupBy("_tk").agg(F.first("_text").alias("_text"))
+    wanted = materialize(tasks.groupBy("_tk").agg(F.collect_list("_task").alias("_tasks")), "jaccard-tasks")
+    in_use = spark.sparkContext.broadcast(_bit_table(wanted, "_tk"))
+
+    def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_marked(in_use.value, batch.column("_tk").to_numpy())))
+
+    own = df.select(F.xxhash64("_text").alias("_tk"), "_text").mapInArrow(used, "_tk long, _text string")
+    texts = own.groupBy("_tk").agg(F.first("_text").alias("_text"))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["_sk", "_rep", "_side", "_i", "_j"]
