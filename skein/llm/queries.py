@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_tree, decontaminate, exact_dedup, jaccard_join, packing, secret_scan, sharding, token_counts, toxicity
+from . import context_tree, decontaminate, exact_dedup, jaccard_join, packing, secret_scan, sharding, token_counts, toxicity, warc
 from ._common import table
 
 
@@ -38,6 +38,10 @@ def op7_trie_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op8_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
