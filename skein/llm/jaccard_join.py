@@ -7,7 +7,8 @@
 2. Prefix n-grams of two or more different sets are found by one aggregation, and marked in a bit table of fixed size. A set
    goes on if at least the k of the smallest set it may link with of its prefix n-grams are marked. (A bit that stands for
    several n-grams lets more sets through, never fewer.)
-3. Equal sets become one class. Classes that share a prefix n-gram meet in the group of the smallest class with that n-gram.
+3. Equal sets become one class. Classes of like size that share one of their rarer prefix n-grams meet in the group of the
+   smallest class with that n-gram.
    A group of more than `block` classes or `block_grams` n-grams is dealt into blocks, and each pair of blocks is a task.
 4. In a task, sets are stored in a trie (most frequent n-gram of the group first), and each set is run through the trie of
    those before it: the overlap of a shared beginning is counted once, a subtree goes when the sizes or the remaining
@@ -23,6 +24,7 @@ Sets are told apart by 64-bit hashes of n-grams.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,14 +37,20 @@ from ._common import SPACE_WORDS, Words, blocks, list_array, materialize, mix64,
 from .components import components
 
 N, PERCENT = 5, 80
-FREQUENT, PER_TASK, FLUSH = 131_072, 20_000, 4_000_000
+FREQUENT, PER_TASK, FLUSH = 131_072, 20_000, 2_000_000
 BLOCK, BLOCK_GRAMS = 4_096, 4_000_000
+SHARE = 20
 BITS = 27  # of the bit tables: 2 ** BITS bits
 
 
 def least_shared(size):
     """k for a set of that size."""
-    return 1 + size // 25
+    return 1 + size // SHARE
+
+
+def _least_of_partners(percent: int):
+    """As a column of _n: k of the smallest set that it may link with."""
+    return 1 + F.floor(F.floor(percent * F.col("_n") / 100) / SHARE)
 
 
 def gram_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -252,10 +260,16 @@ def _links(df: DataFrame, sets: DataFrame, n: int, percent: int, block: int, blo
     chosen = sets.where("_n > 0").select("_sk", "_n", "_tk", "_prefix").mapInArrow(choose, "_sk long, _n long, _tk long, _prefix array<long>")
     classes = chosen.groupBy("_sk").agg(F.first("_prefix").alias("_prefix"), F.first("_n").alias("_n"), F.min("_tk").alias("_tk"))
     postings = materialize(classes.select("_sk", "_n", "_tk", F.explode("_prefix").alias("_g")), "jaccard-postings")
-    firsts = postings.groupBy("_g").agg(F.min("_sk").alias("_rep"), F.max("_sk").alias("_last")).where("_rep < _last").select("_g", "_rep")
-    met = materialize(postings.join(firsts, "_g").groupBy("_sk", "_n", "_tk", "_rep").agg(F.count("_g").alias("_met")), "jaccard-met")
-    enough = met.groupBy("_sk").agg(F.sum("_met").alias("_all"), F.first("_n").alias("_n")).where(F.col("_all") >= 1 + F.floor(F.floor(percent * F.col("_n") / 100) / 25))
-    members = met.join(enough.select("_sk"), "_sk", "left_semi").select("_sk", "_n", "_tk", "_rep")
+    # With exact counts: all but the k - 1 most frequent of a set's shared n-grams are enough to meet its partners, and
+    # only sets of the same or the next class of sizes can link.
+    often = postings.groupBy("_g").agg(F.count(F.lit(1)).alias("_df")).where("_df > 1")
+    listed = postings.join(often, "_g").groupBy("_sk", "_n", "_tk").agg(F.array_sort(F.collect_list(F.struct("_df", "_g"))).alias("_l"))
+    rarest = F.slice("_l", F.lit(1), F.greatest(F.lit(0), F.size("_l") - _least_of_partners(percent).cast("int") + 1))
+    level = F.floor(F.log(F.col("_n").cast("double")) / math.log(100 / percent) + 1e-9)
+    kept = listed.select("_sk", "_n", "_tk", F.explode(F.transform(rarest, lambda x: x["_g"])).alias("_g"))
+    placed = kept.select("_sk", "_n", "_tk", "_g", F.explode(F.array(level, level + 1)).alias("_level"))
+    firsts = placed.groupBy("_g", "_level").agg(F.min("_sk").alias("_rep"), F.max("_sk").alias("_last")).where("_rep < _last").select("_g", "_level", "_rep")
+    members = materialize(placed.join(firsts, ["_g", "_level"]).select("_sk", "_n", "_tk", "_rep").distinct(), "jaccard-members")
     loads = members.groupBy("_rep").agg(
         F.count(F.lit(1)).alias("_c"), F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("_n") / block_grams)).cast("int").alias("_nb")
     ).where("_c > 1")
