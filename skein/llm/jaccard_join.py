@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE_WORDS, Words, blocks, list_array, materialize, mix64, span_hashes, text_of
+from ._common import SPACE_WORDS, Words, blocks, list_array, materialize, mix64, most_frequent, span_hashes, text_of
 from .components import components
 
 N, PERCENT = 5, 80
@@ -92,8 +92,8 @@ def frequent_grams(df: DataFrame, n: int, table_size: int = FREQUENT, per_task:
         yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in top], pa.int64()), pa.array([c for _, c in top], pa.int64())], names=["g", "n"])
 
     sums = df.select("_text").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    rows = sums.where("n > 7").orderBy(F.desc("n"), "g").limit(table_size).collect()
-    return np.array([r["g"] for r in rows][::-1], np.int64)
+    top, _ = most_frequent(sums.where("n > 7"), "n", table_size)
+    return top.toArrow().sort_by([("n", "ascending"), ("g", "ascending")]).column("g").to_numpy()
 
 
 def _prefixes(df: DataFrame, frequent, n: int, percent: int) -> DataFrame:

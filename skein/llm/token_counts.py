@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import text_of
+from ._common import most_frequent, text_of
 
 LIMIT = 4096
 TABLE_SIZE, PER_TASK, LONGEST, CACHE = 65_536, 4_000, 32, 300_000
@@ -83,7 +83,7 @@ def frequent_words(df: DataFrame, model: str, table_size: int = TABLE_SIZE, per_
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["w", "n"])
 
     sums = df.select("_text").mapInArrow(heaviest, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    top = [x["w"] for x in sums.orderBy(F.desc("n"), "w").limit(table_size).collect()]
+    top = sorted(x["w"] for x in most_frequent(sums, "n", table_size)[0].select("w").collect())
     return dict(zip(top, map(len, _library(model).encode(top, num_threads=1)), strict=True)) if top else {}
 
 
