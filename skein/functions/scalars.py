@@ -57,10 +57,15 @@ def total(values: Column) -> Column:
     return F.aggregate(values, num(0), lambda a, x: a + x)
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used, in lambdas as well."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def softmax(scores: Column, eps: float = 1e-9) -> Column:
     """With the largest score taken off first; eps as for margins of models without probabilities."""
-    raised = F.transform(scores, lambda x: F.exp(x - F.array_max(scores)))
-    return F.transform(raised, lambda x: x / (total(raised) + num(eps)))
+    raised = let(F.array_max(scores), lambda top: F.transform(scores, lambda x: F.exp(x - top)))
+    return let(raised, lambda r: let(total(r) + num(eps), lambda whole: F.transform(r, lambda x: x / whole)))
 
 
 def arg_max(values: Column) -> Column:
@@ -77,9 +82,12 @@ def top_k(values: Column, k: int) -> Column:
 
 def z_score(values: Column, eps: float = 1e-6) -> Column:
     n = F.size(values).cast("double")
-    mean = total(values) / n
-    deviation = F.sqrt(total(F.transform(values, lambda x: (x - mean) * (x - mean))) / n)
-    return F.transform(values, lambda x: (x - mean) / (deviation + num(eps)))
+
+    def scaled(mean: Column) -> Column:
+        deviation = F.sqrt(total(F.transform(values, lambda x: (x - mean) * (x - mean))) / n)
+        return let(deviation + num(eps), lambda d: F.transform(values, lambda x: (x - mean) / d))
+
+    return let(total(values) / n, scaled)
 
 
 def three_places(x: Column) -> Column:
