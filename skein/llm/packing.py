@@ -6,8 +6,8 @@ goes where the sum, over all residual gaps, of the squared number of open bins w
 tighter bin). The state of the rule is one counter for each gap.
 
 Pieces are dealt evenly to groups of about `group_size` by the hash of a stored row number, every group is packed
-in one task, longest pieces first, and the bins that groups leave more than 1/16 empty are packed once more as items,
-in groups again. Nothing is collected on the driver.
+in one task (under several orders of the pieces, and with what isn't full packed again), and the bins that groups leave
+more than 1/16 empty are packed once more as items, in groups again. Nothing is collected on the driver.
 
 Edge cases: a null text is the empty text (one piece: the end id alone); repeated rows and ids are packed each on its
 own; a text of any length is cut; an empty table gives an empty table. Extra columns are ignored.
@@ -31,10 +31,10 @@ GROUP = 32_768
 _TOKENIZERS: dict = {}
 
 
-def sum_of_squares(sizes: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
-    """The bin of each item, and its place there. Items over a quarter are taken longest first, the others then in a fixed mixed order."""
+def sum_of_squares(sizes: np.ndarray, size: int = SIZE, part: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """The bin of each item, and its place there. Items over size / part are taken longest first, the others then in a fixed mixed order."""
     mixed = np.random.default_rng(len(sizes)).permutation(len(sizes))
-    order = np.lexsort((mixed, np.where(sizes > size // 4, -sizes, 0)))
+    order = np.lexsort((mixed, np.where(sizes > size // part, -sizes, 0)))
     bins, places = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
     counts = np.zeros(size + 1, np.int64)  # of open bins by gap; gap 0 stays 0: full bins are closed
     open_bins: list[list[int]] = [[] for _ in range(size + 1)]
@@ -60,6 +60,33 @@ def sum_of_squares(sizes: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.
     return bins, places
 
 
+def _fewest(sizes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    return min((sum_of_squares(sizes, size, part) for part in (4, 3, 2)), key=lambda found: found[0].max(initial=-1))
+
+
+def pack_items(sizes: np.ndarray, size: int = SIZE, rounds: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """sum_of_squares under three orders, the fewest bins kept; then, up to `rounds` times, all bins but the (nearly) full ones
+    are emptied and their items packed again, as long as that saves bins."""
+    bins, places = _fewest(sizes, size)
+    made, items = 0, np.arange(len(sizes))  # bins that stay; items of the others
+    out, at = bins.copy(), places.copy()
+    for r in range(rounds):
+        fill = np.bincount(bins, sizes[items]) if len(items) else np.zeros(0)
+        full = fill >= size - 4 * r
+        rest = ~full[bins]
+        if not rest.any() or not full.any():
+            break
+        again, where = _fewest(sizes[items[rest]], size)
+        if again.max() + 1 >= len(fill) - full.sum():
+            continue
+        stay = items[~rest]
+        out[stay] = made + np.cumsum(full)[bins[~rest]] - 1
+        made += int(full.sum())
+        items, bins = items[rest], again
+        out[items], at[items] = made + bins, where
+    return out, at
+
+
 def _tokenizer(tokenizer: str, ranks: str):
     from ._bpe import ByteBpe
 
@@ -113,7 +140,7 @@ def _packed(items: DataFrame, n: int, size: int, group_size: int, keys: str, kin
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(names, kind="stable")  # the same bins each time a task runs
-        pdf["_bin"], pdf["_at"] = sum_of_squares(pdf["_size"].to_numpy(), size)
+        pdf["_bin"], pdf["_at"] = pack_items(pdf["_size"].to_numpy(), size)
         return pdf
 
     dealt = items.withColumn("_group", F.pmod(F.xxhash64(*names), F.lit(groups)).cast("int"))
