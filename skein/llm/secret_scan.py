@@ -1,7 +1,7 @@
 """Secret scans: rules, and two character Markov models compared by log-likelihood ratio.
 
 The rules give spans of kind assign, access and hex. The models add spans of kind markov: a run of `[A-Za-z0-9+/_=-]` of at
-least `shortest` characters that no rule's span touches, if the model of random strings explains it better than that of
+least `shortest` characters, `min_distinct` of them different, that no rule's span touches, if the model of random strings explains it better than that of
 ordinary identifiers by `min_ratio` nats in all and `min_rate` nats a character. Both are first-order models over the
 run's characters, trained from labelled samples (text, is_random): given ones, or those of `generated_samples` and
 `sample_counts`.
@@ -34,7 +34,7 @@ KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 #: Every access or hex span lies in such a run.
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
-SAMPLE_ROWS, GENERATED, SMOOTH = 20_000, 4_000, 0.5
+SAMPLE_ROWS, GENERATED, SMOOTH, BACK_OFF = 20_000, 4_000, 0.5, 5.0
 
 
 @dataclass(frozen=True)
@@ -45,14 +45,17 @@ class MarkovPair:
     shortest: int = 20
     min_ratio: float = 20.0
     min_rate: float = 0.6
+    min_distinct: int = 8
 
     @staticmethod
     def train(samples: list[tuple[str, bool]], counts: np.ndarray | None = None, **options) -> MarkovPair:
         """From labelled samples (text, is_random), and transition counts of further ones by label."""
         n = len(ALPHABET)
-        total = np.full((2, n + 1, n), SMOOTH) + (0 if counts is None else counts)
+        total = np.zeros((2, n + 1, n)) + (0 if counts is None else counts)
         for text, is_random in samples:
             np.add.at(total[int(is_random)], _transitions(text), 1)
+        alone = total.sum(axis=1, keepdims=True) + SMOOTH  # rare rows lean on how often characters occur at all
+        total += BACK_OFF * alone / alone.sum(axis=2, keepdims=True)
         logs = np.log(total / total.sum(axis=2, keepdims=True))
         return MarkovPair(logs[1] - logs[0], **options)
 
@@ -60,7 +63,7 @@ class MarkovPair:
         return float(self.ratio[_transitions(run)].sum())
 
     def is_random(self, run: str) -> bool:
-        return len(run) >= self.shortest and (s := self.score(run)) >= self.min_ratio and s >= self.min_rate * len(run)
+        return len(run) >= self.shortest and len(set(run)) >= self.min_distinct and (s := self.score(run)) >= self.min_ratio and s >= self.min_rate * len(run)
 
 
 _CODE = np.full(128, -1)
@@ -109,7 +112,7 @@ def generated_samples(count: int = GENERATED) -> list[tuple[str, bool]]:
 
 def sample_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> np.ndarray:
     """Transition counts of labelled samples from about `rows` documents at most, chosen by hash: random are the values that
-    the rules find, ordinary the other words of 6 to 40 characters (in texts without a find), each once in a task."""
+    the rules find, ordinary the words of 6 to 19 characters (in texts without a find; longer ones are what is judged), each once in a task."""
     text = text_of(text_col)
     mine = F.pmod(F.xxhash64(F.col(id_col), text), F.lit(max(docs.count(), rows)))
     chosen = docs.where(mine < rows).select(text.alias("t"))
@@ -124,7 +127,7 @@ def sample_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 for s, k, e in spans:
                     np.add.at(total[1], _transitions(ASSIGN.match(t, s)[2] if k == 0 else t[s:e]), 1)
                 if not spans and len(words) < 100_000:
-                    words.update(re.findall(r"[A-Za-z_][A-Za-z0-9_-]{5,39}", t))
+                    words.update(re.findall(r"(?<![A-Za-z0-9+/_=-])[A-Za-z_][A-Za-z0-9_-]{5,18}(?![A-Za-z0-9+/_=-])", t))
         for w in words:
             np.add.at(total[0], _transitions(w), 1)
         at = np.flatnonzero(total)
