@@ -50,9 +50,9 @@ def fold_of(column: str, parts: int) -> Column:
     return F.crc32(F.encode(F.coalesce(F.col(column).cast("string"), F.lit("")), "UTF-8")) % parts
 
 
-def most_frequent(counts: DataFrame, n: str, limit: int) -> tuple[DataFrame, Column]:
-    """The rows of counts whose n lies in the highest sixteenths of octaves that hold at most `limit` rows together, and the
-    condition. Found by one small aggregate, without a sort; n must be 1 or more."""
+def least_level(counts: DataFrame, n: str, limit: int) -> int | None:
+    """The lowest sixteenth of an octave such that the rows with n in it or above are at most `limit`; None if no level will do.
+    Found by one small aggregate, without a sort; n must be 1 or more."""
     level = F.floor(F.log2(F.col(n).cast("double")) * 16)
     sizes = sorted(((r["l"], r["c"]) for r in counts.groupBy(level.alias("l")).agg(F.count(F.lit(1)).alias("c")).collect()), reverse=True)
     total, least = 0, None
@@ -60,7 +60,13 @@ def most_frequent(counts: DataFrame, n: str, limit: int) -> tuple[DataFrame, Col
         if total + rows > limit:
             break
         total, least = total + rows, value
-    chosen = F.lit(False) if least is None else level >= least
+    return least
+
+
+def most_frequent(counts: DataFrame, n: str, limit: int) -> tuple[DataFrame, Column]:
+    """The rows of counts from the least level up, at most `limit`, and the condition that they meet."""
+    least = least_level(counts, n, limit)
+    chosen = F.lit(False) if least is None else F.floor(F.log2(F.col(n).cast("double")) * 16) >= least
     return counts.where(chosen), chosen
 
 
