@@ -3,17 +3,18 @@
 A byte of the text (A-Z lower-cased, then an end mark 0xFF) is coded by binary decisions: its low five bits, then its high
 three given the low ones. Each decision has its own context tree over the bytes before it, most recent first:
 
-* low bits: contexts of depth 0 to 5, the earlier bytes by 64, 32, 32, 16 and 8 classes (2 ** 23 deepest contexts, of which the
-  most frequent `KEEP` stand alone; the others of a parent are one context);
+* low bits: contexts of depth 0 to 5, the earlier bytes by 64, 32, 32, 16 and 8 classes (2 ** 23 deepest contexts; each that
+  occurs stands alone);
 * high bits: depth 0 to 2, the byte before in full, the one before that by its high three bits.
 
 Every node keeps Krichevsky-Trofimov counts of the training texts, and every inner node mixes, half and half, its own
 estimate with the product of its children's. The conditional probability under that mixture is the sum over all depths of
 estimates weighted by the posterior that the tree ends there; it gives the code length of every bit, hence of every byte.
+In the low trees the weight of nodes without counts goes to the deepest node above them that has some.
 
-The trees have a bounded number of nodes whatever the corpus: code lengths (rounded up to 1/512 bit) of at most KEEP + 2 ** 20
-contexts, 64 bytes each, built from the counts of all training documents in 2048 groups, and broadcast. Contexts that don't
-occur share the lengths of their parent's. Counts are summed by Spark.
+Counts of all training documents are summed by Spark, and code lengths (rounded up to 1/512 bit) are built from them in 2048
+groups. Those of the `keep` most frequent contexts and of parents' unseen ones (at most KEEP + 2 ** 20, 64 bytes each) are
+broadcast; those of all other contexts that occur are written, and the bytes after them meet their lengths in a join.
 
 The base is an add-half unigram model of words; its counts are exact and unbounded: the most frequent `table_size` words are
 looked up map-side, all others meet their counts in a join.
@@ -37,8 +38,8 @@ from pyspark.sql import functions as F
 from ._common import LOWER, SPACE_WORDS, Words, blocks, fold_of, least_level, list_array, materialize, most_frequent, text_of
 
 LOW, HIGH = 1 << 28, 1 << 19  # entries: low contexts x 32 symbols; high contexts (256 x 8) x 32 low symbols x 8 high symbols
-TOP, BELOW = (64, 32), (32, 16, 9)  # children of a node: the two bytes before decide the group; 9: eight classes, and the rest
-KEEP = 1 << 19
+TOP, BELOW = (64, 32), (32, 16, 8)  # children of a node: the two bytes before decide the group
+KEEP = 1 << 19  # contexts looked up map-side; only speed
 HISTORY = 5
 UNIT = 512  # code lengths are kept in 1/512 bit
 TABLE = 1 << 18
@@ -152,6 +153,18 @@ class Tree:
                 out = stop * np.repeat(estimate, reach, axis=0) + (1 - stop) * out
         return out
 
+    def zero_below(self, mixed: np.ndarray, left: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Probability of a zero at each deepest context, below nodes with the sum `mixed` of weighted estimates, the weight
+        `left` and the estimate `last` of the deepest with counts. Nodes without counts leave their weight to that one."""
+        mixed, left, last = (x[None] for x in (mixed, left, last))
+        for d, (a, b) in enumerate(self.levels):
+            if d:
+                mixed, left, last = (np.repeat(x, self.branching[d - 1], axis=0) for x in (mixed, left, last))
+            known, estimate = a + b > 0, (a + 0.5) / (a + b + 1)
+            weight = np.where(known, 1.0 if self.stop[d] is None else self.stop[d], 0.0)
+            mixed, left, last = mixed + left * weight * estimate, left * (1 - weight), np.where(known, estimate, last)
+        return mixed + left * last
+
 
 def mix(a: np.ndarray, b: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of nodes with given log probabilities below: posterior of ending there, estimate of a zero, log probability."""
@@ -219,32 +232,31 @@ def _corpus_counts(df: DataFrame) -> DataFrame:
 
 
 def _subtree(pdf: pd.DataFrame, least: float) -> tuple[Tree, np.ndarray, np.ndarray]:
-    """The tree below the two bytes before; which deepest contexts stand alone, and which of their parents occur."""
+    """The tree below the two bytes before; which deepest contexts occur, and which are looked up map-side."""
     counts = np.zeros((1 << 12, 32))
     counts.ravel()[pdf["key"].to_numpy() & ((1 << 17) - 1)] = pdf["n"].to_numpy()
     total = counts.sum(axis=1)
-    alone = (total > 0) & (np.floor(np.log2(np.maximum(total, 1)) * 16) >= least)
-    split = np.zeros((1 << 9, 9, 32))
-    split[:, :8] = np.where(alone[:, None], counts, 0).reshape(-1, 8, 32)
-    split[:, 8] = np.where(alone[:, None], 0, counts).reshape(-1, 8, 32).sum(axis=1)
-    return Tree(split.reshape(-1, 32), list(BELOW)), alone, total.reshape(-1, 8).any(axis=1)
+    occurs = total > 0
+    return Tree(counts, list(BELOW)), occurs, occurs & (np.floor(np.log2(np.maximum(total, 1)) * 16) >= least)
 
 
 class LowTable:
-    """Code lengths of low symbols: a row for each context that stands alone, one for the others below a parent that occurs,
-    one for all below parents that don't."""
+    """Code lengths of low symbols: a row for each frequent context, one for the unseen below a parent that occurs, one for
+    all below parents that don't. The row of other contexts is -1: their lengths are in the written table."""
 
     def __init__(self, defaults: np.ndarray):
         """defaults: a row for each class of the byte before, for groups without counts."""
         self.row = np.repeat(np.arange(TOP[0], dtype=np.int32), LOW // 32 // TOP[0])
         self.parts, self.size = [defaults], len(defaults)
 
-    def add(self, group: int, alone: np.ndarray, seen: np.ndarray, own: np.ndarray, other: np.ndarray, unseen: np.ndarray) -> None:
+    def add(self, group: int, occurs: np.ndarray, often: np.ndarray, own: np.ndarray, other: np.ndarray, unseen: np.ndarray) -> None:
+        seen = occurs.reshape(-1, BELOW[2]).any(axis=1)
         parents = np.repeat(self.size + len(own) + len(other) + np.arange(len(unseen)), len(seen) // len(unseen))
         parents[seen] = self.size + len(own) + np.arange(len(other))
-        place = np.repeat(parents, len(alone) // len(seen))
-        place[alone] = self.size + np.arange(len(own))
-        self.row[group * len(alone) : (group + 1) * len(alone)] = place
+        place = np.repeat(parents, BELOW[2])
+        place[often] = self.size + np.arange(len(own))
+        place[occurs & ~often] = -1
+        self.row[group * len(occurs) : (group + 1) * len(occurs)] = place
         self.parts += [own, other, unseen]
         self.size += len(own) + len(other) + len(unseen)
 
@@ -252,8 +264,9 @@ class LowTable:
         return self.row, np.concatenate(self.parts).ravel()
 
 
-def build_model(counts: DataFrame, keep: int = KEEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of low contexts, code lengths of low symbols, and those of high ones. counts: the rows of kinds 0 and 1."""
+def build_model(counts: DataFrame, keep: int = KEEP) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], DataFrame]:
+    """Rows of low contexts, code lengths of low symbols, and those of high ones; and the lengths of the contexts without a row
+    (context, lengths: 32 of two bytes). counts: the rows of kinds 0 and 1."""
     low = counts.where("kind = 0").withColumn("g", F.shiftright("key", 17).cast("int"))
     level = least_level(low.groupBy(F.shiftright("key", 5).alias("c")).agg(F.sum("n").alias("n")), "n", keep)
     least = math.inf if level is None else level
@@ -270,35 +283,42 @@ def build_model(counts: DataFrame, keep: int = KEEP) -> tuple[np.ndarray, np.nda
     stop1, estimate1, below1 = mix(a, b, below)
     stop0, estimate0, _ = mix(a.sum(axis=0), b.sum(axis=0), below1.sum(axis=0))
 
-    def upper(c: int, zero: np.ndarray) -> np.ndarray:
-        return stop0 * estimate0 + (1 - stop0) * (stop1[c] * estimate1[c] + (1 - stop1[c]) * zero)
+    def upper(c: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        left = (1 - stop0) * (1 - stop1[c])
+        return stop0 * estimate0 + (1 - stop0) * stop1[c] * estimate1[c], left, np.where(a[c] + b[c] > 0, estimate1[c], estimate0)
 
     def table(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree, alone, seen = _subtree(pdf, least)
+        tree, occurs, often = _subtree(pdf, least)
         g = int(pdf["g"].iloc[0])
-        lengths = _rounded(_lengths(upper(g // TOP[1], tree.zero()), 5)).reshape(-1, 9, 32)
-        own, other = lengths[:, :8].reshape(-1, 32)[alone], lengths[:, 8]
+        lengths = _rounded(_lengths(tree.zero_below(*upper(g // TOP[1])), 5))
+        by_parent = occurs.reshape(-1, BELOW[2])
+        seen = by_parent.any(axis=1)
+        other = lengths.reshape(-1, BELOW[2], 32)[np.arange(len(seen)), np.argmin(by_parent, axis=1)]  # of a child that doesn't occur
         first = np.argmin(seen.reshape(BELOW[0], -1), axis=1)  # of each third byte, a fourth that doesn't occur
         unseen = other.reshape(BELOW[0], -1, 32)[np.arange(BELOW[0]), first]
-        parts = {"alone": np.packbits(alone), "seen": np.packbits(seen), "own": own, "other": other[seen], "unseen": unseen}
-        return pd.DataFrame({"g": [g], **{k: [v.tobytes()] for k, v in parts.items()}})
-
-    out = LowTable(np.stack([_rounded(_lengths(upper(c, np.full(31, 0.5)), 5)) for c in range(TOP[0])]))
-    made = low.groupBy("g").applyInPandas(table, "g int, alone binary, seen binary, own binary, other binary, unseen binary")
-    for r in made.toLocalIterator():
-        bits = [np.unpackbits(np.frombuffer(r[k], np.uint8)).astype(bool) for k in ("alone", "seen")]
+        rare = np.flatnonzero(occurs & ~often)
+        parts = {"occurs": np.packbits(occurs), "often": np.packbits(often), "own": lengths[often], "other": other[seen], "unseen": unseen}
+        return pd.DataFrame({"g": [g], **{k: [v.tobytes()] for k, v in parts.items()}, "rare": [(g << 12) + rare], "lengths": [[x.tobytes() for x in lengths[rare].astype(">u2")]]})
+
+    defaults = [m + left * last for m, left, last in map(upper, range(TOP[0]))]
+    out = LowTable(np.stack([_rounded(_lengths(z, 5)) for z in defaults]))
+    kinds = "g int, occurs binary, often binary, own binary, other binary, unseen binary, rare array<int>, lengths array<binary>"
+    made = materialize(low.groupBy("g").applyInPandas(table, kinds), "ctw-lengths")
+    for r in made.drop("rare", "lengths").toLocalIterator():
+        bits = [np.unpackbits(np.frombuffer(r[k], np.uint8)).astype(bool) for k in ("occurs", "often")]
         out.add(r["g"], *bits, *(np.frombuffer(r[k], np.uint16).reshape(-1, 32) for k in ("own", "other", "unseen")))
+    others = made.select(F.explode(F.arrays_zip("rare", "lengths")).alias("x")).select(F.col("x.rare").alias("context"), F.col("x.lengths").alias("lengths"))
     high = np.zeros(HIGH)
     for r in counts.where("kind = 1").select("key", "n").toLocalIterator():
         high[r["key"]] = r["n"]
     zero = Tree(high.reshape(2048, 32, 8), [256, 8]).zero()
-    return *out.arrays(), _rounded(_lengths(zero, 3)).ravel()
+    return (*out.arrays(), _rounded(_lengths(zero, 3)).ravel()), others
 
 
 # --- scoring -----------------------------------------------------------------------------------------------------
 
 
-def score(docs: DataFrame, held_out: Column, table_size: int = TABLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out: Column, table_size: int = TABLE, keep: int = KEEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
     spark = docs.sparkSession
     df = docs.select(F.col(id_col).alias("_id"), held_out.alias("_held"), text_of(text_col).alias("_text"))
@@ -308,7 +328,8 @@ def score(docs: DataFrame, held_out: Column, table_size: int = TABLE, id_col: st
     scale = math.log10(total + 0.5 * (distinct + 1))
     frequent, is_frequent = most_frequent(words, "n", table_size)
     top = frequent.select("key", "n").toArrow().sort_by("key")  # table_size rows
-    model = spark.sparkContext.broadcast((*build_model(counts), top.column("key").to_numpy(), top.column("n").to_numpy()))
+    arrays, others = build_model(counts, keep)
+    model = spark.sparkContext.broadcast((*arrays, top.column("key").to_numpy(), top.column("n").to_numpy()))
     kind = df.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,8 +339,15 @@ def score(docs: DataFrame, held_out: Column, table_size: int = TABLE, id_col: st
             for begin, texts in blocks(batch, "_text"):
                 data, first = _stream(texts)
                 i, j = _symbols(data)
-                running = np.concatenate([[0], np.cumsum(low[(row[i >> 5] << 5) | (i & 31)].astype(np.int64) + high[j])])
+                at = row[i >> 5]
+                written = np.flatnonzero(at < 0)
+                own = low[(at << 5) | (i & 31)].astype(np.int64)
+                own[written] = 0
+                running = np.concatenate([[0], np.cumsum(own + high[j])])
                 sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+                holder = np.searchsorted(first, written + HISTORY, side="right") - 1
+                coded = (holder >= 0) & (written + HISTORY - first[holder] <= sizes[holder])  # not the marks between texts
+                written, holder = written[coded], holder[coded]
                 bits = (running[first - HISTORY + sizes + 1] - running[first - HISTORY]) / UNIT
                 w = Words(texts, SPACE_WORDS)
                 # with one end for each text, after its words
@@ -335,10 +363,11 @@ def score(docs: DataFrame, held_out: Column, table_size: int = TABLE, id_col: st
                 held = batch.slice(begin, len(texts))
                 yield pa.RecordBatch.from_arrays(
                     [held.column("_id"), held.column("_held"), pa.array(sizes), pa.array(per), pa.array(known.astype(np.int64)), pa.array(base), pa.array(bits),
-                     list_array(hashes[misses], np.bincount(owner[misses], minlength=len(texts)), pa.int64())],
-                    names=["_id", "_held", "_bytes", "_tokens", "_known", "_base", "_bits", "_rest"])
+                     list_array(hashes[misses], np.bincount(owner[misses], minlength=len(texts)), pa.int64()),
+                     list_array(i[written], np.bincount(holder, minlength=len(texts)), pa.int32())],
+                    names=["_id", "_held", "_bytes", "_tokens", "_known", "_base", "_bits", "_rest", "_low"])
 
-    scored = df.mapInArrow(run, f"_id {kind}, _held boolean, _bytes long, _tokens long, _known long, _base double, _bits double, _rest array<long>")
+    scored = df.mapInArrow(run, f"_id {kind}, _held boolean, _bytes long, _tokens long, _known long, _base double, _bits double, _rest array<long>, _low array<int>")
     scored = materialize(scored.withColumn("_row", F.monotonically_increasing_id()), "ctw-scored")
     # The other words meet their counts; equal words of a text travel once.
     rest = scored.select("_row", F.explode("_rest").alias("key")).groupBy("_row", "key").agg(F.count(F.lit(1)).alias("_times"))
@@ -348,9 +377,14 @@ def score(docs: DataFrame, held_out: Column, table_size: int = TABLE, id_col: st
         "_row", F.when(n > 0, F.col("_times")).otherwise(F.lit(0)).alias("_known"), (F.col("_times") * (F.log10(n + 0.5) - F.lit(scale))).alias("_base")
     )
     more = found.groupBy("_row").agg(F.sum("_known").alias("_known2"), F.sum("_base").alias("_base2"))
+    # The bytes after written contexts meet their code lengths.
+    after = scored.select("_row", F.explode("_low").alias("_e")).select("_row", F.shiftright("_e", 5).alias("context"), F.col("_e").bitwiseAND(31).alias("_symbol"))
+    length = F.conv(F.hex(F.substring("lengths", F.col("_symbol") * 2 + 1, F.lit(2))), 16, 10).cast("long")
+    low_bits = after.join(others, "context").groupBy("_row").agg((F.sum(length) / UNIT).alias("_bits2"))
+    scored = scored.join(low_bits, "_row", "left").withColumn("_bits", F.col("_bits") + F.coalesce("_bits2", F.lit(0.0)))
     zero = F.lit(0)
     score10 = -F.col("_bits") * math.log10(2)
-    return scored.drop("_rest").join(more, "_row", "left").select(
+    return scored.drop("_rest", "_low", "_bits2").join(more, "_row", "left").select(
         F.col("_id").alias(id_col), F.col("_held").alias("held_out"), F.col("_tokens").alias("n_tokens"), (F.col("_known") + F.coalesce("_known2", zero)).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("_base") + F.coalesce("_base2", F.lit(0.0))).alias("base_score"), score10.alias("score"),
         F.col("_bytes").alias("n_bytes"), (F.col("_bits") / (F.col("_bytes") + 1)).alias("bits_per_byte"),

@@ -324,6 +324,12 @@ def test_context_tree(docs, rows):
     assert not left
 
 
+def test_rare_contexts_keep_their_own_lengths(docs):
+    """Whatever is looked up map-side, each context that occurs has its own code lengths."""
+    all_kept, few_kept = (Counter((r["doc_id"], r["n_bytes"], round(r["score"], 6)) for r in context_tree.score_documents(docs, keep=keep).collect()) for keep in (1 << 19, 40))
+    assert all_kept == few_kept
+
+
 def direct_mixture(counts, branching, path, symbol_bits, symbol):
     """Probability of a symbol by the definition: at each decision, weigh own estimate and children recursively."""
     p = 1.0
