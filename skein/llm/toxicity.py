@@ -2,9 +2,9 @@
 
 score = sigmoid(w0 + sum of w[i] + sum over pairs of <v[i], v[j]>) over the distinct hashed terms of the text: the pair part
 learns that two terms together mean more than each alone. Trained with AdaGrad on a bounded sample of labelled texts
-(`max_rows`, those with the smallest text hashes; equal texts are one sample with their mean label). Terms enter the model
-if their share differs between the classes by `min_z` standard errors (at most `max_terms`), so the model is small
-and fixed in size; all documents are scored whole, in one pass without a shuffle.
+(`max_rows`, those with the smallest text hashes; equal texts are one sample with their mean label). Every hashed term of at
+least `support` samples has a weight and factors, however its share differs between the classes; all documents are scored
+whole, in one pass without a shuffle.
 
 Edge cases: null and empty texts score sigmoid(w0); documents without a label row, or with a null one, train nothing; a table
 without usable labels gives 0 for all; repeated label rows of an id are averaged; repeated documents each get a row.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ._common import fold_of, materialize, text_of
 
-BUCKETS, MAX_ROWS, MAX_TERMS, MIN_Z, FACTORS = 1 << 20, 40_000, 2_048, 4.0, 8
+BUCKETS, MAX_ROWS, SUPPORT, FACTORS = 1 << 20, 40_000, 5, 8
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -58,43 +58,50 @@ class FactorizationMachine:
 
     @staticmethod
     def train(chosen: np.ndarray, samples: list[tuple[np.ndarray, float]], factors: int = FACTORS,
-              epochs: int = 40, rate: float = 0.1, l1: float = 1e-4, l2: float = 1e-3) -> FactorizationMachine:
-        """chosen: the buckets of the model. samples: of each text, its places in chosen and its label."""
+              epochs: int = 40, rate: float = 0.1, l1: float = 1e-4, l2: float = 1e-3, group: float = 1e-2) -> FactorizationMachine:
+        """chosen: the buckets of the model. samples: of each text, its places in chosen and its label. l1 shrinks weights, and
+        `group` the factors of a term as one vector, so terms that explain nothing, alone or in pairs, end near zero."""
         if not samples:
             return FactorizationMachine({}, -35.0, np.zeros(0), np.zeros((0, factors)))
         y = np.array([label for _, label in samples])
         n1, n0 = max(y.sum(), 1e-9), max((1 - y).sum(), 1e-9)
-        cols = np.concatenate([np.asarray(r, np.int64) for r, _ in samples])
+        cols = np.concatenate([np.asarray(r, np.int32) for r, _ in samples])
         owner = np.repeat(np.arange(len(samples)), [len(r) for r, _ in samples])
         ends = np.searchsorted(owner, np.arange(len(y) + 1))
         rng = np.random.default_rng(7)
         w, v, w0 = np.zeros(len(chosen)), rng.normal(0, 0.02, (len(chosen), factors)), float(np.log(n1 / n0))
         gw, gv, g0 = np.full(len(chosen), 1e-6), np.full((len(chosen), factors), 1e-6), 1e-6
+        order = rng.permutation(len(y))
+        parts = []  # of each batch: labels, rows of its terms, its different terms, and the place of each term among them
+        for lo in range(0, len(order), 256):
+            part = order[lo : lo + 256]
+            sizes = ends[part + 1] - ends[part]
+            row = np.repeat(np.arange(len(part), dtype=np.int16), sizes)
+            c = cols[np.repeat(ends[part] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())]
+            own, at = np.unique(c, return_inverse=True)
+            parts.append((y[part], row, own, at.astype(np.int32)))
+        del cols, owner
         for _ in range(epochs):
-            order = rng.permutation(len(y))
-            for lo in range(0, len(order), 256):
-                part = order[lo : lo + 256]
-                sizes = ends[part + 1] - ends[part]
-                row = np.repeat(np.arange(len(part)), sizes)
-                c = cols[np.repeat(ends[part] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())]
-                total = np.zeros((len(part), factors))
-                np.add.at(total, row, v[c])
-                own = np.zeros(len(part))
-                np.add.at(own, row, w[c] - 0.5 * (v[c] ** 2).sum(axis=1))
-                raw = w0 + own + 0.5 * (total**2).sum(axis=1)
-                error = (1 / (1 + np.exp(-np.clip(raw, -35, 35))) - y[part]) / len(part)
-                dw, dv = np.zeros_like(w), np.zeros_like(v)
-                np.add.at(dw, c, error[row])
-                np.add.at(dv, c, error[row, None] * (total[row] - v[c]))
-                dw += l2 * 0.01 * w
-                dv += l2 * v
+            for p in rng.permutation(len(parts)):
+                label, row, own, at = parts[p]
+                vs, ws = v[own], w[own]
+                f = vs[at]
+                total = np.stack([np.bincount(row, f[:, k], len(label)) for k in range(factors)], axis=1)
+                raw = w0 + np.bincount(row, (ws - 0.5 * (vs**2).sum(axis=1))[at], len(label)) + 0.5 * (total**2).sum(axis=1)
+                error = (1 / (1 + np.exp(-np.clip(raw, -35, 35))) - label) / len(label)
+                e = error[row]
+                g = np.bincount(at, e, len(own))
+                dv = np.stack([np.bincount(at, e * total[row, k], len(own)) for k in range(factors)], axis=1) - g[:, None] * vs + l2 * vs
+                dw = l2 * 0.01 * w
+                dw[own] += g
                 gw += dw**2
-                gv += dv**2
+                gv[own] += dv**2
                 g0 += error.sum() ** 2
-                step = rate / np.sqrt(gw)
-                w = w - step * dw
+                w = w - rate / np.sqrt(gw) * dw
                 w = np.sign(w) * np.maximum(np.abs(w) - l1 * rate, 0)
-                v -= rate / np.sqrt(gv) * dv * 0.5
+                v[own] -= rate / np.sqrt(gv[own]) * dv * 0.5
+                length = np.sqrt((v[own] ** 2).sum(axis=1, keepdims=True))
+                v[own] *= np.maximum(0, 1 - group * rate / np.maximum(length, 1e-12))
                 w0 -= rate / np.sqrt(g0) * error.sum()
         return FactorizationMachine({int(b): i for i, b in enumerate(chosen)}, w0, w, v)
 
@@ -121,28 +128,31 @@ def training_sample(docs: DataFrame, labels: DataFrame, learn: Column, max_rows:
     return materialize(texts.mapInArrow(features, "x long, y double, b array<int>").dropDuplicates(["x"]), "toxicity-sample")
 
 
-def choose_terms(sample: DataFrame, max_terms: int = MAX_TERMS, min_z: float = MIN_Z) -> np.ndarray:
-    """The buckets whose share among toxic samples differs most, in standard errors, from that among the others."""
+def choose_terms(sample: DataFrame, support: int = SUPPORT) -> np.ndarray:
+    """The buckets that occur in at least `support` samples, in order; none if the samples are of one class."""
     n, n1 = sample.agg(F.count("y"), F.sum("y")).first()
     if not n or not 0 < n1 < n:
         return np.zeros(0, np.int64)
-    counts = sample.select("y", F.explode("b").alias("t")).groupBy("t").agg(F.count("y").alias("a"), F.sum("y").alias("p")).where("a >= 5")
-    share = F.col("a") / F.lit(float(n))
-    z = F.abs(F.col("p") / n1 - (F.col("a") - F.col("p")) / (n - n1)) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / n1 + 1 / (n - n1)))
-    top = counts.withColumn("z", z).where(F.col("z") >= min_z).orderBy(F.desc("z"), "t").limit(max_terms).collect()
-    return np.array(sorted(r["t"] for r in top), np.int64)
+    terms = sample.select(F.explode("b").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("a")).where(F.col("a") >= support)
+    return np.sort(terms.select("t").toArrow().column("t").to_numpy().astype(np.int64))  # BUCKETS rows at most
 
 
 def places_in(sample: DataFrame, chosen: np.ndarray) -> list[tuple[np.ndarray, float]]:
-    """Of each sample, the places in chosen and the label; in the order of the hashes."""
+    """Of each sample, the places in chosen (sorted) and the label; in the order of the hashes."""
+    shared = sample.sparkSession.sparkContext.broadcast(chosen)
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
         for batch in batches:
-            at = [np.flatnonzero(np.isin(chosen, b)).astype("<i2").tobytes() for b in batch.column("b").to_pylist()]
+            at = []
+            for b in batch.column("b").to_pylist():
+                b = np.asarray(b, np.int64)
+                place = np.minimum(np.searchsorted(own, b), max(len(own) - 1, 0))
+                at.append((place[own[place] == b] if len(own) else place[:0]).astype("<i4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(at, pa.binary())], names=["x", "y", "at"])
 
     rows = sample.mapInArrow(select, "x long, y double, at binary").collect()
-    return [(np.frombuffer(r["at"], "<i2"), r["y"]) for r in sorted(rows, key=lambda r: r["x"])]
+    return [(np.frombuffer(r["at"], "<i4"), r["y"]) for r in sorted(rows, key=lambda r: r["x"])]
 
 
 _CACHE = 200_000
