@@ -17,13 +17,25 @@ def label_index(label: Column, labels: list[str]) -> Column:
     return F.nullif(F.array_position(F.lit(labels), label) - 1, F.lit(-1)).cast("int")
 
 
+def ranges(rows: DataFrame, order: list[str], parts: int = 256) -> DataFrame:
+    """Adds _range: the place of the row's `order` columns among at most parts - 1 bounds, taken from 64 * parts rows drawn by hash."""
+    key = rows.select(*order)
+    drawn = key.orderBy(F.xxhash64(*order)).limit(64 * parts).orderBy(*order).collect()
+    cuts = sorted({len(drawn) * k // parts for k in range(1, parts)} - {0})
+    kind = f"bounds array<struct<{', '.join(f'`{f.name}`: {f.dataType.simpleString()}' for f in key.schema)}>>"
+    bounds = rows.sparkSession.createDataFrame([([tuple(drawn[k]) for k in cuts],)], kind)
+    own = F.struct(*order)
+    return rows.crossJoin(F.broadcast(bounds)).withColumn("_range", F.size(F.filter("bounds", lambda x: x <= own))).drop("bounds")  # a row of bounds
+
+
 def numbered(files: DataFrame, labels: list[str], name: str = "name") -> DataFrame:
-    """Adds track_id: by order of the label, then by name; each label is numbered by itself and shifted by those before it."""
-    placed = files.withColumn("_label", label_index(F.col("label"), labels)).where("_label IS NOT NULL")
-    counts = placed.groupBy("_label").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.alias("a").join(counts.alias("b"), F.col("b._label") < F.col("a._label"), "left").groupBy("a._label").agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
-    order = W.partitionBy("_label").orderBy(name, "path")
-    rows = placed.withColumn("_row", F.row_number().over(order)).join(F.broadcast(before), "_label")  # a row per label
+    """Adds track_id: by order of the label, then by name and path. Rows are numbered within ranges of that order and shifted by
+    the ranges before, so no task sorts a whole label."""
+    placed = ranges(files.withColumn("_label", label_index(F.col("label"), labels)).where("_label IS NOT NULL"), ["_label", name, "path"])
+    counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))  # a row per range
+    before = counts.select("_range", (F.sum("_n").over(W.partitionBy("_one").orderBy("_range")) - F.col("_n")).alias("_before"))
+    order = W.partitionBy("_range").orderBy("_label", name, "path")
+    rows = placed.withColumn("_row", F.row_number().over(order)).join(F.broadcast(before), "_range")
     return rows.select((F.col("_before") + F.col("_row") - 1).cast("long").alias("track_id"), *files.columns)
 
 

@@ -24,15 +24,15 @@ def read_manifest(spark: SparkSession, path: str, as_json: bool = False) -> Data
 
 
 def splits_map(splits: DataFrame) -> DataFrame:
-    """The splits as one JSON map of sorted id lists: the exchange format, for manifests of a size that fits one document."""
-    lists = splits.groupBy("split").agg(F.sort_array(F.collect_list("track_id")).alias("ids"))
-    return lists.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("split", "ids"))))).alias("splits"))
+    """The splits as JSON lines of split, bucket and sorted ids: a bucket is a range of 8192 ids, so no list grows with the table."""
+    lists = splits.groupBy("split", F.shiftright(F.col("track_id").cast("long"), 13).alias("bucket")).agg(F.sort_array(F.collect_list("track_id")).alias("ids"))
+    return lists.select(F.to_json(F.struct("split", "bucket", "ids")).alias("splits"))
 
 
 def splits_rows(maps: DataFrame, column: str = "splits") -> DataFrame:
     """The reverse: split, track_id."""
-    parsed = F.from_json(column, "map<string, array<bigint>>")
-    return maps.select(F.explode(parsed).alias("split", "ids")).select("split", F.explode("ids").alias("track_id"))
+    parsed = F.from_json(column, "split string, bucket bigint, ids array<bigint>")
+    return maps.select(parsed.alias("_p")).select("_p.split", F.explode("_p.ids").alias("track_id"))
 
 
 class FeatureStore:

@@ -77,6 +77,22 @@ def test_scan(spark, tmp_path):
     assert files.inputs(spark, f"{tmp_path}/a/1.mp3").count() == 1
 
 
+def test_numbering_splits_a_label(spark):
+    found = spark.range(20_000).select(F.lit("a").alias("label"), F.concat(F.lit("n"), F.col("id") % 7000).alias("name"), F.concat(F.lit("p"), "id").alias("path"))
+    rows = manifest.numbered(found, ["b", "a"])
+    expected = sorted((r["name"], r["path"]) for r in found.collect())
+    assert [(r["name"], r["path"]) for r in rows.orderBy("track_id").collect()] == expected
+    assert [r["track_id"] for r in rows.select("track_id").orderBy("track_id").collect()] == list(range(20_000))
+    placed = manifest.ranges(found, ["label", "name", "path"])
+    assert placed.groupBy("_range").count().agg(F.max("count")).first()[0] < 1000
+
+
+def test_splits_are_written_in_buckets(spark):
+    splits = spark.range(20_000).select(F.lit("train").alias("split"), F.col("id").alias("track_id"))
+    lines = stores.splits_map(splits)
+    assert lines.count() == 3 and not stores.splits_rows(lines).exceptAll(splits).count() and stores.splits_rows(lines).count() == 20_000
+
+
 def test_feature_store(spark, tmp_path):
     store = stores.FeatureStore(spark, str(tmp_path / "f"), "cache_key string, v int")
     calls = []
