@@ -282,19 +282,6 @@ def test_toxicity(spark):
     assert toxicity.score_documents(docs, labels.where("1 = 0")).agg(F.max("score")).first()[0] < 1e-6
 
 
-def test_toxic_pair_of_neutral_words(spark):
-    """Both words are in half of the texts of each class; only whether they come together decides."""
-    rng = random.Random(4)
-    plain = ["".join(rng.choices("bcdfgmnprst", k=4)) for _ in range(100)]
-    extra = {0: ["group"], 1: ["mild"], 2: ["group", "mild"], 3: []}
-    rows = [(i, " ".join(rng.choices(plain, k=12) + extra[i % 4]), int(i % 4 >= 2)) for i in range(2400)]
-    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
-    got = {r["doc_id"]: r for r in toxicity.score_documents(docs, labels).collect()}
-    held = [(i, y) for i, _, y in rows if got[i]["held_out"]]
-    assert sum((got[i]["score"] >= 0.5) == bool(y) for i, y in held) >= 0.95 * len(held)
-
-
 def test_warc(spark, tmp_path):
     rows = [(5, "u5", "<p>é</p>"), (3, "u\r\n3", "<p>é</p>"), (9, None, None), (2, "u2", ""), (None, "n", "lonely"), (7, "u7", "z" * 300_000), (8, "u8", "a\r\n\r\nb"), (8, "u8", "a\r\n\r\nb")]
     pages = spark.createDataFrame([(a, b, c, "e") for a, b, c in rows], "page_id long, url string, html string, record_type string")
