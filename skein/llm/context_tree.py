@@ -1,27 +1,25 @@
 """Language-model scores by context-tree weighting over bytes.
 
-A byte of the text (A-Z lower-cased, then an end mark 0xFF) is coded by binary decisions: its low five bits, then its high
-three given the low ones. Each decision has its own context tree over the bytes before it, most recent first:
-
-* low bits: contexts of depth 0 to 5, the earlier bytes by 64, 32, 32, 16 and 8 classes (2 ** 23 deepest contexts; each that
-  occurs stands alone);
-* high bits: depth 0 to 2, the byte before in full, the one before that by its high three bits.
-
-Every node keeps Krichevsky-Trofimov counts of the training texts, and every inner node mixes, half and half, its own
-estimate with the product of its children's. The conditional probability under that mixture is the sum over all depths of
-estimates weighted by the posterior that the tree ends there; it gives the code length of every bit, hence of every byte.
-In the low trees the weight of nodes without counts goes to the deepest node above them that has some.
-
-Counts of all training documents are summed by Spark, and code lengths (rounded up to 1/512 bit) are built from them in 2048
-groups. Those of the `keep` most frequent contexts and of parents' unseen ones (at most KEEP + 2 ** 20, 64 bytes each) are
-broadcast; those of all other contexts that occur are written, and the bytes after them meet their lengths in a join.
-
-The base is an add-half unigram model of words; its counts are exact and unbounded: the most frequent `table_size` words are
-looked up map-side, all others meet their counts in a join.
+A byte of the text (A-Z lower-cased, then an end mark 0xFF) is coded by eight binary decisions, its bits from the highest
+down. Each of the 255 decisions has its own context tree over the `depth` bytes before it, most recent first; before a text
+lie end marks. Every node keeps Krichevsky-Trofimov counts of the training texts, and every inner node mixes, half and half,
+its own estimate with the product of its children's. The probability of a bit under that mixture is the sum over all depths
+of the estimates, weighted by the posterior that the tree ends there; nodes without counts leave their weight to the deepest
+node above them that has some. The sums of a byte's eight bits are its code length.
+
+1. Each task counts its (context, symbol) pairs, Spark sums them: eight-byte integers, exact, no classes and no hashes.
+   Pairs that only held-out texts hold are in the table with a count of 0, so whatever is scored has a row of its own.
+2. Pairs are dealt by the three bytes before (those of one such context in one task, as a sorted stream) and the trees below
+   are weighed there, level by level in arrays. What reaches the driver are the sums for contexts of at most two bytes.
+3. The two-byte states are broadcast (at most 2 ** 16 contexts), and every pair gets its code length, in 1/512 bit.
+4. The `keep` pairs that occur most (a table of at most 84 MB) are looked up map-side; all others, and the base's rarer
+   words, meet theirs in a join. `keep` and `table_size` change the speed, never a score.
+
+The base is an add-half unigram model of words with exact and unbounded counts.
 
 Edge cases: null and empty texts hold the end mark alone; texts of any length are scored whole; a null id counts as the
-empty text in the fold; repeated rows are scored each; without training documents all counts are 0. Extra columns are
-ignored. Words are counted by 64-bit hashes.
+empty text in the fold; repeated rows are scored each; without training documents all counts are 0 and every bit costs one
+bit. An empty table gives an empty table. Extra columns are ignored. Words are counted by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -30,51 +28,35 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, SPACE_WORDS, Words, blocks, fold_of, least_level, list_array, materialize, most_frequent, text_of
+from ._common import LOWER, SPACE_WORDS, Words, blocks, fold_of, list_array, materialize, most_frequent, text_of
 
-LOW, HIGH = 1 << 28, 1 << 19  # entries: low contexts x 32 symbols; high contexts (256 x 8) x 32 low symbols x 8 high symbols
-TOP, BELOW = (64, 32), (32, 16, 8)  # children of a node: the two bytes before decide the group
-KEEP = 1 << 19  # contexts looked up map-side; only speed
-HISTORY = 5
-UNIT = 512  # code lengths are kept in 1/512 bit
-TABLE = 1 << 18
+DEPTH = 6  # six bytes of context and the symbol fit a long
+KEEP, TABLE = 1 << 22, 1 << 18  # pairs and words looked up map-side; only speed
+UNIT = 512
+CHUNK = 400_000  # pairs weighed at once
+LOGIT = 1000  # estimates are stored as log odds in thousandths
+UNKNOWN = -32768
 END_HASH = 0x5851F42D4C957F2D
 
 
-def _classes() -> tuple[np.ndarray, ...]:
-    """Of each byte, the class among 64, 32, 16 and 8: letters, digits, marks, line ends, and bytes of other characters."""
-    b = np.arange(256)
-    letter, digit = (b >= 97) & (b <= 122), (b >= 48) & (b <= 57)
-    fine = np.select([b == 32, letter, digit, b == 255, b >= 128, b == 10, b == 44, b == 46], [0, b - 96, b - 21, 46, 47 + b % 17, 37, 38, 39], 40 + b % 6)
-    middle = np.select([digit, (b == 255) | (b == 10), b >= 128, fine >= 38], [27, 29, 30 + b % 2, 28], fine)
-    often = np.array([b"aeioutnrshld".find(c) for c in range(256)])
-    coarse = np.select([b == 32, letter & (often >= 0), letter, middle >= 30], [0, 1 + often, 13, 14], 15)
-    rough = np.array([0, 1, 1, 2, 2, 3, 3, 4, 4, 4, 5, 5, 5, 6, 7, 7])[coarse]
-    return tuple(x.astype(np.int32) for x in (fine, middle, coarse, rough))
-
-
-FINE, MIDDLE, COARSE, ROUGH = _classes()
-
-
-def _stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased bytes, HISTORY marks before each text and after the last; where each text begins."""
-    marks = b"\xff" * HISTORY
+def pair_keys(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """(context << 8 | symbol) of each byte of each text and of its end; the byte before is the context's highest.
+    Also the number of keys of each text."""
+    marks = b"\xff" * depth
     data = LOWER[np.frombuffer(marks.join([b"", *texts, b""]), np.uint8)]
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    return data, HISTORY + np.concatenate([[0], np.cumsum(sizes + HISTORY)])[:-1]
-
-
-def _symbols(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Entries in the low and the high table for each byte after the first HISTORY."""
-    symbol, middle = (data[5:] & 31).astype(np.int32), MIDDLE[data]
-    low = (FINE[data[4:-1]] << 22) | (middle[3:-2] << 17) | (middle[2:-3] << 12) | (COARSE[data[1:-4]] << 8) | (ROUGH[data[:-5]] << 5) | symbol
-    high = (data[4:-1].astype(np.int32) << 11) | ((data[3:-2] >> 5).astype(np.int32) << 8) | (symbol << 3) | (data[5:] >> 5)
-    return low, high
+    count = len(data) - depth
+    keys = data[depth:].astype(np.int64)
+    for back in range(1, depth + 1):
+        keys |= data[depth - back : depth - back + count].astype(np.int64) << (8 * (depth - back + 1))
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    # Of the marks between texts only the first is coded, as the end of the text before.
+    begin = np.concatenate([[0], np.cumsum(sizes + depth - 1)])[:-1]
+    coded = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    return keys[coded], sizes
 
 
 # --- the trees ---------------------------------------------------------------------------------------------------
@@ -94,261 +76,291 @@ def _kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(a + b + 1) - math.log(math.pi)
 
 
-def _decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of symbols [..., 2 ** k] to zeros and ones of the 2 ** k - 1 decisions, root first."""
-    zeros, ones, level = [], [], counts
-    while level.shape[-1] > 1:
-        pair = level.reshape(*level.shape[:-1], -1, 2)
-        zeros.insert(0, pair[..., 0])
-        ones.insert(0, pair[..., 1])
-        level = pair.sum(axis=-1)
-    return np.concatenate(zeros, axis=-1), np.concatenate(ones, axis=-1)
-
-
-def _lengths(zero: np.ndarray, bits: int) -> np.ndarray:
-    """Probabilities of a zero at each decision [..., 2 ** k - 1] to code lengths of symbols [..., 2 ** k], in bits."""
-    zero = np.clip(zero, 2.0**-24, 1 - 2.0**-24)
-    out = np.zeros((*zero.shape[:-1], 1))
-    at = 0
-    for k in range(bits):
-        z = zero[..., at : at + (1 << k)]
-        out = np.stack([out - np.log2(z), out - np.log2(1 - z)], axis=-1).reshape(*zero.shape[:-1], 2 << k)
-        at += 1 << k
-    return out
-
-
-class Tree:
-    """Weighted context trees, one for each decision. levels[d]: (zeros, ones) of [contexts at depth d, decisions]."""
-
-    def __init__(self, deepest: np.ndarray, branching: list[int]):
-        """deepest: symbol counts [contexts, ...]; branching: children of a node at each depth, from the top."""
-        self.levels, self.branching = [], branching
-        for d in range(len(branching), -1, -1):
-            self.levels.insert(0, _decisions(deepest))
-            if d:
-                deepest = deepest.reshape(-1, branching[d - 1], *deepest.shape[1:]).sum(axis=1)
-        self.stop, below = [], None  # posterior of ending at each depth
-        for d in range(len(branching), -1, -1):
-            own = _kt(*self.levels[d])
-            if below is None:
-                self.stop.insert(0, None)
-                below = own
-            else:
-                split = below.reshape(-1, branching[d], *below.shape[1:]).sum(axis=1)
-                both = np.logaddexp(own, split) - math.log(2)
-                self.stop.insert(0, np.exp(own - math.log(2) - both))
-                below = both
-        self.weighted = below  # log probability of all data, at the top
-
-    def zero(self) -> np.ndarray:
-        """Probability of a zero at each deepest context."""
-        out = None
-        for d in range(len(self.branching), -1, -1):
-            a, b = self.levels[d]
-            estimate, reach = (a + 0.5) / (a + b + 1), int(np.prod(self.branching[d:]))
-            if out is None:
-                out = estimate
-            else:
-                stop = np.repeat(self.stop[d], reach, axis=0)
-                out = stop * np.repeat(estimate, reach, axis=0) + (1 - stop) * out
-        return out
-
-    def zero_below(self, mixed: np.ndarray, left: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Probability of a zero at each deepest context, below nodes with the sum `mixed` of weighted estimates, the weight
-        `left` and the estimate `last` of the deepest with counts. Nodes without counts leave their weight to that one."""
-        mixed, left, last = (x[None] for x in (mixed, left, last))
-        for d, (a, b) in enumerate(self.levels):
-            if d:
-                mixed, left, last = (np.repeat(x, self.branching[d - 1], axis=0) for x in (mixed, left, last))
-            known, estimate = a + b > 0, (a + 0.5) / (a + b + 1)
-            weight = np.where(known, 1.0 if self.stop[d] is None else self.stop[d], 0.0)
-            mixed, left, last = mixed + left * weight * estimate, left * (1 - weight), np.where(known, estimate, last)
-        return mixed + left * last
-
-
-def mix(a: np.ndarray, b: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of nodes with given log probabilities below: posterior of ending there, estimate of a zero, log probability."""
+def mix(a: np.ndarray, b: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of inner nodes with given log probabilities below: posterior of ending there, log probability."""
     own = _kt(a, b)
     both = np.logaddexp(own, below) - math.log(2)
-    return np.exp(own - math.log(2) - both), (a + 0.5) / (a + b + 1), both
-
-
-def _rounded(lengths: np.ndarray) -> np.ndarray:
-    return np.ceil(lengths * UNIT - 1e-9).astype(np.uint16)
+    return np.exp(own - math.log(2) - both), both
+
+
+State = tuple[np.ndarray, np.ndarray, np.ndarray]  # sum of weighted estimates, weight left, deepest estimate with counts
+
+
+def descend(state: State, stop: np.ndarray, a: np.ndarray, b: np.ndarray) -> State:
+    """The state one node further down."""
+    mixed, left, last = state
+    known, estimate = a + b > 0, (a + 0.5) / (a + b + 1)
+    weight = np.where(known, stop, 0.0)
+    return mixed + left * weight * estimate, left * (1 - weight), np.where(known, estimate, last)
+
+
+class Level:
+    """Contexts of one depth with their symbols: sorted keys (context << 8 | symbol), counts; per decision k (the symbol's bit k
+    from the top) the runs of keys that share it."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        self.keys, self.n = keys, n
+        self.first, self.run, self.zeros, self.ones = [], [], [], []
+        for k in range(8):
+            shared = keys >> (8 - k)
+            new = np.concatenate([[True], shared[1:] != shared[:-1]])
+            first = np.flatnonzero(new)
+            ones = np.add.reduceat(n * ((keys >> (7 - k)) & 1), first)
+            self.first.append(first)
+            self.run.append((np.cumsum(new) - 1).astype(np.int32))
+            self.ones.append(ones.astype(np.float64))
+            self.zeros.append((np.add.reduceat(n, first) - ones).astype(np.float64))
+
+    def above(self) -> tuple[Level, np.ndarray]:
+        """The level of contexts that are one byte shorter, and the place there of each key."""
+        keys, place = np.unique(((self.keys >> 16) << 8) | (self.keys & 255), return_inverse=True)
+        return Level(keys, np.bincount(place, self.n, len(keys)).astype(np.int64)), place
+
+
+def weigh(keys: np.ndarray, n: np.ndarray, depth: int, top: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The trees below whole contexts of `top` bytes, from sorted keys of `depth` bytes.
+
+    Returns, per decision, each key's probability of a zero given that the tree goes as far as `top` (nan without counts there);
+    and for contexts of top - 1 bytes: keys (context << 8 | decision, numbered as a heap), zeros, ones, log probability below.
+    """
+    levels, places = [Level(keys, n)], []
+    for _ in range(depth - top):
+        level, place = levels[-1].above()
+        levels.append(level)
+        places.append(place)
+    stops, weighted = [], []
+    for i, level in enumerate(levels):
+        if not i:
+            stops.append([np.ones(len(a)) for a in level.zeros])
+            weighted = [_kt(a, b) for a, b in zip(level.zeros, level.ones, strict=True)]
+            continue
+        made = []
+        for k in range(8):
+            parent = level.run[k][places[i - 1][levels[i - 1].first[k]]]
+            made.append(mix(level.zeros[k], level.ones[k], np.bincount(parent, weighted[k], len(level.first[k]))))
+        stops.append([s for s, _ in made])
+        weighted = [w for _, w in made]
+    below, upper = [], []
+    for k in range(8):
+        size = len(levels[-1].first[k])
+        state: State = (np.zeros(size), np.ones(size), np.full(size, np.nan))
+        for i in range(len(levels) - 1, -1, -1):
+            if i < len(levels) - 1:
+                parent = levels[i + 1].run[k][places[i][levels[i].first[k]]]
+                state = tuple(x[parent] for x in state)
+            state = descend(state, stops[i][k], levels[i].zeros[k], levels[i].ones[k])
+        mixed, left, last = state
+        below.append((mixed + np.where(left > 0, left * last, 0.0))[levels[0].run[k]])
+        shared = levels[-1].keys[levels[-1].first[k]]
+        upper.append(((shared >> 16) << 8) | (1 << k) | ((shared & 255) >> (8 - k)))
+    flat, place = np.unique(np.concatenate(upper), return_inverse=True)
+    sums = (np.bincount(place, np.concatenate(x), len(flat)) for x in (levels[-1].zeros, levels[-1].ones, weighted))
+    return below, flat, *sums
+
+
+def upper_states(keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray, depth: int) -> State:
+    """States at contexts of `depth` bytes (2 at most) from the sums that `weigh` gives for them; keys sorted."""
+    stop, weighted = mix(zeros, ones, below)
+    if not depth:
+        size = len(keys)
+        return descend((np.zeros(size), np.ones(size), np.full(size, 0.5)), stop, zeros, ones)
+    shorter, place = np.unique(((keys >> 16) << 8) | (keys & 255), return_inverse=True)
+    state = upper_states(shorter, *(np.bincount(place, x, len(shorter)) for x in (zeros, ones, weighted)), depth - 1)
+    return descend(tuple(x[place] for x in state), stop, zeros, ones)
+
+
+def code_lengths(keys: np.ndarray, below: np.ndarray, known: np.ndarray, states: State, depth: int, top: int) -> np.ndarray:
+    """Code lengths of pairs in 1 / UNIT bit, rounded up; below: [pairs, 8] as log odds, known: the sorted keys of the states."""
+    symbol, context = keys & 255, keys >> (8 + 8 * (depth - top + 1))
+    bits = np.zeros(len(keys))
+    for k in range(8):
+        at = np.searchsorted(known, (context << 8) | (1 << k) | (symbol >> (8 - k)))
+        mixed, left, last = (x[at] for x in states)
+        odds = below[:, k]
+        zero = mixed + left * np.where(odds == UNKNOWN, last, 1 / (1 + np.exp(-odds / LOGIT)))
+        zero = np.clip(zero, 2.0**-24, 1 - 2.0**-24)
+        bits -= np.log2(np.where((symbol >> (7 - k)) & 1, 1 - zero, zero))
+    return np.minimum(np.ceil(bits * UNIT - 1e-9), 65535).astype(np.int32)
+
+
+def _odds(p: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore"):
+        p = np.clip(p, 1e-14, 1 - 1e-14)
+        return np.where(np.isnan(p), UNKNOWN, np.rint(LOGIT * np.log(p / (1 - p)))).astype(np.int16)
 
 
 # --- learning ----------------------------------------------------------------------------------------------------
 
 
-def _corpus_counts(df: DataFrame) -> DataFrame:
-    """df(_text) of the training documents -> kind (0 low, 1 high, 2 word), key, n; summed over all."""
+def _summed(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, n = (np.concatenate([r[i] for r in runs]) for i in (0, 1))
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
 
-    def summed(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        keys, n = (np.concatenate([r[i] for r in runs]) for i in (0, 1))
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+def corpus_counts(df: DataFrame, depth: int, flush: int = 4_000_000) -> DataFrame:
+    """df(_text, _held) -> kind (0 pair, 2 word of training texts), key, n in training texts, m in all; summed over all."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        high = np.zeros(HIGH, np.int64)
-        words, size, lows, runs = [], 0, [], []
+        words, pairs, runs, size = [], [], [], 0
 
-        def out(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def out(kind: int, keys: np.ndarray, n: np.ndarray, m: np.ndarray) -> Iterator[pa.RecordBatch]:
             for lo in range(0, len(keys), 100_000):
-                k, c = keys[lo : lo + 100_000], n[lo : lo + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k.astype(np.int64)), pa.array(c.astype(np.int64))], names=["kind", "key", "n"])
+                k, c, t = (x[lo : lo + 100_000].astype(np.int64) for x in (keys, n, m))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array(c), pa.array(t)], names=["kind", "key", "n", "m"])
+
+        def pairs_out() -> Iterator[pa.RecordBatch]:
+            keys, n = runs[0]  # the lowest bit tells held-out texts
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] >> 1 != keys[:-1] >> 1]))
+            yield from out(0, keys[first] >> 1, np.add.reduceat(n * (1 - (keys & 1)), first), np.add.reduceat(n, first))
 
         for batch in batches:
-            for _, texts in blocks(batch, "_text"):
-                data, begin = _stream(texts)
-                i, j = _symbols(data)
-                use = np.ones(len(data), bool)
-                for gap in range(1, HISTORY):  # of the marks between texts only the first is coded, as the end of the text before
-                    use[begin[1:] - gap] = False
-                use[1 - HISTORY :] = False
-                i, j = i[use[HISTORY:]], j[use[HISTORY:]]
-                lows.append(i)
-                high += np.bincount(j, minlength=HIGH)
-                own = Words(texts, SPACE_WORDS).hashes().view(np.int64)
-                words.append(np.concatenate([own, np.full(len(texts), END_HASH, np.int64)]))
-                size += len(i)
-                if size > 4_000_000:
-                    runs = [summed([*runs, np.unique(np.concatenate(lows), return_counts=True)])]
-                    yield from out(2, *np.unique(np.concatenate(words), return_counts=True))
-                    words, size, lows = [], 0, []
-                    if len(runs[0][0]) > 4_000_000:
-                        yield from out(0, *runs[0])
+            held_all = batch.column("_held").to_numpy(zero_copy_only=False).astype(bool)
+            for begin, texts in blocks(batch, "_text"):
+                keys, sizes = pair_keys(texts, depth)
+                held = held_all[begin : begin + len(texts)]
+                pairs.append(np.unique((keys << 1) | np.repeat(held, sizes), return_counts=True))
+                learn = [t for t, h in zip(texts, held.tolist(), strict=True) if not h]
+                words.append(np.concatenate([Words(learn, SPACE_WORDS).hashes().view(np.int64), np.full(len(learn), END_HASH, np.int64)]))
+                size += len(pairs[-1][0])
+                if size > flush:
+                    runs, pairs, size = [_summed([*runs, *pairs])], [], 0
+                    w, n = np.unique(np.concatenate(words), return_counts=True)
+                    yield from out(2, w, n, n)
+                    words = []
+                    if len(runs[0][0]) > flush:
+                        yield from pairs_out()
                         runs = []
+        if pairs:
+            runs = [_summed([*runs, *pairs])]
+        if runs:
+            yield from pairs_out()
         if words:
-            yield from out(2, *np.unique(np.concatenate(words), return_counts=True))
-            yield from out(0, *summed([*runs, np.unique(np.concatenate(lows), return_counts=True)]))
-        elif runs:
-            yield from out(0, *runs[0])
-        at = np.flatnonzero(high)
-        yield from out(1, at, high[at])
-
-    return df.select("_text").mapInArrow(count, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-
-
-def _subtree(pdf: pd.DataFrame, least: float) -> tuple[Tree, np.ndarray, np.ndarray]:
-    """The tree below the two bytes before; which deepest contexts occur, and which are looked up map-side."""
-    counts = np.zeros((1 << 12, 32))
-    counts.ravel()[pdf["key"].to_numpy() & ((1 << 17) - 1)] = pdf["n"].to_numpy()
-    total = counts.sum(axis=1)
-    occurs = total > 0
-    return Tree(counts, list(BELOW)), occurs, occurs & (np.floor(np.log2(np.maximum(total, 1)) * 16) >= least)
-
-
-class LowTable:
-    """Code lengths of low symbols: a row for each frequent context, one for the unseen below a parent that occurs, one for
-    all below parents that don't. The row of other contexts is -1: their lengths are in the written table."""
-
-    def __init__(self, defaults: np.ndarray):
-        """defaults: a row for each class of the byte before, for groups without counts."""
-        self.row = np.repeat(np.arange(TOP[0], dtype=np.int32), LOW // 32 // TOP[0])
-        self.parts, self.size = [defaults], len(defaults)
-
-    def add(self, group: int, occurs: np.ndarray, often: np.ndarray, own: np.ndarray, other: np.ndarray, unseen: np.ndarray) -> None:
-        seen = occurs.reshape(-1, BELOW[2]).any(axis=1)
-        parents = np.repeat(self.size + len(own) + len(other) + np.arange(len(unseen)), len(seen) // len(unseen))
-        parents[seen] = self.size + len(own) + np.arange(len(other))
-        place = np.repeat(parents, BELOW[2])
-        place[often] = self.size + np.arange(len(own))
-        place[occurs & ~often] = -1
-        self.row[group * len(occurs) : (group + 1) * len(occurs)] = place
-        self.parts += [own, other, unseen]
-        self.size += len(own) + len(other) + len(unseen)
-
-    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.row, np.concatenate(self.parts).ravel()
-
-
-def build_model(counts: DataFrame, keep: int = KEEP) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], DataFrame]:
-    """Rows of low contexts, code lengths of low symbols, and those of high ones; and the lengths of the contexts without a row
-    (context, lengths: 32 of two bytes). counts: the rows of kinds 0 and 1."""
-    low = counts.where("kind = 0").withColumn("g", F.shiftright("key", 17).cast("int"))
-    level = least_level(low.groupBy(F.shiftright("key", 5).alias("c")).agg(F.sum("n").alias("n")), "n", keep)
-    least = math.inf if level is None else level
-
-    def top(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree, _, _ = _subtree(pdf, least)
-        a, b = tree.levels[0]
-        return pd.DataFrame({"g": [int(pdf["g"].iloc[0])], "w": [tree.weighted[0].tolist()], "a": [a[0].tolist()], "b": [b[0].tolist()]})
-
-    held = np.zeros((3, *TOP, 31))
-    for r in low.groupBy("g").applyInPandas(top, "g int, w array<double>, a array<double>, b array<double>").collect():  # 2048 rows
-        held[:, r["g"] // TOP[1], r["g"] % TOP[1]] = r["w"], r["a"], r["b"]
-    below, a, b = held.sum(axis=2)
-    stop1, estimate1, below1 = mix(a, b, below)
-    stop0, estimate0, _ = mix(a.sum(axis=0), b.sum(axis=0), below1.sum(axis=0))
-
-    def upper(c: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        left = (1 - stop0) * (1 - stop1[c])
-        return stop0 * estimate0 + (1 - stop0) * stop1[c] * estimate1[c], left, np.where(a[c] + b[c] > 0, estimate1[c], estimate0)
-
-    def table(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree, occurs, often = _subtree(pdf, least)
-        g = int(pdf["g"].iloc[0])
-        lengths = _rounded(_lengths(tree.zero_below(*upper(g // TOP[1])), 5))
-        by_parent = occurs.reshape(-1, BELOW[2])
-        seen = by_parent.any(axis=1)
-        other = lengths.reshape(-1, BELOW[2], 32)[np.arange(len(seen)), np.argmin(by_parent, axis=1)]  # of a child that doesn't occur
-        first = np.argmin(seen.reshape(BELOW[0], -1), axis=1)  # of each third byte, a fourth that doesn't occur
-        unseen = other.reshape(BELOW[0], -1, 32)[np.arange(BELOW[0]), first]
-        rare = np.flatnonzero(occurs & ~often)
-        parts = {"occurs": np.packbits(occurs), "often": np.packbits(often), "own": lengths[often], "other": other[seen], "unseen": unseen}
-        return pd.DataFrame({"g": [g], **{k: [v.tobytes()] for k, v in parts.items()}, "rare": [(g << 12) + rare], "lengths": [[x.tobytes() for x in lengths[rare].astype(">u2")]]})
-
-    defaults = [m + left * last for m, left, last in map(upper, range(TOP[0]))]
-    out = LowTable(np.stack([_rounded(_lengths(z, 5)) for z in defaults]))
-    kinds = "g int, occurs binary, often binary, own binary, other binary, unseen binary, rare array<int>, lengths array<binary>"
-    made = materialize(low.groupBy("g").applyInPandas(table, kinds), "ctw-lengths")
-    for r in made.drop("rare", "lengths").toLocalIterator():
-        bits = [np.unpackbits(np.frombuffer(r[k], np.uint8)).astype(bool) for k in ("occurs", "often")]
-        out.add(r["g"], *bits, *(np.frombuffer(r[k], np.uint16).reshape(-1, 32) for k in ("own", "other", "unseen")))
-    others = made.select(F.explode(F.arrays_zip("rare", "lengths")).alias("x")).select(F.col("x.rare").alias("context"), F.col("x.lengths").alias("lengths"))
-    high = np.zeros(HIGH)
-    for r in counts.where("kind = 1").select("key", "n").toLocalIterator():
-        high[r["key"]] = r["n"]
-    zero = Tree(high.reshape(2048, 32, 8), [256, 8]).zero()
-    return (*out.arrays(), _rounded(_lengths(zero, 3)).ravel()), others
+            w, n = np.unique(np.concatenate(words), return_counts=True)
+            yield from out(2, w, n, n)
+
+    made = df.select("_text", "_held").mapInArrow(count, "kind byte, key long, n long, m long")
+    return made.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+
+
+def pair_lengths(pairs: DataFrame, depth: int = DEPTH, chunk: int = CHUNK) -> DataFrame:
+    """pairs(key, n, m) -> key, m, length: code lengths of all pairs in 1 / UNIT bit. Written in the shared folder."""
+    spark, top = pairs.sparkSession, min(3, depth)
+    shift = 8 + 8 * (depth - top)
+    schema = "key long, m long, odds binary, zeros double, ones double, below double"
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(keys: np.ndarray, n: np.ndarray, m: np.ndarray) -> Iterator[pa.RecordBatch]:
+            below, flat, zeros, ones, weighted = weigh(keys, n, depth, top)
+            odds = np.stack([_odds(x) for x in below], axis=1)
+            binary = pa.Array.from_buffers(pa.binary(16), len(keys), [None, pa.py_buffer(np.ascontiguousarray(odds))]).cast(pa.binary())
+            none = lambda kind, size: pa.nulls(size, kind)
+            f = pa.float64()
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(m), binary, *(none(f, len(keys)) for _ in range(3))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), none(pa.int64(), len(flat)), none(pa.binary(), len(flat)), *(pa.array(x, f) for x in (zeros, ones, weighted))], names=names)
+
+        names, held, size = ["key", "m", "odds", "zeros", "ones", "below"], [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append([batch.column(i).to_numpy() for i in range(3)])
+            size += batch.num_rows
+            if size >= chunk:
+                whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+                cut = int(np.searchsorted(whole[0], (whole[0][-1] >> shift) << shift))  # where the last context begins
+                held, size = [[x[cut:] for x in whole]], size - cut
+                if cut:
+                    yield from done(*(x[:cut] for x in whole))
+        if size:
+            yield from done(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    dealt = pairs.select("key", "n", "m").repartition(F.shiftright("key", shift)).sortWithinPartitions("key")
+    built = materialize(dealt.mapInArrow(build, schema), "ctw-built")
+    sums = built.where("odds IS NULL").groupBy("key").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below"))
+    found = sums.toArrow().sort_by("key")  # contexts of two bytes at most, 255 decisions each at most
+    known, *rest = (found.column(c).to_numpy() for c in ("key", "zeros", "ones", "below"))
+    shared = spark.sparkContext.broadcast((known, upper_states(known, *rest, top - 1)))
+
+    def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("key").to_numpy()
+            below = np.frombuffer(b"".join(batch.column("odds").to_pylist()), np.int16).reshape(-1, 8)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("m"), pa.array(code_lengths(keys, below, *shared.value, depth, top))], names=["key", "m", "length"])
+
+    return materialize(built.where("odds IS NOT NULL").select("key", "m", "odds").mapInArrow(price, "key long, m long, length int"), "ctw-lengths")
+
+
+class PairTable:
+    """Keys to code lengths: open addressing in two flat arrays, at most half full."""
+
+    def __init__(self, keys: np.ndarray, lengths: np.ndarray):
+        self.bits = max(4, (2 * len(keys)).bit_length())
+        room = 1 << self.bits
+        self.keys, self.lengths = np.full(room, -1, np.int64), np.zeros(room, np.uint16)
+        at, left = self._slots(keys), np.arange(len(keys))
+        while len(left):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[left[free]]
+            placed = self.keys[at] == keys[left]
+            self.lengths[at[placed]] = lengths[left[placed]]
+            at, left = (at[~placed] + 1) & (room - 1), left[~placed]
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Lengths; -1 where a key isn't in the table."""
+        at = self._slots(keys)
+        there = self.keys[at]
+        out = np.where(there == keys, self.lengths[at].astype(np.int32), -1)
+        left = np.flatnonzero((there != keys) & (there >= 0))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & (len(self.keys) - 1)
+            there, own = self.keys[at], keys[left]
+            hit = there == own
+            out[left[hit]] = self.lengths[at[hit]]
+            go = ~hit & (there >= 0)
+            left, at = left[go], at[go]
+        return out
 
 
 # --- scoring -----------------------------------------------------------------------------------------------------
 
 
-def score(docs: DataFrame, held_out: Column, table_size: int = TABLE, keep: int = KEEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out: Column, table_size: int = TABLE, keep: int = KEEP, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
+    if not 1 <= depth <= 6:
+        raise ValueError("a depth of 1 to 6 bytes")
     spark = docs.sparkSession
     df = docs.select(F.col(id_col).alias("_id"), held_out.alias("_held"), text_of(text_col).alias("_text"))
-    counts = materialize(_corpus_counts(df.where(~F.col("_held"))), "ctw-counts")
+    counts = materialize(corpus_counts(df, depth), "ctw-counts")
     words = counts.where("kind = 2")
     distinct, total = words.agg(F.count("n"), F.coalesce(F.sum("n"), F.lit(0))).first()
     scale = math.log10(total + 0.5 * (distinct + 1))
     frequent, is_frequent = most_frequent(words, "n", table_size)
     top = frequent.select("key", "n").toArrow().sort_by("key")  # table_size rows
-    arrays, others = build_model(counts, keep)
-    model = spark.sparkContext.broadcast((*arrays, top.column("key").to_numpy(), top.column("n").to_numpy()))
+    lengths = pair_lengths(counts.where("kind = 0"), depth)
+    often, is_often = most_frequent(lengths, "m", keep)
+    pairs = often.select("key", "length").toArrow()  # keep rows
+    model = spark.sparkContext.broadcast(
+        (PairTable(pairs.column("key").to_numpy(), pairs.column("length").to_numpy()), top.column("key").to_numpy(), top.column("n").to_numpy())
+    )
+    del pairs
     kind = df.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, low, high, keys, n = model.value
+        table, keys, n = model.value
         logs = np.log10(n + 0.5) - scale
         for batch in batches:
             for begin, texts in blocks(batch, "_text"):
-                data, first = _stream(texts)
-                i, j = _symbols(data)
-                at = row[i >> 5]
-                written = np.flatnonzero(at < 0)
-                own = low[(at << 5) | (i & 31)].astype(np.int64)
-                own[written] = 0
-                running = np.concatenate([[0], np.cumsum(own + high[j])])
-                sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-                holder = np.searchsorted(first, written + HISTORY, side="right") - 1
-                coded = (holder >= 0) & (written + HISTORY - first[holder] <= sizes[holder])  # not the marks between texts
-                written, holder = written[coded], holder[coded]
-                bits = (running[first - HISTORY + sizes + 1] - running[first - HISTORY]) / UNIT
+                own, sizes = pair_keys(texts, depth)
+                found = table.find(own)
+                other = found < 0
+                holder = np.repeat(np.arange(len(texts)), sizes)
+                bits = np.bincount(holder, np.where(other, 0, found), len(texts)) / UNIT
                 w = Words(texts, SPACE_WORDS)
                 # with one end for each text, after its words
                 hashes, ends = w.hashes().view(np.int64), w.first[1:]
@@ -360,14 +372,14 @@ def score(docs: DataFrame, held_out: Column, table_size: int = TABLE, keep: int
                 known = np.bincount(owner[hit], minlength=len(texts))
                 base = np.bincount(owner[hit], logs[at[hit]], len(texts)) if len(keys) else np.zeros(len(texts))
                 misses = ~hit
-                held = batch.slice(begin, len(texts))
+                part = batch.slice(begin, len(texts))
                 yield pa.RecordBatch.from_arrays(
-                    [held.column("_id"), held.column("_held"), pa.array(sizes), pa.array(per), pa.array(known.astype(np.int64)), pa.array(base), pa.array(bits),
+                    [part.column("_id"), part.column("_held"), pa.array(sizes - 1), pa.array(per), pa.array(known.astype(np.int64)), pa.array(base), pa.array(bits),
                      list_array(hashes[misses], np.bincount(owner[misses], minlength=len(texts)), pa.int64()),
-                     list_array(i[written], np.bincount(holder, minlength=len(texts)), pa.int32())],
-                    names=["_id", "_held", "_bytes", "_tokens", "_known", "_base", "_bits", "_rest", "_low"])
+                     list_array(own[other], np.bincount(holder[other], minlength=len(texts)), pa.int64())],
+                    names=["_id", "_held", "_bytes", "_tokens", "_known", "_base", "_bits", "_rest", "_pairs"])
 
-    scored = df.mapInArrow(run, f"_id {kind}, _held boolean, _bytes long, _tokens long, _known long, _base double, _bits double, _rest array<long>, _low array<int>")
+    scored = df.mapInArrow(run, f"_id {kind}, _held boolean, _bytes long, _tokens long, _known long, _base double, _bits double, _rest array<long>, _pairs array<long>")
     scored = materialize(scored.withColumn("_row", F.monotonically_increasing_id()), "ctw-scored")
     # The other words meet their counts; equal words of a text travel once.
     rest = scored.select("_row", F.explode("_rest").alias("key")).groupBy("_row", "key").agg(F.count(F.lit(1)).alias("_times"))
@@ -377,16 +389,13 @@ def score(docs: DataFrame, held_out: Column, table_size: int = TABLE, keep: int
         "_row", F.when(n > 0, F.col("_times")).otherwise(F.lit(0)).alias("_known"), (F.col("_times") * (F.log10(n + 0.5) - F.lit(scale))).alias("_base")
     )
     more = found.groupBy("_row").agg(F.sum("_known").alias("_known2"), F.sum("_base").alias("_base2"))
-    # The bytes after written contexts meet their code lengths.
-    after = scored.select("_row", F.explode("_low").alias("_e")).select("_row", F.shiftright("_e", 5).alias("context"), F.col("_e").bitwiseAND(31).alias("_symbol"))
-    length = F.conv(F.hex(F.substring("lengths", F.col("_symbol") * 2 + 1, F.lit(2))), 16, 10).cast("long")
-    low_bits = after.join(others, "context").groupBy("_row").agg((F.sum(length) / UNIT).alias("_bits2"))
-    scored = scored.join(low_bits, "_row", "left").withColumn("_bits", F.col("_bits") + F.coalesce("_bits2", F.lit(0.0)))
+    # The other pairs meet their code lengths: each has a row.
+    apart = scored.select("_row", F.explode("_pairs").alias("key")).join(lengths.where(~is_often).select("key", "length"), "key")
+    scored = scored.join(apart.groupBy("_row").agg((F.sum("length") / UNIT).alias("_bits2")), "_row", "left").withColumn("_bits", F.col("_bits") + F.coalesce("_bits2", F.lit(0.0)))
     zero = F.lit(0)
-    score10 = -F.col("_bits") * math.log10(2)
-    return scored.drop("_rest", "_low", "_bits2").join(more, "_row", "left").select(
+    return scored.drop("_rest", "_pairs", "_bits2").join(more, "_row", "left").select(
         F.col("_id").alias(id_col), F.col("_held").alias("held_out"), F.col("_tokens").alias("n_tokens"), (F.col("_known") + F.coalesce("_known2", zero)).alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("_base") + F.coalesce("_base2", F.lit(0.0))).alias("base_score"), score10.alias("score"),
+        F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("_base") + F.coalesce("_base2", F.lit(0.0))).alias("base_score"), (-F.col("_bits") * math.log10(2)).alias("score"),
         F.col("_bytes").alias("n_bytes"), (F.col("_bits") / (F.col("_bytes") + 1)).alias("bits_per_byte"),
     )
 

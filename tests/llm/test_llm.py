@@ -324,53 +324,6 @@ def test_context_tree(docs, rows):
     assert not left
 
 
-def test_rare_contexts_keep_their_own_lengths(docs):
-    """Whatever is looked up map-side, each context that occurs has its own code lengths."""
-    all_kept, few_kept = (Counter((r["doc_id"], r["n_bytes"], round(r["score"], 6)) for r in context_tree.score_documents(docs, keep=keep).collect()) for keep in (1 << 19, 40))
-    assert all_kept == few_kept
-
-
-def direct_mixture(counts, branching, path, symbol_bits, symbol):
-    """Probability of a symbol by the definition: at each decision, weigh own estimate and children recursively."""
-    p = 1.0
-    for level in range(symbol_bits):
-        prefix, bit = symbol >> (symbol_bits - level), (symbol >> (symbol_bits - level - 1)) & 1
-
-        def pair(block, level=level, prefix=prefix):
-            flat = block.reshape(-1, 1 << symbol_bits).sum(axis=0).reshape(1 << level, 2, -1).sum(axis=2)
-            return flat[prefix]
-
-        def block_probability(a, b):
-            out = 1.0
-            for k in range(int(a)):
-                out *= (k + 0.5) / (k + 1)
-            for k in range(int(b)):
-                out *= (k + 0.5) / (a + k + 1)
-            return out
-
-        def weighted(block, depth):
-            own = block_probability(*pair(block))
-            return own if depth == len(branching) else 0.5 * own + 0.5 * math.prod(weighted(block[k], depth + 1) for k in range(branching[depth]))
-
-        more = counts.copy()
-        at = tuple(path) + (((prefix << 1) | bit) << (symbol_bits - level - 1),)
-        more[at] += 1
-        p *= weighted(more, 0) / weighted(counts, 0)
-    return p
-
-
-def test_mixture_matches_its_definition():
-    rng = np.random.default_rng(4)
-    counts = rng.integers(0, 3, (3, 2, 4)).astype(float)
-    counts[1, 1] = 0
-    tree = context_tree.Tree(counts.reshape(6, 4), [3, 2])
-    lengths = context_tree._lengths(tree.zero(), 2).reshape(3, 2, 4)
-    assert (2.0 ** -lengths).sum(axis=-1) == pytest.approx(1)
-    for path in ((0, 0), (1, 1), (2, 1)):
-        for symbol in range(4):
-            assert 2.0 ** -lengths[(*path, symbol)] == pytest.approx(direct_mixture(counts, [3, 2], path, 2, symbol))
-
-
 def test_empty_tables(spark, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
