@@ -38,6 +38,7 @@ DEPTH = 6  # six bytes of context and the symbol fit a long
 KEEP, TABLE = 1 << 22, 1 << 18  # pairs and words looked up map-side; only speed
 UNIT = 512
 CHUNK = 400_000  # pairs weighed at once
+BLOCK, FLUSH = 1_000_000, 1_000_000  # bytes of text, and pairs, that a worker handles at once
 LOGIT = 1000  # estimates are stored as log odds in thousandths
 UNKNOWN = -32768
 END_HASH = 0x5851F42D4C957F2D
@@ -200,7 +201,7 @@ def _summed(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def corpus_counts(df: DataFrame, depth: int, flush: int = 4_000_000) -> DataFrame:
+def corpus_counts(df: DataFrame, depth: int, flush: int = FLUSH) -> DataFrame:
     """df(_text, _held) -> kind (0 pair, 2 word of training texts), key, n in training texts, m in all; summed over all."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,19 +219,20 @@ def corpus_counts(df: DataFrame, depth: int, flush: int = 4_000_000) -> DataFram
 
         for batch in batches:
             held_all = batch.column("_held").to_numpy(zero_copy_only=False).astype(bool)
-            for begin, texts in blocks(batch, "_text"):
+            for begin, texts in blocks(batch, "_text", BLOCK):
                 keys, sizes = pair_keys(texts, depth)
                 held = held_all[begin : begin + len(texts)]
                 pairs.append(np.unique((keys << 1) | np.repeat(held, sizes), return_counts=True))
                 learn = [t for t, h in zip(texts, held.tolist(), strict=True) if not h]
                 words.append(np.concatenate([Words(learn, SPACE_WORDS).hashes().view(np.int64), np.full(len(learn), END_HASH, np.int64)]))
                 size += len(pairs[-1][0])
-                if size > flush:
-                    runs, pairs, size = [_summed([*runs, *pairs])], [], 0
+                if sum(map(len, words)) > flush:
                     w, n = np.unique(np.concatenate(words), return_counts=True)
                     yield from out(2, w, n, n)
                     words = []
-                    if len(runs[0][0]) > flush:
+                if size > flush:
+                    runs, pairs, size = [_summed([*runs, *pairs])], [], 0
+                    if len(runs[0][0]) > 2 * flush:
                         yield from pairs_out()
                         runs = []
         if pairs:
@@ -355,7 +357,7 @@ def score(docs: DataFrame, held_out: Column, table_size: int = TABLE, keep: int
         table, keys, n = model.value
         logs = np.log10(n + 0.5) - scale
         for batch in batches:
-            for begin, texts in blocks(batch, "_text"):
+            for begin, texts in blocks(batch, "_text", BLOCK):
                 own, sizes = pair_keys(texts, depth)
                 found = table.find(own)
                 other = found < 0
