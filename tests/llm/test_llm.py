@@ -277,11 +277,63 @@ def test_toxicity(spark):
     assert all(got[i]["held_out"] for i, _ in held) and len(got) == 1502
     assert sum((got[i]["score"] >= 0.5) == bool(y) for i, y in held) >= 0.98 * len(held)  # pairs decide: a linear model can't
     assert 0 <= got[5001]["score"] == got[5000]["score"] < 0.5
+    docs = docs.withColumns({"_score": F.lit(1), "my col": F.lit("a"), "a.b": F.lit(2)})
     kept = toxicity.remove_toxic(docs, labels)
     assert kept.columns == docs.columns and 1200 < kept.count() < 1300
     assert toxicity.score_documents(docs, labels.where("1 = 0")).agg(F.max("score")).first()[0] < 1e-6
 
 
+def test_toxicity_learns_a_pair_of_balanced_terms(spark):
+    """Each term is as common in toxic as in other texts; only whether both or neither stand there decides."""
+    rng = random.Random(11)
+    plain, rows = ["".join(rng.choices("bcdfgmnprst", k=4)) for _ in range(300)], []
+    for i in range(3000):
+        text, a, b = rng.choices(plain, k=30), rng.random() < 0.5, rng.random() < 0.5
+        rows.append((i, " ".join(text + ["insult"] * a + ["group"] * b), int(a == b)))
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs, labels).collect()}
+    held = [(i, y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum((got[i] >= 0.5) == bool(y) for i, y in held) >= 0.97 * len(held)
+
+
+def test_toxicity_score_and_gradient():
+    rng = np.random.default_rng(6)
+    w, v, w0 = rng.normal(0, 0.3, 12), rng.normal(0, 0.3, (12, 3)), -0.4
+    terms = [sorted(rng.choice(12, n, replace=False).tolist()) for n in (0, 1, 2, 5, 12)]
+    margin = lambda t, w, v: w0 + sum(w[i] for i in t) + sum(v[i] @ v[j] for a, i in enumerate(t) for j in t[a + 1 :])
+    direct = [1 / (1 + math.exp(-margin(t, w, v))) for t in terms]
+    model = toxicity.FactorizationMachine({}, w0, w, v)
+    assert model.scores(terms).tolist() == pytest.approx(direct)
+    # One AdaGrad step with a large start is rate / sqrt(start) times the gradient of the mean loss, plus decay of factors.
+    y = np.array([0, 1, 1, 0, 1.0])
+    loss = lambda w, v: -np.mean([math.log(p if label else 1 - p) for p, label in zip([1 / (1 + math.exp(-margin(t, w, v))) for t in terms], y, strict=True)])
+    samples = toxicity.Samples([np.array(t, np.int32) for t in terms], y, 12)
+    w2, v2 = w.copy(), v.copy()
+    toxicity.descend(samples, np.zeros(5), w2, v2, w0, epochs=1, rate=1.0, start=1e8, l2=0.0)
+    for i in range(12):
+        up, down = w.copy(), w.copy()
+        up[i] += 1e-5
+        down[i] -= 1e-5
+        assert (w[i] - w2[i]) * 1e4 == pytest.approx((loss(up, v) - loss(down, v)) / 2e-5, abs=1e-5)
+        for f in range(3):
+            up, down = v.copy(), v.copy()
+            up[i, f] += 1e-5
+            down[i, f] -= 1e-5
+            assert (v[i, f] - v2[i, f]) * 1e4 == pytest.approx((loss(w, up) - loss(w, down)) / 2e-5, abs=1e-5)
+
+
+def test_sparse_weights_meet_the_optimality_conditions():
+    rng = np.random.default_rng(9)
+    terms = [np.flatnonzero(rng.random(80) < 0.2).astype(np.int32) for _ in range(500)]
+    y = np.array([float(3 in t or 5 in t) for t in terms])
+    samples = toxicity.Samples(terms, y, 80)
+    w0, w = toxicity.sparse_weights(samples, 3.0)
+    p = y.mean()
+    bound = 3.0 * np.sqrt(np.bincount(samples.cols, minlength=80) * p * (1 - p))
+    g = samples.gradient(1 / (1 + np.exp(-samples.margin(w0, w))) - y)
+    assert set(np.flatnonzero(w)) >= {3, 5} and (np.abs(g) <= 1.05 * bound + 0.1).all()
+
+
 def test_warc(spark, tmp_path):
     rows = [(5, "u5", "<p>é</p>"), (3, "u\r\n3", "<p>é</p>"), (9, None, None), (2, "u2", ""), (None, "n", "lonely"), (7, "u7", "z" * 300_000), (8, "u8", "a\r\n\r\nb"), (8, "u8", "a\r\n\r\nb")]
     pages = spark.createDataFrame([(a, b, c, "e") for a, b, c in rows], "page_id long, url string, html string, record_type string")
