@@ -19,11 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a local one only where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local one in local mode; an error on a cluster,
+    whose executors have no folder in common that could be guessed."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="skein-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -40,6 +43,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def positional(df: DataFrame) -> DataFrame:
+    """The same rows with columns c0, c1, ...: whatever the names were, they clash with nothing and need no quoting."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def text_of(column: str | Column = "text") -> Column:
     c = F.col(column) if isinstance(column, str) else column
     return F.coalesce(c.cast("string"), F.lit(""))

@@ -34,6 +34,7 @@ KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 #: Every access or hex span lies in such a run.
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+_ORDINARY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z_][A-Za-z0-9_-]{5,18}(?![A-Za-z0-9+/_=-])")
 SAMPLE_ROWS, GENERATED, SMOOTH, BACK_OFF = 20_000, 4_000, 0.5, 5.0
 
 
@@ -112,29 +113,36 @@ def generated_samples(count: int = GENERATED) -> list[tuple[str, bool]]:
 
 def sample_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> np.ndarray:
     """Transition counts of labelled samples from about `rows` documents at most, chosen by hash: random are the values that
-    the rules find, ordinary the words of 6 to 19 characters (in texts without a find; longer ones are what is judged), each once in a task."""
+    the rules find, ordinary the words of 6 to 19 characters (in texts without a find; longer ones are what is judged), each
+    different word once. The same rows give the same counts, however they are dealt to tasks."""
     text = text_of(text_col)
     mine = F.pmod(F.xxhash64(F.col(id_col), text), F.lit(max(docs.count(), rows)))
     chosen = docs.where(mine < rows).select(text.alias("t"))
     n = len(ALPHABET)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, n + 1, n), np.int64)
-        words: set[str] = set()
+    def samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found: list[tuple[str, int]] = []
+            words: set[str] = set()
             for t in batch.column(0).to_pylist():
                 spans = rule_spans(t, [m.span() for m in RUN.finditer(t)])
-                for s, k, e in spans:
-                    np.add.at(total[1], _transitions(ASSIGN.match(t, s)[2] if k == 0 else t[s:e]), 1)
-                if not spans and len(words) < 100_000:
-                    words.update(re.findall(r"(?<![A-Za-z0-9+/_=-])[A-Za-z_][A-Za-z0-9_-]{5,18}(?![A-Za-z0-9+/_=-])", t))
-        for w in words:
-            np.add.at(total[0], _transitions(w), 1)
+                found += [(ASSIGN.match(t, s)[2] if k == 0 else t[s:e], 1) for s, k, e in spans]
+                if not spans:
+                    words.update(_ORDINARY.findall(t))
+            found += [(w, 0) for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([k for _, k in found], pa.int8())], names=["sample", "kind"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, n + 1, n), np.int64)
+        for batch in batches:
+            for w, kind, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                np.add.at(total[kind], _transitions(w), times if kind else 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["at", "n"])
 
+    distinct = chosen.mapInArrow(samples, "sample string, kind byte").groupBy("sample", "kind").agg(F.count(F.lit(1)).alias("times"))
     out = np.zeros(2 * (n + 1) * n)
-    for x in chosen.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+    for x in distinct.select("sample", "kind", "times").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         out[x["at"]] = x["n"]
     return out.reshape(2, n + 1, n)
 

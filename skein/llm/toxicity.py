@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ._common import fold_of, materialize, text_of
+from ._common import fold_of, materialize, positional, text_of
 
 BUCKETS, MAX_ROWS, MIN_SAMPLES, FACTORS = 1 << 20, 20_000, 3, 8
 PENALTY, STAND_OUT = 4.0, 4.0
@@ -317,4 +317,5 @@ def remove_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         for batch in batches:
             yield batch.filter(pa.array(scores(batch.column(at)) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = positional(docs)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
