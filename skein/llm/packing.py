@@ -144,7 +144,7 @@ def _packed(items: DataFrame, n: int, size: int, group_size: int, keys: str, kin
         return pdf
 
     dealt = items.withColumn("_group", F.pmod(F.xxhash64(*names), F.lit(groups)).cast("int"))
-    return dealt.groupBy("_group").applyInPandas(pack, f"{kinds}, _size long, _group int, _bin long, _at long")
+    return dealt.repartition(groups, "_group").groupBy("_group").applyInPandas(pack, f"{kinds}, _size long, _group int, _bin long, _at long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken", size: int = SIZE, end_id: int = END,
