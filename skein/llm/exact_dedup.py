@@ -41,18 +41,21 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = winners.select("_sha", *mark, "_keep", "_size").groupBy("_sha", "_x", "_n").agg(
         F.max("_keep").alias("_keep"), F.max("_size").alias("_size"), F.count(F.lit(1)).alias("_texts")
     )
-    groups = groups.select(
-        "_sha", "_x", "_n", "_keep", F.when(F.col("_texts") == 1, F.col("_size")).otherwise(F.raise_error(F.lit("two texts with one digest")).cast("long")).alias("_size")
-    )
-    # Equal rows (same id and text) are counted, joined once and spread out again: they can't make a join hot.
+    several = groups.where("_size > 1").select(
+        "_sha", "_x", "_n", "_keep", F.when(F.col("_texts") == 1, F.col("_size")).otherwise(F.raise_error(F.lit("two texts with one digest")).cast("long")).alias("_size"),
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
+    )
+    # Equal rows (same id and text) are counted, joined once and spread out again, and rows of one text meet its group in
+    # `salts` places: neither makes the join hot. A text that occurs once is its own group.
     rows = base.select("_id", _digest(F.col("_text")).alias("_sha"), *mark).groupBy("_sha", "_x", "_n", "_id").agg(F.count(F.lit(1)).alias("_rows"))
-    joined = rows.join(groups, ["_sha", "_x", "_n"])
+    joined = rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int")).join(several, ["_sha", "_x", "_n", "_salt"], "left")
     spread = joined.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows"))).alias("_copy"))
+    keep = F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_keep"))
     return spread.select(
         F.col("_id").alias(id_col),
-        F.col("_keep").alias("keep_id"),
-        F.col("_size").alias("group_size"),
-        (F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_copy") == 1)).alias("kept"),
+        keep.alias("keep_id"),
+        F.coalesce("_size", F.lit(1).cast("long")).alias("group_size"),
+        (F.col("_id").eqNullSafe(keep) & (F.col("_copy") == 1)).alias("kept"),
         F.col("_sha").alias("text_sha256"),
     )
 
