@@ -19,7 +19,8 @@
 Edge cases: null, empty and blank texts have no n-grams, no links, and are their own component; a text with fewer than n
 words is one n-gram; repeated rows and ids are rows of their own with the component of their text; null ids are ignored
 as component ids where another exists. Extra columns are ignored (`representatives` keeps them). Texts are read whole.
-Sets are told apart by 64-bit hashes of n-grams.
+Sets are told apart by 64-bit hashes of n-grams; where
+classes of sets are formed and texts are fetched by their hash, a second hash is compared, and a difference stops the job.
 """
 
 from __future__ import annotations
@@ -30,16 +31,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE_WORDS, Words, blocks, list_array, materialize, mix64, most_frequent, span_hashes, text_of
+from ._common import SPACE_WORDS, Words, blocks, list_array, materialize, mix64, most_frequent, positional, span_hashes, text_of
 from .components import components
 
 N, PERCENT = 5, 80
 FREQUENT, PER_TASK, FLUSH = 131_072, 20_000, 2_000_000
 BLOCK, BLOCK_GRAMS = 4_096, 4_000_000
-SHARE = 20
+SHARE, SALTS = 20, 16
+_SECOND = np.uint64(0xBF58476D1CE4E5B9)
 BITS = 27  # of the bit tables: 2 ** BITS bits
 
 
@@ -97,7 +99,7 @@ def frequent_grams(df: DataFrame, n: int, table_size: int = FREQUENT, per_task:
 
 
 def _prefixes(df: DataFrame, frequent, n: int, percent: int) -> DataFrame:
-    """df(_id, _text) -> _id, _tk (hash of the text), _n, _sk (hash of the set), _prefix."""
+    """df(_id, _text) -> _id, _tk (hash of the text), _n, _sk and _sk2 (hashes of the set), _prefix."""
     kind = df.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,19 +119,21 @@ def _prefixes(df: DataFrame, frequent, n: int, percent: int) -> DataFrame:
                     rank = np.full(len(flat), -1)
                 ends = np.cumsum(sizes)
                 keep = np.where(sizes > 0, np.minimum(sizes, sizes - -(-percent * sizes // 100) + least_shared(sizes)), 0)
-                prefixes, marks = [], np.zeros(len(sets), np.int64)
+                prefixes, marks, seconds = [], np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
                 for i, (e, s, k) in enumerate(zip(ends.tolist(), sizes.tolist(), keep.tolist(), strict=True)):
                     r = rank[e - s : e]
                     prefixes.append(sets[i][np.argsort(r, kind="stable")[:k]] if (r >= 0).any() else sets[i][:k])
                     if s:
-                        marks[i] = mix64(mix64(sets[i].view(np.uint64)).sum(keepdims=True) + np.uint64(s)).view(np.int64)[0]
+                        values = sets[i].view(np.uint64)
+                        marks[i] = mix64(mix64(values).sum(keepdims=True) + np.uint64(s)).view(np.int64)[0]
+                        seconds[i] = mix64(values * _SECOND).sum(keepdims=True).view(np.int64)[0]
                 flat = np.concatenate(prefixes) if prefixes else flat
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("_id").slice(begin, len(texts)), batch.column("_tk").slice(begin, len(texts)), pa.array(sizes), pa.array(marks, mask=sizes == 0),
-                     list_array(flat, keep, pa.int64())], names=["_id", "_tk", "_n", "_sk", "_prefix"])
+                     pa.array(seconds), list_array(flat, keep, pa.int64())], names=["_id", "_tk", "_n", "_sk", "_sk2", "_prefix"])
 
     with_key = df.select("_id", F.xxhash64("_text").alias("_tk"), "_text")
-    return with_key.mapInArrow(run, f"_id {kind}, _tk long, _n long, _sk long, _prefix array<long>")
+    return with_key.mapInArrow(run, f"_id {kind}, _tk long, _n long, _sk long, _sk2 long, _prefix array<long>")
 
 
 class _Node:
@@ -225,6 +229,11 @@ def group_edges(keys: np.ndarray, sets: list[np.ndarray], sides: list[int] | Non
     return [(own[i], own[r]) for i in range(len(own)) if (r := trie.find(i)) != i]
 
 
+def _one(column: str, what: str) -> Column:
+    """The column, if all rows of its key had one second hash; otherwise two different things share a key, and the job stops."""
+    return F.when(F.col("_x") == F.col("_y"), F.col(column)).otherwise(F.raise_error(F.lit(f"two {what}s with one hash")).cast("string" if what == "text" else "long")).alias(column)
+
+
 def _bit_table(df: DataFrame, column: str) -> np.ndarray:
     """A table of 2 ** BITS bits; those of the values of the column are set."""
     place = F.col(column).bitwiseAND((1 << BITS) - 1)
@@ -255,10 +264,11 @@ def _links(df: DataFrame, sets: DataFrame, n: int, percent: int, block: int, blo
             stay = held >= least_shared(percent * sizes // 100)
             on &= stay[owner]
             rest = batch.filter(pa.array(stay))
-            yield pa.RecordBatch.from_arrays([rest.column(c) for c in ("_sk", "_n", "_tk")] + [list_array(flat[on], held[stay], pa.int64())], names=["_sk", "_n", "_tk", "_prefix"])
+            yield pa.RecordBatch.from_arrays([rest.column(c) for c in ("_sk", "_sk2", "_n", "_tk")] + [list_array(flat[on], held[stay], pa.int64())], names=["_sk", "_sk2", "_n", "_tk", "_prefix"])
 
-    chosen = sets.where("_n > 0").select("_sk", "_n", "_tk", "_prefix").mapInArrow(choose, "_sk long, _n long, _tk long, _prefix array<long>")
-    classes = chosen.groupBy("_sk").agg(F.first("_prefix").alias("_prefix"), F.first("_n").alias("_n"), F.min("_tk").alias("_tk"))
+    chosen = sets.where("_n > 0").select("_sk", "_sk2", "_n", "_tk", "_prefix").mapInArrow(choose, "_sk long, _sk2 long, _n long, _tk long, _prefix array<long>")
+    classes = chosen.groupBy("_sk").agg(F.first("_prefix").alias("_prefix"), F.first("_n").alias("_n"), F.min("_tk").alias("_tk"), F.min("_sk2").alias("_x"), F.max("_sk2").alias("_y"))
+    classes = classes.select("_sk", "_prefix", "_tk", _one("_n", "set"))
     postings = materialize(classes.select("_sk", "_n", "_tk", F.explode("_prefix").alias("_g")), "jaccard-postings")
     # With exact counts: all but the k - 1 most frequent of a set's shared n-grams are enough to meet its partners, and
     # only sets of the same or the next class of sizes can link.
@@ -284,7 +294,8 @@ def _links(df: DataFrame, sets: DataFrame, n: int, percent: int, block: int, blo
             yield batch.filter(pa.array(_marked(in_use.value, batch.column("_tk").to_numpy())))
 
     own = df.select(F.xxhash64("_text").alias("_tk"), "_text").mapInArrow(used, "_tk long, _text string")
-    texts = own.groupBy("_tk").agg(F.first("_text").alias("_text"))
+    second = F.xxhash64(F.lit("second"), "_text")
+    texts = own.groupBy("_tk").agg(F.first("_text").alias("_text"), F.min(second).alias("_x"), F.max(second).alias("_y")).select("_tk", _one("_text", "text"))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["_sk", "_rep", "_side", "_i", "_j"]
@@ -320,17 +331,24 @@ def similar_documents(docs: DataFrame, n: int = N, percent: int = PERCENT, id_co
 
 def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (smallest id of its component)."""
-    found = similar_documents(docs, n, percent, id_col, text_col, **options)
-    least = found.where("_component IS NOT NULL").groupBy("_component").agg(F.min("_id").alias("_least"))
-    joined = found.join(least, "_component", "left")
-    return joined.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.coalesce("_least", "_id").alias("component_id"))
+    found = materialize(similar_documents(docs, n, percent, id_col, text_col, **options).select("_id", "_n", "_component"), "jaccard-found")
+    several = found.where("_component IS NOT NULL").groupBy("_component").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
+    # Rows of one component meet its smallest id in SALTS places; rows without words, or alone, meet nothing.
+    dealt = several.select("_component", "_least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    rows = found.where("_component IS NOT NULL").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
+    joined = rows.join(dealt, ["_component", "_salt"], "left").select("_id", "_n", F.coalesce("_least", "_id").alias("_least"))
+    both = joined.unionByName(found.where("_component IS NULL").select("_id", "_n", F.col("_id").alias("_least")))
+    return both.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.col("_least").alias("component_id"))
 
 
 def representatives(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, with all columns, without those that are near copies of a row with a smaller id. Rows with the
-    same id and text stay or go together."""
+    """The rows of docs, with all columns as they are, without those that are near copies of a row with a smaller id. Rows with
+    the same id and text stay or go together."""
     found = materialize(similar_documents(docs, n, percent, id_col, text_col, **options).where("_component IS NOT NULL").select(F.struct("_id", "_tk").alias("_row"), "_component"), "jaccard-found")
-    least = found.groupBy("_component").agg(F.min("_row").alias("_least"))
-    gone = found.join(least, "_component").where("_row <> _least").select(F.col("_row._id").alias("_gone"), F.col("_row._tk").alias("_gone_tk")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("_gone")) & (F.xxhash64(text_of(text_col)) == F.col("_gone_tk"))
-    return docs.join(gone, same, "left_anti")
+    several = found.groupBy("_component").agg(F.min("_row").alias("_least"), F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
+    dealt = several.select("_component", "_least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    rows = found.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
+    gone = rows.join(dealt, ["_component", "_salt"]).where("_row <> _least").select(F.col("_row._id").alias("gone_id"), F.col("_row._tk").alias("gone_text")).distinct()
+    plain = positional(docs)
+    own_id, own_text = (F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col))
+    return plain.join(gone, own_id.eqNullSafe(F.col("gone_id")) & (F.xxhash64(text_of(own_text)) == F.col("gone_text")), "left_anti").toDF(*docs.columns)
