@@ -2,11 +2,15 @@
 
 A record is hashed into one of `n_slots` (thousands) virtual slots; bytes are summed per slot; a versioned map says
 which shard holds a slot. Only the map is edited when shards are added or loads change, so records move by whole slots.
-The map has n_slots rows whatever the input, and is the only thing that reaches the driver.
+The map has n_slots rows whatever the input, and is the only thing that reaches the driver, but for the list of heavy texts.
 
-The slot is the hash of the text, so equal texts share a slot and a shard. A slot that alone holds more than
-`hot_share` of a shard's fair load (one text that fills a large part of the table) is marked hot: its rows are spread
-over all slots by the hash of (id, copy number) instead, so one group can't outweigh a shard.
+Version 1 of the map deals the slots in turn, before any load is known. It is stored; the loads are measured, and the
+map is edited: slots move from the heaviest to the lightest shard until all are near equal. That is version 2; it is stored
+too, read back, and used.
+
+The slot is the hash of the text, so equal texts share a slot and a shard. Only a text whose copies alone hold more than
+`hot_share` of a shard's fair load (n_shards / hot_share texts at most) is spread, over all slots by the hash of (id, copy
+number), so that no group outweighs a shard; the other texts of its slot stay where they are.
 
 Law: `bytes` (the sizes of shards are near equal). Edge cases: a null text has no bytes and size 1; repeated rows are
 rows of their own; an empty table gives an empty table; ids may be null. Extra columns are ignored.
@@ -14,27 +18,27 @@ rows of their own; an empty table gives an empty table; ids may be null. Extra c
 
 from __future__ import annotations
 
-import heapq
 import json
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ._common import materialize, text_of
+from ._common import materialize, new_folder, text_of
 
 N_SLOTS = 4096
 
 
 @dataclass(frozen=True)
 class SlotMap:
-    """A version of the map: shard[i] holds slot i; hot slots are spread by id."""
+    """A version of the map: shard[i] holds slot i; hot texts, by hash, size and checksum, are spread by id."""
 
     version: int
     n_shards: int
     shard: tuple[int, ...]
-    hot: frozenset[int] = frozenset()
+    hot: frozenset[tuple[int, int, int]] = frozenset()
 
     def to_json(self) -> str:
         return json.dumps({"version": self.version, "n_shards": self.n_shards, "shard": list(self.shard), "hot": sorted(self.hot)})
@@ -42,7 +46,7 @@ class SlotMap:
     @staticmethod
     def from_json(text: str) -> SlotMap:
         x = json.loads(text)
-        return SlotMap(x["version"], x["n_shards"], tuple(x["shard"]), frozenset(x["hot"]))
+        return SlotMap(x["version"], x["n_shards"], tuple(x["shard"]), frozenset(map(tuple, x["hot"])))
 
     def save(self, spark: SparkSession, folder: str) -> None:
         spark.createDataFrame([(self.version, self.to_json())], "version int, map string").coalesce(1).write.mode("append").parquet(folder)
@@ -54,17 +58,12 @@ class SlotMap:
         return SlotMap.from_json(stored.first()["map"])
 
 
-def plan_slots(loads: dict[int, int], n_shards: int, n_slots: int = N_SLOTS, hot: frozenset[int] = frozenset()) -> SlotMap:
-    """Version 1: largest slots first, each to the lightest shard."""
-    shard, heap = [0] * n_slots, [(0, s) for s in range(n_shards)]
-    for slot in sorted(range(n_slots), key=lambda i: (-loads.get(i, 0), i)):
-        load, s = heapq.heappop(heap)
-        shard[slot] = s
-        heapq.heappush(heap, (load + loads.get(slot, 0), s))
-    return SlotMap(1, n_shards, tuple(shard), hot)
+def first_map(n_shards: int, n_slots: int = N_SLOTS) -> SlotMap:
+    """Version 1: the slots in turn."""
+    return SlotMap(1, n_shards, tuple(i % n_shards for i in range(n_slots)))
 
 
-def rebalance(current: SlotMap, loads: dict[int, int], n_shards: int | None = None, tolerance: float = 0.02) -> SlotMap:
+def rebalance(current: SlotMap, loads: dict[int, int], n_shards: int | None = None, tolerance: float = 0.0005, hot: frozenset[tuple[int, int, int]] | None = None) -> SlotMap:
     """The next version: slots move from the heaviest to the lightest shard until all are within the tolerance; others stay."""
     n_shards = n_shards or current.n_shards
     shard, held = list(current.shard), [set() for _ in range(n_shards)]
@@ -84,7 +83,7 @@ def rebalance(current: SlotMap, loads: dict[int, int], n_shards: int | None = No
         shard[slot] = low
         load[high] -= loads[slot]
         load[low] += loads[slot]
-    return SlotMap(current.version + 1, n_shards, tuple(shard), current.hot)
+    return SlotMap(current.version + 1, n_shards, tuple(shard), current.hot if hot is None else hot)
 
 
 def _records(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -95,11 +94,17 @@ def _records(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return narrow.groupBy("_id", "_size", "_crc", "_x").agg(F.count(F.lit(1)).alias("_rows"))
 
 
-def _slotted(records: DataFrame, hot: frozenset[int], n_slots: int) -> DataFrame:
+def hot_texts(records: DataFrame, least: int) -> frozenset[tuple[int, int, int]]:
+    """Texts whose copies hold more than `least` bytes together: hash, size, checksum."""
+    sums = records.groupBy("_x", "_size", "_crc").agg(F.sum(F.col("_size") * F.col("_rows")).alias("b")).where(F.col("b") > least)
+    return frozenset((r["_x"], r["_size"], r["_crc"]) for r in sums.collect())
+
+
+def _slotted(records: DataFrame, hot: frozenset[tuple[int, int, int]], n_slots: int) -> DataFrame:
     own = F.pmod(F.col("_x"), F.lit(n_slots)).cast("int")
     if not hot:
         return records.withColumn("_slot", own)
-    is_hot = own.isin(sorted(hot))
+    is_hot = reduce(Column.__or__, [(F.col("_x") == x) & (F.col("_size") == size) & (F.col("_crc") == crc) for x, size, crc in sorted(hot)])
     copies = F.when(is_hot, F.sequence(F.lit(1).cast("long"), F.col("_rows"))).otherwise(F.array(F.lit(0).cast("long")))
     spread = records.withColumn("_copy", F.explode(copies))
     return spread.select(
@@ -108,7 +113,7 @@ def _slotted(records: DataFrame, hot: frozenset[int], n_slots: int) -> DataFrame
     )
 
 
-def slot_loads(records: DataFrame, hot: frozenset[int], n_slots: int) -> dict[int, tuple[int, int]]:
+def slot_loads(records: DataFrame, hot: frozenset[tuple[int, int, int]], n_slots: int) -> dict[int, tuple[int, int]]:
     """Bytes and rows of each slot: n_slots entries at most."""
     sums = _slotted(records, hot, n_slots).groupBy("_slot").agg(F.sum(F.col("_size") * F.col("_rows")).alias("b"), F.sum("_rows").alias("r"))
     return {x["_slot"]: (x["b"], x["r"]) for x in sums.collect()}
@@ -117,22 +122,24 @@ def slot_loads(records: DataFrame, hot: frozenset[int], n_slots: int) -> dict[in
 def shard_documents(
     docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS, hot_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text", map_folder: str | None = None
 ) -> DataFrame:
-    """One row per row of docs: id, size, text_crc32, law, shard, slot (place in its shard, gapless from 0), grown_shard, virtual_slot, map_version."""
+    """One row per row of docs: id, size, text_crc32, law, shard, slot (place in its shard, gapless from 0), grown_shard, virtual_slot, map_version.
+
+    map_folder: where the map's versions are stored; a new folder of the shared one if it isn't given."""
+    spark = docs.sparkSession
+    map_folder = map_folder or new_folder(spark, "slot-map")
+    first_map(n_shards, n_slots).save(spark, map_folder)
     records = materialize(_records(docs, id_col, text_col), "shard-records")
-    loads, hot = slot_loads(records, frozenset(), n_slots), frozenset()
-    total = sum(b for b, _ in loads.values())
-    if found := frozenset(s for s, (b, _) in loads.items() if b > hot_share * total / n_shards):
-        hot = found
-        loads = slot_loads(records, hot, n_slots)
-    plan = plan_slots({s: b for s, (b, _) in loads.items()}, n_shards, n_slots, hot)
-    if map_folder:
-        plan.save(docs.sparkSession, map_folder)
+    total = records.agg(F.sum(F.col("_size") * F.col("_rows"))).first()[0] or 0
+    hot = hot_texts(records, int(hot_share * total / n_shards))
+    loads = slot_loads(records, hot, n_slots)
+    rebalance(SlotMap.load(spark, map_folder), {s: b for s, (b, _) in loads.items()}, hot=hot).save(spark, map_folder)
+    plan = SlotMap.load(spark, map_folder)
     first, base = [0] * n_shards, []
     for slot in range(n_slots):
         s = plan.shard[slot]
         base.append((slot, s, first[s]))
         first[s] += loads.get(slot, (0, 0))[1]
-    places = F.broadcast(docs.sparkSession.createDataFrame(base, "_slot int, shard int, _base long"))  # n_slots rows
+    places = F.broadcast(spark.createDataFrame(base, "_slot int, shard int, _base long"))  # n_slots rows
     before = W.partitionBy("_slot").orderBy("_id", "_x", "_size", "_crc", "_rows").rowsBetween(W.unboundedPreceding, W.currentRow)
     numbered = _slotted(records, hot, n_slots).withColumn("_last", F.sum("_rows").over(before)).join(places, "_slot")
     end = F.col("_base") + F.col("_last")
