@@ -54,11 +54,50 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
+_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
 def oracle_sql() -> dict[str, str]:
+    """SQL for what SQL can express; the other operators are held against brute force in tests/llm."""
+    lower = _LOWER.format("text")
     return {
         "op6_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
                    sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+        # Different sets are compared through their shared n-grams; components by reachability over classes of equal sets.
+        "op7_trie_jaccard_join": f"""
+            WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({lower}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+            s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+                  ELSE list_sort(list_distinct([array_to_string(ws[i : i + 3], ' ') FOR i IN range(1, len(ws) - 2)])) END AS g FROM w),
+            classes AS (SELECT g, min(doc_id) AS least, len(g) AS n FROM s WHERE len(g) > 0 GROUP BY g),
+            grams AS (SELECT least, n, unnest(g) AS gram FROM classes),
+            links AS (SELECT a.least AS a, b.least AS b FROM grams a JOIN grams b ON a.gram = b.gram AND a.least <> b.least
+                      WHERE 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+                      GROUP BY a.least, b.least, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+            reach AS (SELECT least AS a, least AS b FROM classes UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+            roots AS (SELECT a, min(b) AS root FROM reach GROUP BY a)
+            SELECT s.doc_id, len(s.g) AS n_shingles, coalesce(r.root, s.doc_id) AS component_id
+            FROM s LEFT JOIN classes c ON s.g = c.g LEFT JOIN roots r ON c.least = r.a""",
+        "op8_warc_normaliser": """
+            WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+            m AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS least FROM p),
+            digits AS (SELECT *, [list_sum([(instr('0123456789abcdef', h[5 * g + i]) - 1) * (16 ** (5 - i))::BIGINT FOR i IN range(1, 6)])::BIGINT FOR g IN range(8)] AS d FROM m)
+            SELECT page_id, strlen(payload) AS payload_bytes,
+                   array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((d[1 + i // 4] >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1) FOR i IN range(32)], '') AS payload_digest,
+                   CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least THEN least END AS refers_to
+            FROM digits""",
+        "op9_decontaminate": f"""
+            WITH d AS (SELECT doc_id, regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+            b AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+            k AS (SELECT item, ws, least(10, len(ws)) AS k FROM b WHERE len(ws) > 0),
+            windows AS (SELECT DISTINCT item, k, array_to_string(ws[i : i + k - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS i FROM k)),
+            sizes AS (SELECT DISTINCT k FROM windows),
+            own AS (SELECT doc_id, k, i, array_to_string(ws[i : i + k - 1], ' ') AS win FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, sizes)),
+            hits AS (SELECT o.doc_id, o.i, o.k, w.item FROM own o JOIN windows w ON o.k = w.k AND o.win = w.win),
+            places AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM hits) GROUP BY doc_id),
+            items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item COLLATE "C") AS listed FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+            SELECT d.doc_id, len(d.ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+            FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)""",
     }

@@ -2,8 +2,8 @@
 
 * `write_archives` writes a record per page; each task writes files that are one gzip stream (rolled at `roll` bytes of records).
   Equal payloads: the smallest page id is a response, the others revisit it.
-* `normalise` inflates each file's stream once, piece by piece, and rewrites every record as a gzip member of its own, with a
-  sidecar (`<file>.idx`, lines of record id, offset, length) beside the new file.
+* `normalise` inflates each file's stream once, as it is read, and rewrites every record as a gzip member of its own, with a
+  sidecar (`<file>.idx`, lines of record id, offset, length) beside the new file. A task holds one record, whatever the file's size.
 * `read_archives` reads records through the sidecars, inflating each member alone, and checks payloads against their digests.
 
 Files lie in the shared folder, written through its own file system; a task's files carry its attempt number, and only
@@ -11,7 +11,7 @@ those that a successful task reported are read on, so a lost executor leaves not
 
 Edge cases: a null html is the empty payload; a null page id is written as an empty id; in a group of equal payloads null
 ids revisit the smallest id, and if it is repeated, or all ids are null, each of those rows is a response; null urls are
-empty; an empty table writes no records. Extra columns are ignored. A file must stay under 2 GB, as Spark reads it whole.
+empty; an empty table writes no records. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import batched
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from ._common import materialize, new_folder
 
 ROLL, LEVEL, PIECE = 32_000_000, 6, 1 << 20
+SALTS = 16
 GZIP = 31  # zlib's window bits for gzip
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -56,16 +58,22 @@ def headers(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
 
 
-def inflate(data: bytes, piece: int = PIECE) -> Iterator[bytes]:
-    """A gzip file's content in pieces, whether it has one member or several."""
-    while data:
-        stream = zlib.decompressobj(GZIP)
-        while not stream.eof:
-            part = stream.decompress(data, piece)
-            data = stream.unconsumed_tail or stream.unused_data
-            if not part and not stream.eof and not data:
-                raise ValueError("the gzip stream ends too early")
+def inflate(source, piece: int = PIECE) -> Iterator[bytes]:
+    """The content of a gzip file in pieces, whether it has one member or several; source: anything with read(size)."""
+    stream, data = None, b""
+    while True:
+        if not data:
+            data = source.read(piece)
+        if not data:
+            break
+        if stream is None or stream.eof:
+            stream = zlib.decompressobj(GZIP)
+        part = stream.decompress(data, piece)
+        data = stream.unused_data if stream.eof else stream.unconsumed_tail
+        if part:
             yield part
+    if stream is not None and not stream.eof:
+        raise ValueError("the gzip stream ends too early")
 
 
 def split_records(pieces: Iterator[bytes]) -> Iterator[bytes]:
@@ -120,7 +128,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", html_
     url = F.coalesce(F.col(url_col).cast("string"), F.lit("")) if url_col in pages.columns else F.lit("")
     base = pages.select(F.col(id_col).alias("_id"), url.alias("_url"), html.alias("_html"), F.sha2(F.encode(html, "UTF-8"), 256).alias("_sha"))
     groups = base.where(F.octet_length("_html") >= min_bytes).groupBy("_sha").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    marked = base.join(groups.select("_sha", "_first"), "_sha", "left")
+    # Rows of one payload meet their group in SALTS places, so a page that fills a third of the table doesn't fill a task.
+    dealt = groups.select("_sha", "_first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    marked = base.withColumn("_salt", F.pmod(F.xxhash64("_id", "_url"), F.lit(SALTS)).cast("int")).join(dealt, ["_sha", "_salt"], "left")
     refers = F.when(F.col("_first").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_first")), F.col("_first").cast("string"))
     rows = marked.select(F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("_id"), "_url", "_html", refers.alias("_refers"))
 
@@ -151,69 +161,79 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", html_
     return materialize(rows.mapInArrow(write, _REPORTED), "warc-written")
 
 
-def _files(spark: SparkSession, folder: str, report: DataFrame) -> DataFrame:
-    if not report.limit(1).count():
-        return spark.createDataFrame([], "file string, content binary")
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
-    named = found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    return named.join(F.broadcast(report.select("file")), "file", "left_semi") if report.count() <= 100_000 else named.join(report.select("file"), "file", "left_semi")
+def _dealt(report: DataFrame) -> DataFrame:
+    """The reported names, a file to a task."""
+    return report.select("file").repartitionByRange(max(1, report.count()), "file")
 
 
 def normalise(spark: SparkSession, folder: str, report: DataFrame, target: str, level: int = LEVEL) -> DataFrame:
     """Rewrites the reported files of folder into target; returns a row per new file."""
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        attempt = TaskContext.get().taskAttemptId()
+        from pyarrow import fs
+
+        attempt, (system, base) = TaskContext.get().taskAttemptId(), fs.FileSystem.from_uri(folder)
         for batch in batches:
             done = []
-            for old, content in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
+            for old in batch.column("file").to_pylist():
                 name = f"{old.removesuffix('.warc.gz')}-{attempt}.warc.gz"
-                file, index, n = _File(target, name), [], 0
-                for data in split_records(inflate(content.as_py())):
-                    stream = zlib.compressobj(level, zlib.DEFLATED, GZIP)
-                    member = stream.compress(data) + stream.flush()
-                    index.append(f"{headers(data[: data.find(b'\r\n\r\n')])['warc-record-id']}\t{file.size}\t{len(member)}\n")
-                    file.write(member)
-                    n += 1
-                sidecar = _File(target, f"{name}.idx")
-                sidecar.write("".join(index).encode())
+                file, sidecar, n = _File(target, name), _File(target, f"{name}.idx"), 0
+                with system.open_input_stream(f"{base}/{old}", compression=None) as source:
+                    for data in split_records(inflate(source)):
+                        stream = zlib.compressobj(level, zlib.DEFLATED, GZIP)
+                        member = stream.compress(data) + stream.flush()
+                        sidecar.write(f"{headers(data[: data.find(b'\r\n\r\n')])['warc-record-id']}\t{file.size}\t{len(member)}\n".encode())
+                        file.write(member)
+                        n += 1
                 sidecar.close()
                 file.close()
                 done.append((name, n, file.size))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], f.type) for i, f in enumerate(_REPORT)], schema=_REPORT)
 
-    return materialize(_files(spark, folder, report).mapInArrow(rewrite, _REPORTED), "warc-normalised")
+    return materialize(_dealt(report).mapInArrow(rewrite, _REPORTED), "warc-normalised")
+
+
+def _index(system, path: str) -> Iterator[tuple[int, int]]:
+    """Offsets and lengths of a sidecar, line by line."""
+    with system.open_input_stream(path, compression=None) as source:
+        rest = b""
+        while data := source.read(PIECE):
+            *lines, rest = (rest + data).split(b"\n")
+            for line in lines:
+                _, offset, length = line.rsplit(b"\t", 2)
+                yield int(offset), int(length)
 
 
 def read_archives(spark: SparkSession, folder: str, report: DataFrame) -> DataFrame:
     """A row per record: page_id (string), payload_bytes, payload_digest, record_type, refers_to (string), url, file, offset."""
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "file", "offset"]
+    kinds = [pa.string(), pa.int64(), *[pa.string()] * 5, pa.int64()]
+
+    def records(system, base: str, name: str) -> Iterator[tuple]:
+        with system.open_input_file(f"{base}/{name}") as archive:
+            for offset, length in _index(system, f"{base}/{name}.idx"):
+                archive.seek(offset)
+                whole = zlib.decompress(archive.read(length), GZIP)
+                at = whole.find(b"\r\n\r\n")
+                h, block = headers(whole[:at]), whole[at + 4 : -4]
+                http, _, payload = block.partition(b"\r\n\r\n")
+                digest, kind, size = h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"], int(headers(http)["content-length"])
+                if kind == "response" and (len(payload) != size or _digest(payload) != digest):
+                    raise ValueError(f"{name}: the payload of {h['warc-record-id']} does not match its record")
+                page, to = (h.get(k, "<urn:page:>")[len("<urn:page:") : -1] or None for k in ("warc-record-id", "warc-refers-to"))
+                yield page, size, digest, kind, to, h.get("warc-target-uri", ""), name, offset
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         system, base = fs.FileSystem.from_uri(folder)
-        kinds = [pa.string(), pa.int64(), *[pa.string()] * 5, pa.int64()]
         for batch in batches:
-            for name, content in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
-                data, out = content.as_buffer(), []
-                with system.open_input_stream(f"{base}/{name}.idx") as f:
-                    index = f.read().decode().splitlines()
-                for line in index:
-                    _, offset, length = line.rsplit("\t", 2)
-                    whole = zlib.decompress(data.slice(int(offset), int(length)), GZIP)
-                    at = whole.find(b"\r\n\r\n")
-                    h, block = headers(whole[:at]), whole[at + 4 : -4]
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    digest, kind, size = h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"], int(headers(http)["content-length"])
-                    if kind == "response" and (len(payload) != size or _digest(payload) != digest):
-                        raise ValueError(f"{name}: the payload of {h['warc-record-id']} does not match its record")
-                    page, to = (h.get(k, "<urn:page:>")[len("<urn:page:") : -1] or None for k in ("warc-record-id", "warc-refers-to"))
-                    out.append((page, size, digest, kind, to, h.get("warc-target-uri", ""), name, int(offset)))
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=names)
+            for name in batch.column("file").to_pylist():
+                for some in batched(records(system, base, name), 4096):
+                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in some], k) for i, k in enumerate(kinds)], names=names)
 
     schema = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string, file string, offset long"
-    return _files(spark, folder, report).mapInArrow(read, schema)
+    return _dealt(report).mapInArrow(read, schema)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", **options) -> DataFrame:

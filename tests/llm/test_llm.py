@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import math
 import pickle
 import random
@@ -383,9 +384,9 @@ def test_gzip_pieces():
     records = [warc.record(str(i), "u", bytes([65 + i % 20]) * (i * 997 % 5000), "1" if i % 3 == 0 else None) for i in range(60)]
     whole, members = gzip.compress(b"".join(records)), b"".join(gzip.compress(r) for r in records)
     for data in (whole, members):
-        assert list(warc.split_records(warc.inflate(data, 1000))) == records
+        assert list(warc.split_records(warc.inflate(io.BytesIO(data), 1000))) == records
     with pytest.raises(ValueError):
-        list(warc.split_records(warc.inflate(whole[:-400])))
+        list(warc.split_records(warc.inflate(io.BytesIO(whole[:-400]))))
 
 
 def test_context_tree(docs, rows):
