@@ -38,7 +38,7 @@ DEPTH = 6  # six bytes of context and the symbol fit a long
 KEEP, TABLE = 1 << 22, 1 << 18  # pairs and words looked up map-side; only speed
 UNIT = 512
 CHUNK = 400_000  # pairs weighed at once
-BLOCK, FLUSH = 500_000, 750_000  # bytes of text, and pairs, that a worker handles at once
+BLOCK, FLUSH = 500_000, 500_000  # bytes of text, and pairs, that a worker handles at once
 LOGIT = 1000  # estimates are stored as log odds in thousandths
 UNKNOWN = -32768
 END_HASH = 0x5851F42D4C957F2D
@@ -244,8 +244,7 @@ def corpus_counts(df: DataFrame, depth: int, flush: int = FLUSH) -> DataFrame:
             yield from out(2, w, n, n)
 
     made = df.select("_text", "_held").mapInArrow(count, "kind byte, key long, n long, m long")
-    # A task has summed its own already: dealt by key first, no second table of them is built before the shuffle.
-    return made.repartition("kind", "key").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    return made.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 def pair_lengths(pairs: DataFrame, depth: int = DEPTH, chunk: int = CHUNK) -> DataFrame:
