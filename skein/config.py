@@ -20,7 +20,7 @@ class IntervalConfig:
     segments: int = 4
 
     def __post_init__(self) -> None:
-        if self.bins < 2 or self.segments < 1 or self.segment_length < 1 or not 0 < self.cadence <= 1:
+        if self.bins < 2 or self.segments < 1 or self.segment_length < 1 or not 0 < self.cadence <= 1 or self.duration_bins < 1 or self.step_clip < 0:
             raise ValueError(f"impossible settings: {self}")
 
     @property

@@ -1,7 +1,8 @@
 """Interval profiles: voiced mask, gate, reference tone, and the histograms around it.
 
 All windows and aggregates of a segment use the keys (track_id, seg_idx), so one exchange serves them; histograms stay
-sparse (feature, idx, value) until a vector is asked for.
+sparse (feature, idx, value) until a vector is asked for. `segment_features` derives all of a segment's features from one
+array of its notes; the operators before it give each of them alone.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..config import IntervalConfig, ModeConfig
-from ..functions.scalars import is_number, num, pitch_class
+from ..functions.scalars import is_number, let, num, pitch_class, total
 from . import series
 from .series import G
 
@@ -110,51 +111,97 @@ def durations(itv: DataFrame) -> DataFrame:
 def duration_quantiles(itv: DataFrame, n_bins: int) -> DataFrame:
     """Buckets between inner quantiles of the segment's run lengths."""
     inner = [k / (n_bins - 2) for k in range(1, n_bins - 2)]
+    if not inner:
+        return histogram(runs(itv).withColumn("bucket", F.lit(0)), "bucket")
     edges = F.percentile("length", F.array(*[F.lit(q) for q in inner])).over(segment_window())
     placed = runs(itv).withColumn("_edges", edges)
     return histogram(placed.withColumn("bucket", F.size(F.filter("_edges", lambda e: e < F.col("length")))), "bucket")
 
 
-def scalars(frames: DataFrame, cfg: IntervalConfig, itv: DataFrame | None = None) -> DataFrame:
+def scalars(frames: DataFrame, cfg: IntervalConfig) -> DataFrame:
     """The eight scalars of a segment; zero but for the two ratios where it isn't pitched."""
-    rows = notes(frames, cfg) if itv is None else None
-    itv = intervals(rows, cfg) if itv is None else itv
-    clip = num(cfg.step_clip)
-    mine = itv.groupBy(*G).agg(
-        F.count(F.lit(1)).alias("_notes"), (F.avg(F.abs("step")) / clip).alias("step_mean"), (F.stddev_pop("step") / clip).alias("step_std"),
-        (F.sum((F.col("tail") & (F.col("itv") == 0)).cast("int")) / (F.sum(F.col("tail").cast("int")) + num(EPS))).alias("cadence_to_tonic"),
-    )
-    strength = tonics(itv).select(*G, "tonic_strength")
-    joined = gate(frames, cfg).join(mine, list(G), "left").join(strength, list(G), "left")
-    zero = lambda c: F.coalesce(c, num(0))
-    return joined.select(
-        *G, "pitched", "voiced_ratio", "harmonic_ratio", zero("step_mean").alias("step_mean"), zero("step_std").alias("step_std"),
-        zero(F.col("_notes") / F.col("n_frames")).alias("note_density"), zero("tonic_strength").alias("tonic_strength"), zero("cadence_to_tonic").alias("cadence_to_tonic"),
-        F.col("pitched").cast("double").alias("is_pitched"),
-    )
+    rows = segment_features(frames, cfg).where("feature = 'scalar'")
+    return rows.groupBy(*G).agg(*[F.max(F.when(F.col("idx") == i, F.col("value"))).alias(c) for i, c in enumerate(SCALARS)])
 
 
 SCALARS = ["voiced_ratio", "harmonic_ratio", "tonic_strength", "cadence_to_tonic", "step_mean", "step_std", "note_density", "is_pitched"]
 
 
+def packed(frames: DataFrame, cfg: IntervalConfig) -> DataFrame:
+    """One row per segment with everything that its features need: the gate's columns and `itv`, the intervals of its notes in
+    order (empty where it isn't pitched), with what follows from them. A segment is bounded by cfg.segment_length, so its
+    notes fit one array, and no window, join or second look at the frames is needed."""
+    voiced, zero = F.col("voiced").cast("int"), F.lit(0)
+    h, p = F.sqrt(F.avg("h_power")) + num(1e-12), F.sqrt(F.avg("p_power")) + num(1e-12)
+    note = F.when(F.col("voiced") & (F.col("f0_hz") > 0), F.struct("frame_idx", pitch_class(F.col("f0_hz"), cfg.bins).cast("int").alias("pc")))
+    rows = frames.groupBy(*G).agg(
+        F.avg(voiced).alias("voiced_ratio"), F.sum(voiced).alias("n_voiced"), F.count(F.lit(1)).alias("n_frames"), (h / (h + p + num(EPS))).alias("harmonic_ratio"),
+        F.array_sort(F.collect_list(note)).alias("_notes"),
+    )
+    poor = (F.col("voiced_ratio") < cfg.min_voiced_ratio) | (F.col("n_voiced") < cfg.min_voiced) | (F.col("harmonic_ratio") < cfg.min_harmonic_ratio) | (F.size("_notes") < cfg.min_voiced)
+    rows = rows.withColumn("pitched", ~poor).withColumn("_pc", F.when(F.col("pitched"), F.col("_notes.pc")).otherwise(F.array().cast("array<int>")))
+    rows = rows.withColumn("_n", F.size("_pc")).withColumn("_tail", F.greatest(F.lit(1), F.ceil(F.col("_n") * num(cfg.cadence)).cast("int")))
+    rows = rows.withColumn("_last", F.slice("_pc", F.greatest(F.lit(1), F.col("_n") - F.col("_tail") + 1), F.col("_tail")))
+    times = lambda column, v: F.size(F.filter(column, lambda x: x == v))
+    score = lambda v: F.struct((times("_pc", v) + num(0.5) * times("_last", v)).alias("score"), (-v).alias("low"))
+    rows = rows.withColumn("_s", F.sort_array(F.transform(F.array_distinct("_pc"), score), asc=False))
+    top, second = F.get("_s", zero)["score"], F.coalesce(F.get("_s", F.lit(1))["score"], num(0))
+    rows = rows.withColumn("_tonic", -F.get("_s", zero)["low"]).withColumn("tonic_strength", F.coalesce((top - second) / (top + num(EPS)), num(0)))
+    above = lambda x: F.pmod(x - F.col("_tonic"), F.lit(cfg.bins))
+    rows = rows.withColumn("itv", F.transform("_pc", above)).withColumn("_end", F.transform("_last", above))
+    before, after = F.slice("itv", F.lit(1), F.greatest(zero, F.col("_n") - 1)), F.slice("itv", F.lit(2), F.greatest(zero, F.col("_n") - 1))
+    rows = rows.withColumn("_moves", F.arrays_zip(before.alias("a"), after.alias("b")))
+    half = cfg.bins // 2
+    wrapped = F.transform("_moves", lambda m: F.greatest(F.least(F.pmod(m["b"] - m["a"] + half, F.lit(cfg.bins)) - half, F.lit(cfg.step_clip)), F.lit(-cfg.step_clip)))
+    rows = rows.withColumn("_steps", F.when(F.col("_n") == 1, F.array(zero)).otherwise(wrapped))
+    # A run ends where the next interval differs; its length is the way from the end before.
+    ends = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("_n"))), lambda i: (F.col("_n") > 0) & ((i == F.col("_n")) | (F.get("itv", i - 1) != F.get("itv", i))))
+    rows = rows.withColumn("_ends", ends)
+    return rows.withColumn("_runs", F.transform("_ends", lambda e, i: e - F.when(i == 0, zero).otherwise(F.get("_ends", i - 1))))
+
+
+def _run_buckets(n_bins: int) -> Column:
+    """The duration bucket of each run of a packed segment: fixed edges for 8 buckets, else inner quantiles of its runs."""
+    if n_bins == 8:
+        edges = F.array(*[F.lit(float(x)) for x in DURATION_EDGES])
+    else:
+        ordered, last = F.sort_array("_runs"), F.size("_runs") - 1
+
+        def quantile(q: float) -> Column:
+            at = last * num(q)
+            low, high = F.get(ordered, F.floor(at).cast("int")), F.get(ordered, F.ceil(at).cast("int"))
+            return F.when(low == high, low.cast("double")).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+
+        edges = F.array(*[quantile(k / (n_bins - 2)) for k in range(1, n_bins - 2)]) if n_bins > 3 else F.array().cast("array<double>")
+    return let(edges, lambda all_edges: F.transform("_runs", lambda length: F.size(F.filter(all_edges, lambda e: e < length))))
+
+
+def segment_features(frames: DataFrame, cfg: IntervalConfig) -> DataFrame:
+    """track_id, seg_idx, pitched, feature, idx, value. Every note, move, step and run is an entry of weight 1 over its
+    histogram's total, every scalar one over 1; they are summed where the segment already lies, without a shuffle."""
+    rows = packed(frames, cfg).withColumn("_buckets", _run_buckets(cfg.duration_bins))
+    entry = lambda name, idx, weight, whole: F.struct(F.lit(name).alias("feature"), idx.cast("int").alias("idx"), weight.alias("weight"), whole.alias("whole"))
+    counted = lambda name, column, idx: F.transform(column, lambda x: entry(name, idx(x), num(1), F.size(column) + num(EPS)))
+    clip, zero = num(cfg.step_clip), lambda c: F.coalesce(c, num(0))
+    steps = F.size("_steps")
+    mean = total(F.transform("_steps", lambda x: x.cast("double"))) / steps
+    spread = let(mean, lambda m: F.sqrt(total(F.transform("_steps", lambda x: (x - m) * (x - m))) / steps))
+    rows = rows.withColumn("step_mean", zero(F.when(steps > 0, total(F.transform("_steps", lambda x: F.abs(x).cast("double"))) / steps / clip)))
+    rows = rows.withColumn("step_std", zero(F.when(steps > 0, spread / clip))).withColumn("note_density", F.col("_n") / F.col("n_frames"))
+    rows = rows.withColumn("cadence_to_tonic", F.size(F.filter("_end", lambda x: x == 0)) / (F.size("_end") + num(EPS))).withColumn("is_pitched", F.col("pitched").cast("double"))
+    same = lambda x: x
+    entries = F.concat(
+        counted("hist", "itv", same), counted("trans", "_moves", lambda m: m["a"] * cfg.bins + m["b"]), counted("cadence", "_end", same),
+        counted("step", "_steps", lambda x: x + cfg.step_clip), counted("duration", "_buckets", same),
+        F.array(*[entry("scalar", F.lit(i), F.col(c), num(1)) for i, c in enumerate(SCALARS)]),
+    )
+    each = rows.select(*G, "pitched", F.explode(entries).alias("e")).select(*G, "pitched", "e.*")
+    return each.groupBy(*G, "pitched", "feature", "idx").agg((F.sum("weight") / F.max("whole")).alias("value"))
+
+
 def profile(frames: DataFrame, cfg: IntervalConfig) -> DataFrame:
     """All features of all segments, sparse: track_id, seg_idx, feature, idx, value. frames: with seg_idx and voiced."""
-    itv = intervals(notes(frames, cfg), cfg)
-    row = lambda df, name, idx: df.select(*G, F.lit(name).alias("feature"), idx.cast("int").alias("idx"), "value")
-    parts = [
-        row(histogram(itv, "itv"), "hist", F.col("itv")),
-        row(transitions(itv), "trans", F.col("previous") * cfg.bins + F.col("itv")),
-        row(cadences(itv), "cadence", F.col("itv")),
-        row(steps(itv), "step", F.col("step") + cfg.step_clip),
-        row(durations(itv), "duration", F.col("bucket")),
-    ]
-    one = scalars(frames, cfg, itv)
-    listed = F.posexplode(F.array(*[F.col(c) for c in SCALARS])).alias("idx", "value")
-    parts.append(one.select(*G, F.lit("scalar").alias("feature"), listed))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return segment_features(frames, cfg).drop("pitched")
 
 
 def offsets(cfg: IntervalConfig) -> dict[str, int]:
@@ -171,8 +218,10 @@ def offsets(cfg: IntervalConfig) -> dict[str, int]:
 def dense(sparse: DataFrame, size: int, place: Column, keys: list[str]) -> DataFrame:
     """keys, features: an array of `size` values, zeros where there is none."""
     filled = sparse.where(F.col("value") != 0).withColumn("_at", place.cast("int"))
-    held = filled.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_at", "value"))).alias("_m"))
-    return held.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), num(0))).alias("features"))
+    held = filled.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", "value"))).alias("_m"))
+    after = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("_m", i - 1)["_at"] + 1)
+    parts = F.flatten(F.transform("_m", lambda e, i: F.concat(F.array_repeat(num(0), e["_at"] - after(i)), F.array(e["value"]))))
+    return held.select(*keys, F.concat(parts, F.array_repeat(num(0), F.lit(size) - after(F.size("_m")))).alias("features"))
 
 
 def place(cfg: IntervalConfig) -> Column:
@@ -182,28 +231,29 @@ def place(cfg: IntervalConfig) -> Column:
     return at + F.col("idx")
 
 
-def pool(sparse: DataFrame, segments: DataFrame) -> DataFrame:
-    """Segments to series: the mean over pitched segments, or over all if none is pitched; then valid share and mean ratios.
-
-    segments: track_id, seg_idx, pitched, voiced_ratio, harmonic_ratio. Features that a segment lacks are zeros there.
-    """
-    counts = segments.groupBy("track_id").agg(
-        F.count(F.lit(1)).alias("_all"), F.sum(F.col("pitched").cast("int")).alias("_good"),
-        F.avg(F.col("pitched").cast("double")).alias("valid"), F.avg("voiced_ratio").alias("voiced"), F.avg(F.coalesce("harmonic_ratio", num(0))).alias("harmonic"),
+def pool(features: DataFrame) -> DataFrame:
+    """segment_features to series, sparse: the mean over pitched segments, or over all if none is pitched; then, as `track`, the
+    valid share and the mean voiced and harmonic ratios. Features that a segment lacks are zeros there. One shuffle, by series."""
+    scalar = lambda i: F.max(F.when((F.col("feature") == "scalar") & (F.col("idx") == i), F.col("value")))
+    segments = features.groupBy(*G, "pitched").agg(F.collect_list(F.struct("feature", "idx", "value")).alias("_e"), scalar(0).alias("_voiced"), scalar(1).alias("_harmonic"))
+    tracks = segments.groupBy("track_id").agg(
+        F.count(F.lit(1)).alias("_all"), F.sum(F.col("pitched").cast("int")).alias("_good"), F.avg(F.col("pitched").cast("double")).alias("_valid"),
+        F.avg("_voiced").alias("_voiced"), F.avg(F.coalesce("_harmonic", num(0))).alias("_harmonic"), F.collect_list(F.struct("pitched", "_e")).alias("_segments"),
     )
-    used = sparse.join(segments.select(*G, "pitched"), list(G)).join(counts.select("track_id", "_all", "_good"), "track_id")
-    used = used.where("pitched OR _good = 0")
-    pooled = used.groupBy("track_id", "feature", "idx").agg((F.sum("value") / F.max(F.when(F.col("_good") > 0, F.col("_good")).otherwise(F.col("_all")))).alias("value"))
-    extra = counts.select("track_id", F.lit("track").alias("feature"), F.posexplode(F.array("valid", "voiced", "harmonic")).alias("idx", "value"))
-    return pooled.unionByName(extra)
+    used = F.flatten(F.transform(F.filter("_segments", lambda g: g["pitched"] | (F.col("_good") == 0)), lambda g: g["_e"]))
+    whole = F.when(F.col("_good") > 0, F.col("_good")).otherwise(F.col("_all"))
+    entry = lambda feature, idx, value, n: F.struct(feature.alias("feature"), idx.alias("idx"), value.alias("value"), n.cast("long").alias("n"))
+    own = F.array(*[entry(F.lit("track"), F.lit(i), F.col(c), F.lit(1)) for i, c in enumerate(("_valid", "_voiced", "_harmonic"))])
+    entries = F.concat(F.transform(used, lambda e: entry(e["feature"], e["idx"], e["value"], whole)), own)
+    each = tracks.select("track_id", F.explode(entries).alias("e")).select("track_id", "e.*")
+    return each.groupBy("track_id", "feature", "idx").agg((F.sum("value") / F.max("n")).alias("value"))
 
 
 def track_features(frames: DataFrame, tracks: DataFrame, cfg: IntervalConfig) -> DataFrame:
     """track_id, features (cfg.track_size values): frames to segments to pooled vectors; a track without frames is all zeros."""
     starts = series.even_starts(series.lengths(frames), cfg.segment_length, cfg.segments)
     held = voiced_frames(series.cut(frames, starts, cfg.segment_length), cfg)
-    sparse = profile(held, cfg)
-    pooled = pool(sparse, gate(held, cfg))
+    pooled = pool(segment_features(held, cfg))
     at = F.when(F.col("feature") == "track", F.lit(cfg.segment_size) + F.col("idx")).otherwise(place(cfg))
     vectors = dense(pooled, cfg.track_size, at, ["track_id"])
     return tracks.select("track_id").join(vectors, "track_id", "left").select(

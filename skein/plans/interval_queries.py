@@ -109,8 +109,7 @@ def interval_profile(spark, d):
 
 
 def track_pooling(spark, d):
-    held = _voiced(spark, d)
-    return iv.pool(iv.profile(held, CFG), iv.gate(held, CFG)).select("track_id", "feature", "idx", r6("value"))
+    return iv.pool(iv.segment_features(_voiced(spark, d), CFG)).select("track_id", "feature", "idx", r6("value"))
 
 
 def track_features(spark, d):

@@ -204,8 +204,8 @@ def class_weights(spark, d):
 
 
 def cv_mean_ci95(spark, d):
-    """Spread of the events' values by user and type (some pairs have a single event)."""
-    return ev.mean_ci95(table(spark, d, "events").where("event_id % 4 = 0"), "value", ["user_id", "event_type"]).select(
+    """Spread of the events' values by user and type."""
+    return ev.mean_ci95(table(spark, d, "events"), "value", ["user_id", "event_type"]).select(
         "user_id", "event_type", *[F.round(c, 6).alias(c) for c in ("mean", "ci95_low", "ci95_high")], "n")
 
 
@@ -294,7 +294,7 @@ ORACLES = {
         UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM m""",
     "class_weights": """WITH n AS (SELECT v.label, greatest(count(d.lang), 1) AS n FROM (VALUES ('en'), ('fr'), ('de'), ('es'), ('it')) v(label) LEFT JOIN documents d ON d.lang = v.label GROUP BY 1)
         SELECT label, n, round(CAST(sum(n) OVER () AS DOUBLE) / (count(*) OVER () * n), 6) AS weight FROM n""",
-    "cv_mean_ci95": """WITH g AS (SELECT user_id, event_type, avg(value) AS m, stddev_samp(value) AS s, count(value) AS n FROM events WHERE event_id % 4 = 0 GROUP BY 1, 2),
+    "cv_mean_ci95": """WITH g AS (SELECT user_id, event_type, avg(value) AS m, stddev_samp(value) AS s, count(value) AS n FROM events GROUP BY 1, 2),
         h AS (SELECT *, CASE WHEN n < 2 THEN 0 ELSE 1.96 * s / sqrt(n) END AS half FROM g)
         SELECT user_id, event_type, round(m, 6) AS mean, round(m - half, 6) AS ci95_low, round(m + half, 6) AS ci95_high, n FROM h""",
     "soft_vote": _SCORED + " SELECT track_id, label_idx, round(sum(prob * [2.0, 2.0, 1.0][seg_idx + 1]::DOUBLE) / sum([2.0, 2.0, 1.0][seg_idx + 1]::DOUBLE), 6) AS prob FROM probs WHERE seg_idx < 3 GROUP BY 1, 2",
