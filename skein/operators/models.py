@@ -9,15 +9,17 @@ import math
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import PCA, StandardScaler, VectorSlicer
+from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.scalars import arg_max, num, softmax, total
+from ..functions.scalars import arg_max, num, softmax
 from . import evaluate as ev
 from . import manifest
 
@@ -74,79 +76,211 @@ class RandomFeatures:
 
         @F.pandas_udf("array<double>")
         def lift(x):
-            import pandas as pd
-
             return pd.Series(list(scale * np.cos(np.stack(x.to_numpy()) @ w.T + b))) if len(x) else pd.Series([], dtype=object)
 
         return df.withColumn(column, array_to_vector(lift(vector_to_array(column))))
 
 
-def _scaler() -> StandardScaler:
-    return StandardScaler(inputCol="features", outputCol="_scaled", withMean=True)
+class PopulationScaler(Estimator):
+    """features to _scaled: each place less its mean, over its population deviation."""
+
+    def _fit(self, df: DataFrame) -> PipelineModel:
+        n = df.count()
+        scaled = StandardScaler(inputCol="features", outputCol="_sample", withMean=True).fit(df)
+        width = len(scaled.mean)
+        grow = ElementwiseProduct(inputCol="_sample", outputCol="_scaled", scalingVec=Vectors.dense([math.sqrt(n / max(n - 1, 1))] * width))
+        return PipelineModel([scaled, grow])
+
+
+class VarianceShare(Estimator):
+    """Principal components of _scaled that explain `share` of its variance take its place (as _scaled_pca)."""
+
+    def __init__(self, share: float):
+        super().__init__()
+        self.share = share
 
+    def _fit(self, df: DataFrame) -> PipelineModel:
+        return pca(df, self.share, "_scaled").fit(df)
 
-def _logistic(**kw) -> Estimator:
-    return LogisticRegression(featuresCol="_scaled", labelCol="label_idx", weightCol="weight", family="multinomial", standardization=False, regParam=kw.get("reg", 0.01), maxIter=kw.get("iterations", 50))
 
+def _logistic(column: str, **kw) -> Estimator:
+    return LogisticRegression(featuresCol=column, labelCol="label_idx", weightCol="weight", family="multinomial", standardization=False, regParam=kw.get("reg", 0.01), maxIter=kw.get("iterations", 50))
 
-def _svm(**kw) -> Estimator:
-    return OneVsRest(classifier=LinearSVC(featuresCol="_scaled", regParam=kw.get("reg", 0.01), maxIter=kw.get("iterations", 30)), featuresCol="_scaled", labelCol="label_idx", weightCol="weight")
+
+def _svm(column: str, **kw) -> Estimator:
+    return OneVsRest(classifier=LinearSVC(featuresCol=column, regParam=kw.get("reg", 0.01), maxIter=kw.get("iterations", 30)), featuresCol=column, labelCol="label_idx", weightCol="weight")
 
 
 def _forest(trees: int, bootstrap: bool) -> Callable[..., Estimator]:
-    return lambda **kw: RandomForestClassifier(featuresCol="_scaled", labelCol="label_idx", weightCol="weight", numTrees=kw.get("trees", trees), maxDepth=kw.get("depth", 10), minInstancesPerNode=2, bootstrap=bootstrap, seed=42)
+    return lambda column, **kw: RandomForestClassifier(featuresCol=column, labelCol="label_idx", weightCol="weight", numTrees=kw.get("trees", trees), maxDepth=kw.get("depth", 10), minInstancesPerNode=2, bootstrap=bootstrap, seed=42)
+
+
+def _boosted(column: str, **kw) -> Estimator:
+    return OneVsRest(classifier=GBTClassifier(featuresCol=column, maxIter=kw.get("trees", 700), maxDepth=kw.get("depth", 6), stepSize=kw.get("rate", 0.05), seed=42), featuresCol=column, labelCol="label_idx", weightCol="weight")
+
+
+class LiftedModel:
+    """A model on scaled, then lifted features."""
+
+    def __init__(self, before: PipelineModel, column: str, lift: RandomFeatures, model: Model):
+        self.before, self.column, self.lift, self.model = before, column, lift, model
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(self.lift.apply(self.before.transform(df), self.column))
+
+
+class KernelMachine(Estimator):
+    """svm_rbf: a linear machine on random features of a Gaussian kernel; gamma is 1 / (width * variance) of what is scaled."""
+
+    def __init__(self, before: Pipeline, column: str, size: int = 256, **options):
+        super().__init__()
+        self.before, self.column, self.size, self.options = before, column, size, options
+
+    def _fit(self, df: DataFrame) -> LiftedModel:
+        before = self.before.fit(df)
+        rows = before.transform(df)
+        width = rows.select(F.size(vector_to_array(self.column))).first()[0]
+        lift = RandomFeatures(width, RandomFeatures.scale_gamma(rows, self.column), self.size)
+        return LiftedModel(before, self.column, lift, _svm(self.column, **self.options).fit(lift.apply(rows, self.column)))
+
+
+class NeighbourModel:
+    """The training rows, scaled; a row's probabilities are its neighbours' shares of the vote."""
 
+    def __init__(self, before: PipelineModel, column: str, rows: DataFrame, k: int):
+        self.before, self.column, self.k, self.classes = before, column, k, 1 + (rows.agg(F.max("label_idx")).first()[0] or 0)
+        self.rows = self._vectors(rows).select(F.monotonically_increasing_id().alias("id"), "label_idx", "vec")
 
-def _boosted(**kw) -> Estimator:
-    return OneVsRest(classifier=GBTClassifier(featuresCol="_scaled", maxIter=kw.get("trees", 700), maxDepth=kw.get("depth", 6), stepSize=kw.get("rate", 0.05), seed=42), featuresCol="_scaled", labelCol="label_idx", weightCol="weight")
+    def _vectors(self, df: DataFrame) -> DataFrame:
+        return self.before.transform(df).withColumn("vec", vector_to_array(self.column))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        own = F.xxhash64(vector_to_array("features"))  # rows with equal features have equal neighbours
+        asked = self._vectors(df).select(own.alias("_q"), "vec").dropDuplicates(["_q"])
+        votes = neighbour_votes(self.rows, asked, "_q", self.k)
+        shares = votes.groupBy("_q").agg(F.map_from_entries(F.collect_list(F.struct("label_idx", "w"))).alias("_m"), F.sum("w").alias("_w"))
+        probs = F.transform(F.sequence(F.lit(0), F.lit(self.classes - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), num(0)) / F.col("_w"))
+        return df.withColumn("_q", own).join(shares, "_q", "left").withColumn("probability", array_to_vector(probs)).drop("_q", "_m", "_w")
+
+
+class Neighbours(Estimator):
+    def __init__(self, before: Pipeline, column: str, k: int = 9):
+        super().__init__()
+        self.before, self.column, self.k = before, column, k
+
+    def _fit(self, df: DataFrame) -> NeighbourModel:
+        return NeighbourModel(self.before.fit(df), self.column, df, self.k)
+
+
+class VotingModel:
+    """The weighted mean of the members' probabilities."""
+
+    def __init__(self, members: list[tuple[Model, float]]):
+        self.members = members
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        whole, sums = sum(w for _, w in self.members), []
+        for i, (model, weight) in enumerate(self.members):
+            before = df.columns
+            df = model.transform(df)
+            df = df.select(*before, F.transform(_probabilities(df), lambda p: p * num(weight / whole)).alias(f"_p{i}"))  # noqa: B023
+            sums.append(f"_p{i}")
+        mean = F.col(sums[0])
+        for c in sums[1:]:
+            mean = F.zip_with(mean, F.col(c), lambda a, b: a + b)
+        return df.withColumn("probability", array_to_vector(mean)).drop(*sums)
+
+
+class Voting(Estimator):
+    def __init__(self, members: list[tuple[Estimator, float]]):
+        super().__init__()
+        self.members = members
+
+    def _fit(self, df: DataFrame) -> VotingModel:
+        return VotingModel([(one.fit(df), weight) for one, weight in self.members])
 
 
 MODELS: dict[str, Callable[..., Estimator]] = {"lr": _logistic, "svm_linear": _svm, "rf": _forest(400, True), "extra_trees": _forest(500, False), "gbt": _boosted}
+NAMES = (*MODELS, "svm", "svm_rbf", "knn", "ensemble")
+#: The members of the ensemble and their weights.
+ENSEMBLE = (("svm_rbf", 2.0), ("extra_trees", 2.0), ("lr", 1.0), ("gbt", 2.0))
 
 
-def build(name: str, **options) -> Pipeline:
-    """The named classifier behind a scaler. `svm_rbf` is svm_linear on RandomFeatures."""
-    if name not in MODELS:
-        raise ValueError(f"no model {name}: {sorted(MODELS)}")
-    return Pipeline(stages=[_scaler(), MODELS[name](**options)])
+def build(name: str, share: float | None = None, **options) -> Estimator:
+    """The named classifier behind a scaler and, with `share`, principal components of that share of the variance.
 
+    options: of the classifier; for the ensemble, a dictionary of them by member."""
+    if name not in NAMES:
+        raise ValueError(f"no model {name}: {sorted(NAMES)}")
+    if name == "ensemble":
+        return Voting([(build(member, share, **options.get(member, {})), weight) for member, weight in ENSEMBLE])
+    column = "_scaled" if share is None else "_scaled_pca"
+    before = [PopulationScaler(), *([] if share is None else [VarianceShare(share)])]
+    if name in ("svm", "svm_rbf"):
+        return KernelMachine(Pipeline(stages=before), column, **options)
+    if name == "knn":
+        return Neighbours(Pipeline(stages=before), column, **options)
+    return Pipeline(stages=[*before, MODELS[name](column, **options)])
 
-def fit(name: str, train: DataFrame, **options) -> PipelineModel:
+
+def fit(name: str, train: DataFrame, **options) -> Model:
     return build(name, **options).fit(balanced(train))
 
 
+def _probabilities(out: DataFrame) -> Column:
+    """Of a model's output; margins become probabilities by softmax."""
+    return vector_to_array("probability") if "probability" in out.columns else softmax(vector_to_array("rawPrediction"))
+
+
 def predict(model: Model, df: DataFrame, key: list[str]) -> DataFrame:
-    """key, probs, y_pred, confidence; margins become probabilities by softmax."""
+    """key, probs, y_pred, confidence."""
     out = model.transform(df)
-    if "probability" in out.columns:
-        probs = vector_to_array("probability")
-    else:
-        probs = softmax(vector_to_array("rawPrediction"))
-    return out.select(*key, probs.alias("probs")).withColumn("y_pred", arg_max(F.col("probs"))).withColumn("confidence", F.array_max("probs"))
-
-
-def _distance(a: Column, b: Column) -> Column:
-    return F.sqrt(total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))))
-
-
-def knn(train: DataFrame, queries: DataFrame, key: str, k: int = 9, limit: int = 200_000, part: int = 2_000) -> DataFrame:
-    """key, y_pred: votes weighted by 1 / distance among the k nearest (at distance 0 only those vote).
-
-    train(id, label_idx, vec), queries(key, vec). The training side is broadcast in parts of at most `part` rows, and each
-    part gives its k nearest of a query, so k rows a part are compared in the end and no pair table is ever kept.
-    """
-    n = train.count()
-    if n > limit:
-        raise ValueError(f"{n} training rows: brute-force neighbours stop at {limit}")
-    parts = -(-n // part) or 1
-    dealt = train.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts)))
-    packed = dealt.groupBy("_part").agg(F.collect_list(F.struct("id", "label_idx", "vec")).alias("_t"))  # about `part` rows each
-    near = F.transform("_t", lambda t: F.struct(_distance(F.col("vec"), t["vec"]).alias("d"), t["id"].alias("id"), t["label_idx"].alias("label_idx")))
-    best = queries.join(F.broadcast(packed)).select(key, F.slice(F.array_sort(near), 1, k).alias("_b"))
-    found = best.groupBy(key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("_b"))), 1, k).alias("_b"))
-    rows = found.select(key, F.array_min(F.transform("_b", lambda x: x["d"])).alias("_least"), F.explode("_b").alias("b"))
+    return out.select(*key, _probabilities(out).alias("probs")).withColumn("y_pred", arg_max(F.col("probs"))).withColumn("confidence", F.array_max("probs"))
+
+
+def _nearest(q: np.ndarray, t: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of t, distance) of the k nearest and their ties; candidates by one matrix product, then exact distances."""
+    rough = (q * q).sum(axis=1)[:, None] + (t * t).sum(axis=1)[None, :] - 2 * (q @ t.T)
+    least = np.partition(rough, min(k, len(t)) - 1, axis=1)[:, min(k, len(t)) - 1]
+    slack = 1e-9 * (1 + (q * q).sum(axis=1) + (t * t).sum(axis=1).max())
+    i, j = np.nonzero(rough <= (least + slack)[:, None])
+    return i, j, np.sqrt(((q[i] - t[j]) ** 2).sum(axis=1))
+
+
+def neighbour_votes(train: DataFrame, queries: DataFrame, key: str, k: int = 9, part: int = 8_000, block: int = 2_000) -> DataFrame:
+    """key, label_idx, w: votes weighted by 1 / distance among the k nearest (at distance 0 only those vote; ties: the lower id).
+
+    train(id, label_idx, vec), queries(key, vec). Exact at any size: a task holds `block` queries and `part` training rows,
+    takes the k nearest of each query there, and the nearest of all parts are chosen from those."""
+    parts, rows = max(1, -(-train.count() // part)), max(1, -(-queries.count() // block))
+    deal = lambda df, column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    q = queries.select(F.col(key).alias("key"), "vec").withColumn("_b", deal(queries, "key", rows)).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    t = train.select("id", "label_idx", "vec").withColumn("_p", deal(train, "id", parts)).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    kinds = {"key": q.schema["key"].dataType.simpleString(), "id": t.schema["id"].dataType.simpleString()}
+
+    def nearest(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(known):
+            return pd.DataFrame({"key": [], "d": [], "id": [], "label_idx": []})
+        own, ids, labels = np.stack(known["vec"].to_numpy()).astype(float), known["id"].to_numpy(), known["label_idx"].to_numpy()
+        whole, keys, out = np.stack(asked["vec"].to_numpy()).astype(float), asked["key"].to_numpy(), []
+        for lo in range(0, len(whole), 500):
+            i, j, d = _nearest(whole[lo : lo + 500], own, k)
+            order = np.lexsort((ids[j], d, i))
+            i, j, d = i[order], j[order], d[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            out.append(pd.DataFrame({"key": keys[lo + i], "d": d, "id": ids[j], "label_idx": labels[j]})[place < k])
+        return pd.concat(out)
+
+    found = q.groupBy("_p", "_b").cogroup(t.groupBy("_p", "_b")).applyInPandas(nearest, f"key {kinds['key']}, d double, id {kinds['id']}, label_idx int")
+    best = found.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id", "label_idx"))), 1, k).alias("_b"))
+    near = best.select("key", F.array_min(F.transform("_b", lambda x: x["d"])).alias("_least"), F.explode("_b").alias("b"))
     weight = F.when(F.col("_least") == 0, (F.col("b.d") == 0).cast("double")).otherwise(num(1) / F.col("b.d"))
-    votes = rows.groupBy(key, F.col("b.label_idx").alias("label_idx")).agg(F.sum(weight).alias("w"))
+    return near.groupBy(F.col("key").alias(key), F.col("b.label_idx").alias("label_idx")).agg(F.sum(weight).alias("w"))
+
+
+def knn(train: DataFrame, queries: DataFrame, key: str, k: int = 9, **options) -> DataFrame:
+    """key, y_pred: the label with the largest vote (ties: the lowest)."""
+    votes = neighbour_votes(train, queries, key, k, **options)
     return votes.groupBy(key).agg(F.max_by("label_idx", F.struct("w", -F.col("label_idx"))).alias("y_pred"))
 
 
@@ -186,14 +320,20 @@ class Stack:
         return predict(self.meta, meta_table(rows, self.names, self.key), [self.key])
 
 
-def cross_validate(df: DataFrame, folds: DataFrame, factory: Callable[[], Estimator], key: str) -> DataFrame:
-    """metric, mean, ci95_low, ci95_high, n over all (repeat, fold). folds(repeat, fold, key); the features are computed once by the caller."""
-    scores = None
+def cross_validate(df: DataFrame, folds: DataFrame, factory: Callable[[], Estimator], key: str, train_bank: DataFrame | None = None) -> DataFrame:
+    """metric, mean, ci95_low, ci95_high, n over all (repeat, fold). folds(repeat, fold, key).
+
+    df: the segments that are scored (key, seg_idx, label_idx, features; one row a key if there is no seg_idx); train_bank: those
+    that models learn from, df itself if not given. A key's segments vote by mean probability, and keys are what is counted."""
+    evaluated = df if "seg_idx" in df.columns else df.withColumn("seg_idx", F.lit(0))
+    learned, scores = evaluated if train_bank is None else train_bank, None
     for r in folds.select("repeat", "fold").distinct().orderBy("repeat", "fold").collect():
         mine = folds.where(F.col("repeat") == r["repeat"]).select(key, "fold")
-        rows = df.join(mine, key)
-        model = factory().fit(balanced(rows.where(F.col("fold") != r["fold"])))
-        preds = predict(model, rows.where(F.col("fold") == r["fold"]), [key, "label_idx"]).select(F.col("label_idx").alias("y_true"), "y_pred")
+        model = factory().fit(balanced(learned.join(mine.where(F.col("fold") != r["fold"]), key)))
+        held = evaluated.join(mine.where(F.col("fold") == r["fold"]), key)
+        probs = predict(model, held, [key, "seg_idx"]).select(F.col(key).alias("track_id"), "seg_idx", F.posexplode("probs").alias("label_idx", "prob"))
+        truth = ev.track_truth(held.select(F.col(key).alias("track_id"), "seg_idx", "label_idx"))
+        preds = ev.track_vote(probs).join(truth, "track_id").select("y_true", "y_pred")
         one = ev.metrics(preds).select(F.explode(F.create_map(F.lit("acc"), "acc", F.lit("macro_f1"), "macro_f1", F.lit("balanced_acc"), "balanced_acc")).alias("metric", "value"))
         scores = one if scores is None else scores.unionByName(one)
     return ev.mean_ci95(scores, "value", ["metric"])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import draw, num
-from .manifest import hash_rank
+from .manifest import hash_rank, label_index
 
 
 def items(tracks: DataFrame, n_train: int, n_eval: int) -> DataFrame:
@@ -21,8 +21,17 @@ def crop_start(length: Column, size: int, path: Column, seg: Column, train: Colu
     return F.when(spare <= 0, F.lit(0)).when(train, draw(spare + 1, path, F.lit(seed), seg)).otherwise(F.floor(spare / 2)).cast("long")
 
 
-def pad_or_cut(values: Column, size: int) -> Column:
-    return F.slice(F.concat(values, F.array_repeat(num(0), size)), 1, size)
+def pad_or_cut(values: Column, size: int | Column) -> Column:
+    size = F.lit(size) if isinstance(size, int) else size
+    return F.slice(F.concat(values, F.array_repeat(num(0), size)), F.lit(1), size)
+
+
+def attach_tracks(segments: DataFrame, tracks: DataFrame, vector: str, own: str, name: Column, labels: list[str]) -> DataFrame:
+    """track_id, seg_idx, label_idx, features: each segment's vector followed by its track's; segments without a track go.
+
+    tracks (track_id, the vector `own`, and what `name` needs) is a bank of one row a track; labels outside the list are null."""
+    bank = tracks.select("track_id", label_index(name, labels).alias("label_idx"), F.col(own).alias("_own"))
+    return segments.join(bank, "track_id").select("track_id", "seg_idx", "label_idx", F.concat(F.col(vector), F.col("_own")).alias("features"))
 
 
 def crop(values: Column, start: Column, size: int) -> Column:

@@ -178,6 +178,32 @@ def summary(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
 
 
+def segment_vector(spectrum: DataFrame, harmonic: DataFrame, rate: int, n_fft: int, edges: list[int], share: float = 0.02, bands: int = 128, coefficients: int = 20, half: int = 4, mode: DataFrame | None = None) -> DataFrame:
+    """series_id, feature, idx, value: means, then deviations, over a segment's frames, of mel bands, cepstral coefficients and their
+    slopes, chroma, contrast and (from the harmonic part) tonnetz; with `mode` (series_id, feature, idx, value) those features too.
+
+    A slope at the ends of a segment is that of the nearest frame with all its neighbours, as a line fitted there gives."""
+    mels = mel_db(spectrum, rate, n_fft, bands)
+    ceps = mfcc(mels, bands, coefficients)
+    slopes = delta(ceps, "value", ["series_id", "o"], half)
+    by = W.partitionBy("series_id", "o").orderBy("frame_idx")
+    filled = F.coalesce("delta", F.last("delta", True).over(by), F.first("delta", True).over(by.rowsBetween(0, W.unboundedFollowing)), num(0))
+    blocks = {
+        "mel": mels.select("series_id", "o", F.col("db").alias("x")), "mfcc": ceps.select("series_id", "o", F.col("value").alias("x")), "delta": slopes.select("series_id", "o", filled.alias("x")),
+        "chroma": chroma(spectrum, rate, n_fft).select("series_id", "o", F.col("value").alias("x")), "contrast": contrast(spectrum, edges, share).select("series_id", F.col("band").alias("o"), F.col("contrast").alias("x")),
+        "tonnetz": tonnetz(chroma(harmonic, rate, n_fft)).select("series_id", "o", F.col("value").alias("x")),
+    }
+    width = {"mel": bands, "mfcc": coefficients, "delta": coefficients, "chroma": 12, "contrast": len(edges) + 1, "tonnetz": 6}
+    rows = None
+    for name, block in blocks.items():
+        one = block.select("series_id", F.lit(name).alias("feature"), F.col("o").cast("int").alias("o"), F.lit(width[name]).alias("_w"), "x")
+        rows = one if rows is None else rows.unionByName(one)
+    stats = summary(rows, "x", ["series_id", "feature", "o", "_w"])
+    out = stats.select("series_id", "feature", F.explode(F.array(F.struct(F.col("o").alias("idx"), F.col("mean").alias("value")), F.struct((F.col("o") + F.col("_w")).alias("idx"), F.col("std").alias("value")))).alias("e"))
+    out = out.select("series_id", "feature", "e.idx", "e.value")
+    return out if mode is None else out.unionByName(mode.select("series_id", "feature", F.col("idx").cast("int").alias("idx"), "value"))
+
+
 def yin(signals: DataFrame, low: float, high: float, threshold: float = 0.1) -> DataFrame:
     """series_id, frame_idx, f0_hz, voiced_flag: the cumulative-mean-normalised difference of each frame; the first lag under
     the threshold (down to its local minimum), else the lag of the least value, then unvoiced.
@@ -193,8 +219,11 @@ def yin(signals: DataFrame, low: float, high: float, threshold: float = 0.1) ->
             if hi <= lo:
                 out.append((None, False))
                 continue
-            w = len(x) - hi
-            d = np.array([((x[:w] - x[k : k + w]) ** 2).sum() for k in range(hi + 1)])
+            w, size = len(x) - hi, 1 << (2 * len(x) - 1).bit_length()
+            # The sum of squared differences at each lag: two energies, less twice the correlation (by Fourier transform).
+            energy = np.concatenate([[0.0], np.cumsum(x * x)])
+            both = np.fft.irfft(np.conj(np.fft.rfft(x[:w], size)) * np.fft.rfft(x, size), size)[: hi + 1]
+            d = np.maximum(energy[w] + energy[w : w + hi + 1] - energy[: hi + 1] - 2 * both, 0.0)
             running = np.cumsum(d[1:])
             norm = np.concatenate([[1.0], np.where(running > 0, d[1:] * np.arange(1, hi + 1) / np.maximum(running, 1e-300), 1.0)])
             under = np.flatnonzero(norm[lo : hi + 1] < threshold)

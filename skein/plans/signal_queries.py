@@ -107,6 +107,12 @@ def tonnetz(spark, d):
     return sg.tonnetz(sg.chroma(parts, RATE, FFT)).select(*KEYS, "o", r6("value"))
 
 
+def segment_vector_v1(spark, d):
+    spectrum = _spectrum(spark, d)
+    parts = sg.hpss(spectrum, HALF).select(*KEYS, "bin", F.col("harmonic").alias("value"))
+    return sg.segment_vector(spectrum, parts, RATE, FFT, [2, 4], 0.3, 8, 5).select("series_id", "feature", "idx", r6("value"))
+
+
 def yin_f0(spark, d):
     whole = _signals(spark, d).select("series_id", F.lit(0).alias("frame_idx"), "sample_rate", F.col("samples").alias("frame"))
     return sg.yin(whole, RATE / 24, RATE / 3).select(*KEYS, r6("f0_hz"), "voiced_flag")
@@ -126,7 +132,7 @@ def crop_plan(spark, d):
 
 def pad_truncate(spark, d):
     size = F.when(F.pmod("series_id", F.lit(2)) == 0, 70).otherwise(40)
-    rows = _signals(spark, d).select("series_id", F.posexplode(F.slice(F.concat("samples", F.array_repeat(num(0), 70)), F.lit(1), size)).alias("place", "x"))
+    rows = _signals(spark, d).select("series_id", F.posexplode(prep.pad_or_cut(F.col("samples"), size)).alias("place", "x"))
     return rows.select("series_id", "place", r6("x"))
 
 
@@ -140,12 +146,13 @@ def balanced_sample(spark, d):
 
 
 def design_matrix(spark, d):
-    """Segments' vectors with the label of their track and a vector of the track beside them."""
+    """Segments' vectors with the label of their track and a vector of the track beside them; four embeddings are a track."""
     base = _signals(spark, d)
-    tracks = base.where("series_id < 125").select(F.col("series_id").alias("track_id"), F.col("label").cast("string").alias("name"), F.slice("samples", 1, 2).alias("own"))
-    segments = base.select((F.col("series_id") % 125).alias("track_id"), F.floor(F.col("series_id") / 125).cast("int").alias("seg_idx"), F.slice("samples", 1, 4).alias("vec"))
-    index = manifest.label_index(F.col("name"), [str(i) for i in range(10)])
-    rows = segments.join(tracks, "track_id").select("track_id", "seg_idx", index.alias("label_idx"), F.posexplode(F.concat("vec", "own")).alias("idx", "value"))
+    first = base.where("series_id % 4 = 0")  # a track's own row
+    tracks = first.select((F.col("series_id") / 4).cast("long").alias("track_id"), F.col("label").cast("string").alias("name"), F.slice("samples", 1, 2).alias("own"))
+    segments = base.select(F.floor(F.col("series_id") / 4).alias("track_id"), (F.col("series_id") % 4).cast("int").alias("seg_idx"), F.slice("samples", 1, 4).alias("vec"))
+    joined = prep.attach_tracks(segments, tracks, "vec", "own", F.col("name"), [str(i) for i in range(10)])
+    rows = joined.select("track_id", "seg_idx", "label_idx", F.posexplode("features").alias("idx", "value"))
     return rows.select("track_id", "seg_idx", "label_idx", "idx", r6("value"))
 
 
@@ -193,11 +200,11 @@ ORACLES = {
         d AS (SELECT i AS draw, {_DRAW("i || '|42|class'", "(SELECT count(*) FROM sizes)")} AS c FROM range((SELECT count(*) FROM embeddings)) t(i)),
         p AS (SELECT draw, label, {_DRAW("draw || '|42|row'", "n")} + 1 AS r FROM d JOIN sizes USING (c))
         SELECT draw, label, series_id FROM p JOIN ranked USING (label, r)""",
-    "design_matrix": """WITH v AS (SELECT vec_id % 125 AS track_id, CAST(vec_id // 125 AS INTEGER) AS seg_idx, embedding FROM embeddings), t AS (SELECT vec_id AS track_id, label, embedding AS own FROM embeddings WHERE vec_id < 125)
+    "design_matrix": """WITH v AS (SELECT vec_id // 4 AS track_id, CAST(vec_id % 4 AS INTEGER) AS seg_idx, embedding FROM embeddings), t AS (SELECT vec_id // 4 AS track_id, label, embedding AS own FROM embeddings WHERE vec_id % 4 = 0)
         SELECT track_id, seg_idx, label AS label_idx, CAST(i AS INTEGER) AS idx, round(CAST(CASE WHEN i < 4 THEN embedding[i + 1] ELSE own[i - 3] END AS DOUBLE), 6) AS value FROM v JOIN t USING (track_id), range(6) r(i)""",
 }
 
-ROWS_ONLY = ("mel_db", "mfcc", "tonnetz", "yin_f0")
+ROWS_ONLY = ("mel_db", "mfcc", "tonnetz", "yin_f0", "segment_vector_v1")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -209,22 +209,26 @@ def cv_mean_ci95(spark, d):
         "user_id", "event_type", *[F.round(c, 6).alias(c) for c in ("mean", "ci95_low", "ci95_high")], "n")
 
 
+def _models(spark: SparkSession, d: str, n: int) -> DataFrame:
+    """Every embedding is what one of n models says of a track."""
+    model = F.concat(F.lit("m"), F.pmod("vec_id", F.lit(n)).cast("string")).alias("model")
+    return _scored(spark, d).select(model, F.floor(F.col("vec_id") / n).alias("track_id"), F.posexplode("p").alias("label_idx", "prob"))
+
+
 def soft_vote(spark, d):
-    base = _probs(spark, d).select("track_id", "seg_idx", "label_idx", "prob")
-    models = base.select(F.concat(F.lit("m"), F.col("seg_idx").cast("string")).alias("model"), "track_id", "label_idx", "prob")
+    models = _models(spark, d, 3)
     voted = ev.soft_vote(models, {"m0": 2.0, "m1": 2.0, "m2": 1.0})
     return voted.select("track_id", "label_idx", F.round("prob", 6).alias("prob"))
 
 
 def meta_features(spark, d):
-    base = _probs(spark, d).select(F.concat(F.lit("m"), F.col("seg_idx").cast("string")).alias("model"), "track_id", "label_idx", "prob")
-    rows = ev.meta_features(base, ["m2", "m0"]).select("track_id", F.posexplode("features").alias("idx", "value"))
+    rows = ev.meta_features(_models(spark, d, 2), ["m1", "m0"]).select("track_id", F.posexplode("features").alias("idx", "value"))
     return rows.select("track_id", "idx", F.round("value", 6).alias("value"))
 
 
 def compare_models_wide(spark, d):
     rows = _scored(spark, d).select(
-        (F.col("vec_id") % 125).cast("string").alias("name"), F.concat(F.lit("m"), F.floor(F.col("vec_id") / 125).cast("string")).alias("model"),
+        F.floor(F.col("vec_id") / 2).cast("string").alias("name"), F.concat(F.lit("m"), F.pmod("vec_id", F.lit(2)).cast("string")).alias("model"),
         F.concat(F.lit("L"), sc.arg_max(F.col("p")).cast("string")).alias("label"), F.array_max("p").alias("confidence"))
     return ev.compare_wide(rows, ["m0", "m1"])
 
@@ -297,10 +301,11 @@ ORACLES = {
     "cv_mean_ci95": """WITH g AS (SELECT user_id, event_type, avg(value) AS m, stddev_samp(value) AS s, count(value) AS n FROM events GROUP BY 1, 2),
         h AS (SELECT *, CASE WHEN n < 2 THEN 0 ELSE 1.96 * s / sqrt(n) END AS half FROM g)
         SELECT user_id, event_type, round(m, 6) AS mean, round(m - half, 6) AS ci95_low, round(m + half, 6) AS ci95_high, n FROM h""",
-    "soft_vote": _SCORED + " SELECT track_id, label_idx, round(sum(prob * [2.0, 2.0, 1.0][seg_idx + 1]::DOUBLE) / sum([2.0, 2.0, 1.0][seg_idx + 1]::DOUBLE), 6) AS prob FROM probs WHERE seg_idx < 3 GROUP BY 1, 2",
-    "meta_features": _SCORED + """ SELECT track_id, CAST(label_idx + CASE WHEN seg_idx = 2 THEN 0 ELSE 10 END AS INTEGER) AS idx, round(prob, 6) AS value FROM probs WHERE seg_idx IN (0, 2)""",
+    "soft_vote": _SCORED + " SELECT vec_id // 3 AS track_id, label_idx, round(sum(prob * [2.0, 2.0, 1.0][vec_id % 3 + 1]::DOUBLE) / sum([2.0, 2.0, 1.0][vec_id % 3 + 1]::DOUBLE), 6) AS prob FROM scored GROUP BY 1, 2",
+    "meta_features": _SCORED + """ SELECT vec_id // 2 AS track_id, CAST(label_idx + CASE WHEN vec_id % 2 = 1 THEN 0 ELSE 10 END AS INTEGER) AS idx, round(prob, 6) AS value FROM scored
+        WHERE vec_id // 2 IN (SELECT vec_id // 2 FROM embeddings GROUP BY 1 HAVING count(*) = 2)""",
     "compare_models_wide": _SCORED + """ SELECT CAST(track_id AS VARCHAR) AS name, max(CASE WHEN seg_idx = 0 THEN shown END) AS m0, max(CASE WHEN seg_idx = 1 THEN shown END) AS m1
-        FROM (SELECT vec_id % 125 AS track_id, vec_id // 125 AS seg_idx, 'L' || label_idx || ' (' || printf('%.3f', prob) || ')' AS shown FROM scored QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY prob DESC, label_idx) = 1) GROUP BY track_id""",
+        FROM (SELECT vec_id // 2 AS track_id, vec_id % 2 AS seg_idx, 'L' || label_idx || ' (' || printf('%.3f', prob) || ')' AS shown FROM scored QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY prob DESC, label_idx) = 1) GROUP BY track_id""",
     "best_epoch": """WITH RECURSIVE h AS (SELECT event_type AS run, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS epoch, round(avg(value), 4) / 100 AS f1 FROM events GROUP BY 1, 2),
         n AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY epoch) AS k FROM h),
         w AS (SELECT run, k, epoch AS best_epoch, f1 AS best, 0 AS bad, NULL::BIGINT AS stop FROM n WHERE k = 1

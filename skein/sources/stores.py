@@ -9,6 +9,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import evaluate as ev
+
 MANIFEST = "track_id long, path string, label string"
 _SCORES = "struct<acc: double, macro_f1: double, balanced_acc: double>"
 RUN = f"model_type string, val {_SCORES}, test {_SCORES}, val_acc double, val_macro_f1 double, val_balanced_acc double, test_acc double, test_macro_f1 double, test_balanced_acc double"
@@ -105,6 +107,14 @@ def write_predictions(predictions: DataFrame, path: str) -> None:
     predictions.write.mode("overwrite").json(path)
 
 
+def write_evaluation(preds: DataFrame, labels: DataFrame, folder: str) -> None:
+    """Of preds(y_true, y_pred): metrics and the confusion matrix over labels(label_idx) as JSON lines, and the report as text."""
+    ev.metrics(preds).coalesce(1).write.mode("overwrite").json(f"{folder}/metrics")
+    ev.confusion(preds, labels).coalesce(1).write.mode("overwrite").json(f"{folder}/confusion")  # labels squared
+    shown = F.format_string("%-14s %9.4f %9.4f %9.4f %9d", "name", "precision", "recall", "f1", "support").alias("value")
+    ev.report(preds).coalesce(1).select(shown).write.mode("overwrite").text(f"{folder}/report")
+
+
 def prediction_lines(predictions: DataFrame) -> DataFrame:
     """name TAB label TAB confidence."""
     return predictions.select(F.format_string("%s\t%s\t%.3f", "name", "label", "confidence").alias("value"))
