@@ -12,7 +12,7 @@ node above them that has some. The sums of a byte's eight bits are its code leng
 2. Pairs are dealt by the three bytes before (those of one such context in one task, as a sorted stream) and the trees below
    are weighed there, level by level in arrays. What reaches the driver are the sums for contexts of at most two bytes.
 3. The two-byte states are broadcast (at most 2 ** 16 contexts), and every pair gets its code length, in 1/512 bit.
-4. The `keep` pairs that occur most (a table of at most 84 MB) are looked up map-side; all others, and the base's rarer
+4. The `keep` pairs that occur most (a table of at most 42 MB) are looked up map-side; all others, and the base's rarer
    words, meet theirs in a join. `keep` and `table_size` change the speed, never a score.
 
 The base is an add-half unigram model of words with exact and unbounded counts.
@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from ._common import LOWER, SPACE_WORDS, Words, blocks, fold_of, list_array, materialize, most_frequent, text_of
 
 DEPTH = 6  # six bytes of context and the symbol fit a long
-KEEP, TABLE = 1 << 22, 1 << 18  # pairs and words looked up map-side; only speed
+KEEP, TABLE = 3_000_000, 1 << 18  # pairs and words looked up map-side; only speed
 UNIT = 512
-CHUNK = 400_000  # pairs weighed at once
+CHUNK = 120_000  # pairs weighed at once
 BLOCK, FLUSH = 500_000, 500_000  # bytes of text, and pairs, that a worker handles at once
 LOGIT = 1000  # estimates are stored as log odds in thousandths
 UNKNOWN = -32768
@@ -295,10 +295,10 @@ def pair_lengths(pairs: DataFrame, depth: int = DEPTH, chunk: int = CHUNK) -> Da
 
 
 class PairTable:
-    """Keys to code lengths: open addressing in two flat arrays, at most half full."""
+    """Keys to code lengths: open addressing in two flat arrays, at most 0.72 full."""
 
     def __init__(self, keys: np.ndarray, lengths: np.ndarray):
-        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.bits = max(4, int(1.39 * len(keys)).bit_length())
         room = 1 << self.bits
         self.keys, self.lengths = np.full(room, -1, np.int64), np.zeros(room, np.uint16)
         at, left = self._slots(keys), np.arange(len(keys))
