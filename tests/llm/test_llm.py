@@ -288,6 +288,11 @@ def test_secrets(spark):
     assert model.score(key) > 0 > model.score("commonword")
 
 
+def test_secret_model_does_not_depend_on_partitions(docs):
+    one, many = (secret_scan.sample_counts(docs.repartition(n)) for n in (1, 17))
+    assert one.sum() > 0 and (one == many).all()
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     plain = ["".join(rng.choices("bcdfgmnprst", k=4)) for _ in range(300)]
