@@ -12,6 +12,9 @@ The slot is the hash of the text, so equal texts share a slot and a shard. Only
 `hot_share` of a shard's fair load (n_shards / hot_share texts at most) is spread, over all slots by the hash of (id, copy
 number), so that no group outweighs a shard; the other texts of its slot stay where they are.
 
+A slot may also hold many rows of few bytes (empty texts, say). Its rows are numbered in pieces, as many as the slot has fair
+row counts, so a task numbers about one n_slots-th of the rows whatever the slot holds; there are 2 * n_slots pieces at most.
+
 Law: `bytes` (the sizes of shards are near equal). Edge cases: a null text has no bytes and size 1; repeated rows are
 rows of their own; an empty table gives an empty table; ids may be null. Extra columns are ignored.
 """
@@ -100,14 +103,18 @@ def hot_texts(records: DataFrame, least: int) -> frozenset[tuple[int, int, int]]
     return frozenset((r["_x"], r["_size"], r["_crc"]) for r in sums.collect())
 
 
+def _counted(df: DataFrame, n: Column, out: str) -> DataFrame:
+    """Each row n times, with 0 to n - 1 in `out`; in two steps, so that no array is longer than 65536."""
+    start = F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(65536).cast("long")))
+    return df.withColumn("_start", start).withColumn(out, F.explode(F.sequence("_start", F.least(F.col("_start") + 65535, n - 1)))).drop("_start")
+
+
 def _slotted(records: DataFrame, hot: frozenset[tuple[int, int, int]], n_slots: int) -> DataFrame:
     own = F.pmod(F.col("_x"), F.lit(n_slots)).cast("int")
     if not hot:
         return records.withColumn("_slot", own)
     is_hot = reduce(Column.__or__, [(F.col("_x") == x) & (F.col("_size") == size) & (F.col("_crc") == crc) for x, size, crc in sorted(hot)])
-    copies = F.when(is_hot, F.sequence(F.lit(1).cast("long"), F.col("_rows"))).otherwise(F.array(F.lit(0).cast("long")))
-    spread = records.withColumn("_copy", F.explode(copies))
-    return spread.select(
+    return _counted(records, F.when(is_hot, F.col("_rows")).otherwise(F.lit(1).cast("long")), "_copy").select(
         "_id", "_size", "_crc", "_x", F.when(is_hot, F.lit(1).cast("long")).otherwise(F.col("_rows")).alias("_rows"),
         F.when(is_hot, F.pmod(F.xxhash64("_id", "_copy"), F.lit(n_slots)).cast("int")).otherwise(own).alias("_slot"),
     )
@@ -119,6 +126,15 @@ def slot_loads(records: DataFrame, hot: frozenset[tuple[int, int, int]], n_slots
     return {x["_slot"]: (x["b"], x["r"]) for x in sums.collect()}
 
 
+def in_pieces(slotted: DataFrame, rows: dict[int, int], n_slots: int) -> DataFrame:
+    """With _piece: the rows of a slot are dealt by a hash into as many pieces as it has fair row counts."""
+    total = sum(rows.values())
+    several = [(s, -(-r * n_slots // total)) for s, r in sorted(rows.items()) if r * n_slots > total]
+    counts = F.broadcast(slotted.sparkSession.createDataFrame(several, "_slot int, _pieces int"))  # under n_slots rows
+    piece = F.pmod(F.xxhash64("_x", "_id", "_rows", F.lit("piece")), F.coalesce("_pieces", F.lit(1))).cast("int")
+    return slotted.join(counts, "_slot", "left").withColumn("_piece", piece).drop("_pieces")
+
+
 def shard_documents(
     docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS, hot_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text", map_folder: str | None = None
 ) -> DataFrame:
@@ -134,16 +150,18 @@ def shard_documents(
     loads = slot_loads(records, hot, n_slots)
     rebalance(SlotMap.load(spark, map_folder), {s: b for s, (b, _) in loads.items()}, hot=hot).save(spark, map_folder)
     plan = SlotMap.load(spark, map_folder)
+    cut = in_pieces(_slotted(records, hot, n_slots), {s: r for s, (_, r) in loads.items()}, n_slots)
+    rows = {(x["_slot"], x["_piece"]): x["r"] for x in cut.groupBy("_slot", "_piece").agg(F.sum("_rows").alias("r")).collect()}  # 2 * n_slots at most
     first, base = [0] * n_shards, []
-    for slot in range(n_slots):
+    for slot, piece in sorted(rows):
         s = plan.shard[slot]
-        base.append((slot, s, first[s]))
-        first[s] += loads.get(slot, (0, 0))[1]
-    places = F.broadcast(spark.createDataFrame(base, "_slot int, shard int, _base long"))  # n_slots rows
-    before = W.partitionBy("_slot").orderBy("_id", "_x", "_size", "_crc", "_rows").rowsBetween(W.unboundedPreceding, W.currentRow)
-    numbered = _slotted(records, hot, n_slots).withColumn("_last", F.sum("_rows").over(before)).join(places, "_slot")
-    end = F.col("_base") + F.col("_last")
-    return numbered.select("*", F.explode(F.sequence(end - F.col("_rows"), end - 1)).alias("slot")).select(
-        F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
+        base.append((slot, piece, s, first[s]))
+        first[s] += rows[slot, piece]
+    places = F.broadcast(spark.createDataFrame(base, "_slot int, _piece int, shard int, _base long"))  # a row a piece
+    before = W.partitionBy("_slot", "_piece").orderBy("_id", "_x", "_size", "_crc", "_rows").rowsBetween(W.unboundedPreceding, W.currentRow)
+    numbered = cut.withColumn("_last", F.sum("_rows").over(before)).join(places, ["_slot", "_piece"])
+    return _counted(numbered, F.col("_rows"), "_copy").select(
+        F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard",
+        (F.col("_base") + F.col("_last") - F.col("_rows") + F.col("_copy")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), F.col("_slot").alias("virtual_slot"), F.lit(plan.version).alias("map_version"),
     )

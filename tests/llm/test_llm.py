@@ -233,6 +233,20 @@ def test_sharding(spark, docs, rows, hot, tmp_path):
         assert max(load.values()) <= 1.3 * sum(load.values()) / 4
 
 
+def test_light_rows_are_numbered_in_pieces(spark):
+    """A third of all rows are empty: one slot, one shard, many pieces; the places stay gapless."""
+    table = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.repeat(F.col("id").cast("string"), 30)).alias("text"))
+    table = table.unionByName(spark.createDataFrame([(-1, None)] * 5 + [(None, "")] * 5, "doc_id long, text string"))
+    got = sharding.shard_documents(table, n_shards=4, n_slots=64).collect()
+    assert len(got) == 9010 and len({r["shard"] for r in got if r["size"] == 1}) == 1
+    for s in range(4):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+    slotted = table.select(F.lit(3).alias("_slot"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_x"), F.lit(1).cast("long").alias("_rows"))
+    largest = sharding.in_pieces(slotted, {3: 9010}, 64).groupBy("_piece").count().agg(F.max("count")).first()[0]
+    assert largest < 3 * 9010 / 64
+    assert [r["n"] for r in sharding._counted(spark.range(1), F.lit(70_000).cast("long"), "n").orderBy("n").collect()] == list(range(70_000))
+
+
 def test_shards_are_near_equal(spark):
     rng = random.Random(12)
     df = spark.createDataFrame([(i, "x" * int(rng.paretovariate(1.2) * 50) + str(i)) for i in range(20_000)], "doc_id long, text string")
@@ -288,6 +302,41 @@ def test_secrets(spark):
     assert model.score(key) > 0 > model.score("commonword")
 
 
+PIECES = ["password", "API_KEY", "apiKey", "Secret", "token", "=", ":", " = ", '"', "'", " ", "\n", "AKIA", "ABCDEF0123456789", "abcdef0123456789", "deadbeef" * 4,
+          "longvalue/+_.=-1", "x", "é", "ſ", "K", "日本", "_", "-", "AKIAAKIA", "Zz9" * 7, "0" * 31, "f"]
+
+
+def test_rules_match_plain_regexes():
+    """The base rules against the three patterns over whole texts."""
+    rng = random.Random(8)
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    for _ in range(4000):
+        text = "".join(rng.choices(PIECES, k=rng.randint(0, 25)))
+        want = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 8]
+        want += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+        want += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+        base, spans = secret_scan.scan_text(text, MODEL)
+        assert base == sorted(want), text
+        assert set(base) <= set(spans) and spans == sorted(spans)
+
+
+MODEL = secret_scan.MarkovPair.train([*secret_scan.generated_samples(500), *((w, False) for w in ("identifier", "connection_string", "maximum-value", "generated", "tokenizer"))])
+
+
+def test_markov_on_held_out_samples():
+    """Trained on some labelled samples, judged on others: random strings of other lengths and joined dictionary words."""
+    rng = random.Random(11)
+    stems = ["account", "balance", "config", "default", "element", "factory", "gateway", "handler", "index", "journal", "kernel", "listener", "manager", "network", "object",
+             "packet", "queue", "request", "service", "thread", "update", "vector", "window", "number", "string", "buffer", "client", "domain", "engine", "filter"]
+    known, unseen = stems[:20], stems[20:] + stems[:5]
+    model = secret_scan.MarkovPair.train([*secret_scan.generated_samples(), *((w, False) for w in known)])
+    names = ["_".join(rng.choices(unseen, k=4)) for _ in range(500)] + ["".join(w.title() for w in rng.choices(known, k=4)) for _ in range(500)]
+    own = random.Random(99)
+    keys = ["".join(own.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=own.randint(24, 60))) for _ in range(1000)]
+    caught, wrong = sum(map(model.is_random, keys)), sum(map(model.is_random, names))
+    assert caught >= 950 and wrong <= 20, (caught, wrong)
+
+
 def test_secret_model_does_not_depend_on_partitions(docs):
     one, many = (secret_scan.sample_counts(docs.repartition(n)) for n in (1, 17))
     assert one.sum() > 0 and (one == many).all()
