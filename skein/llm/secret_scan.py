@@ -4,7 +4,7 @@ The rules give spans of kind assign, access and hex. The models add spans of kin
 least `shortest` characters, `min_distinct` of them different, that no rule's span touches, if the model of random strings explains it better than that of
 ordinary identifiers by `min_ratio` nats in all and `min_rate` nats a character. Both are first-order models over the
 run's characters, trained from labelled samples (text, is_random): given ones, or those of `generated_samples` and
-`sample_counts`.
+`sample_counts` (values that rules find, words of the corpus, and identifiers made of such words).
 
 Edge cases: null and empty texts have no spans (empty strings, and the digest of one); long texts are scanned whole;
 spans count code points, the end exclusive; repeated rows are scanned each. Extra columns are ignored.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import text_of
+from ._common import materialize, text_of
 
 #: The rules.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -36,6 +36,7 @@ ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 _ORDINARY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z_][A-Za-z0-9_-]{5,18}(?![A-Za-z0-9+/_=-])")
 SAMPLE_ROWS, GENERATED, SMOOTH, BACK_OFF = 20_000, 4_000, 0.5, 5.0
+WORDS, IDENTIFIERS = 5_000, 24_000
 
 
 @dataclass(frozen=True)
@@ -111,10 +112,30 @@ def generated_samples(count: int = GENERATED) -> list[tuple[str, bool]]:
     return [("".join(own.choices(alphabets[i % len(alphabets)], k=own.randint(20, 64))), True) for i in range(count)]
 
 
+def generated_identifiers(words: list[str], count: int = IDENTIFIERS) -> list[str]:
+    """Identifiers of two to four of the words, in the usual forms, made with a fixed seed: prose alone has few of their
+    separators, capitals and numbers."""
+    own, out = random.Random(21), []
+    for i in range(count if words else 0):
+        parts = own.choices(words, k=own.randint(2, 4))
+        form = i % 6
+        if form < 3:
+            out.append("_-/"[form].join(parts))
+        elif form == 3:
+            out.append("".join(w.title() for w in parts))
+        elif form == 4:
+            out.append("_".join(parts).upper())
+        else:
+            number = str(own.randint(0, 9999)) if own.random() < 0.5 else f"{own.randint(1990, 2039)}-{own.randint(1, 12):02}-{own.randint(1, 28):02}"
+            parts.insert(own.randint(0, len(parts)), number)
+            out.append(own.choice("_-/").join(parts))
+    return out
+
+
 def sample_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> np.ndarray:
     """Transition counts of labelled samples from about `rows` documents at most, chosen by hash: random are the values that
     the rules find, ordinary the words of 6 to 19 characters (in texts without a find; longer ones are what is judged), each
-    different word once. The same rows give the same counts, however they are dealt to tasks."""
+    different word once, and identifiers made of WORDS of them. The same rows give the same counts, however they are dealt to tasks."""
     text = text_of(text_col)
     mine = F.pmod(F.xxhash64(F.col(id_col), text), F.lit(max(docs.count(), rows)))
     chosen = docs.where(mine < rows).select(text.alias("t"))
@@ -140,11 +161,15 @@ def sample_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["at", "n"])
 
-    distinct = chosen.mapInArrow(samples, "sample string, kind byte").groupBy("sample", "kind").agg(F.count(F.lit(1)).alias("times"))
+    distinct = materialize(chosen.mapInArrow(samples, "sample string, kind byte").groupBy("sample", "kind").agg(F.count(F.lit(1)).alias("times")), "secret-samples")
     out = np.zeros(2 * (n + 1) * n)
     for x in distinct.select("sample", "kind", "times").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         out[x["at"]] = x["n"]
-    return out.reshape(2, n + 1, n)
+    out = out.reshape(2, n + 1, n)
+    letters = distinct.where("kind = 0 AND sample rlike '^[A-Za-z]+$'")
+    for x in generated_identifiers([r["sample"] for r in letters.orderBy(F.xxhash64("sample"), "sample").limit(WORDS).collect()]):
+        np.add.at(out[0], _transitions(x), 1)
+    return out
 
 
 def scan(docs: DataFrame, model: MarkovPair, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
