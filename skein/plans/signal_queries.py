@@ -95,16 +95,16 @@ def summary_stats(spark, d):
 
 
 def mel_db(spark, d):
-    return sg.mel_db(_spectrum(spark, d), RATE, FFT, 8).select(*KEYS, "o", r6("db"))
+    return sg.mel_db(_spectrum(spark, d), RATE, FFT, 8).select(*KEYS, "o", F.round("db", 4).alias("db"))
 
 
 def mfcc(spark, d):
-    return sg.mfcc(sg.mel_db(_spectrum(spark, d), RATE, FFT, 8), 8, 5).select(*KEYS, "o", r6("value"))
+    return sg.mfcc(sg.mel_db(_spectrum(spark, d), RATE, FFT, 8), 8, 5).select(*KEYS, "o", F.round("value", 4).alias("value"))
 
 
 def tonnetz(spark, d):
     parts = sg.hpss(_spectrum(spark, d), HALF).select(*KEYS, "bin", F.col("harmonic").alias("value"))
-    return sg.tonnetz(sg.chroma(parts, RATE, FFT)).select(*KEYS, "o", r6("value"))
+    return sg.tonnetz(sg.chroma(parts, RATE, FFT)).select(*KEYS, "o", F.round("value", 5).alias("value"))
 
 
 def segment_vector_v1(spark, d):
@@ -161,6 +161,13 @@ _FR = _FLAT + ", fr AS (SELECT series_id, CAST(k AS INTEGER) AS frame_idx, CAST(
 _RMS = _FR + ", rms AS (SELECT series_id, frame_idx, sqrt(avg(x * x)) + 1e-12 AS rms FROM fr GROUP BY 1, 2)"
 _SPEC = _FR + """, w AS (SELECT series_id, frame_idx, place, x * (CAST(0.5 AS DOUBLE) - CAST(0.5 AS DOUBLE) * cos(2 * pi() * place / 16)) AS x FROM fr),
  spec AS (SELECT series_id, frame_idx, CAST(b AS INTEGER) AS bin, power(sum(x * cos(2 * pi() * b * place / 16)), 2) + power(sum(x * sin(2 * pi() * b * place / 16)), 2) AS value FROM w, range(9) r(b) GROUP BY 1, 2, 3)"""
+_MEL = _SPEC + """, t AS (SELECT 3e-1 AS low, 15 + 27 * ln(8e0) / ln(64e-1) AS high),
+ m AS (SELECT e, low + e * (high - low) / 9 AS mel FROM t, range(10) r(e)),
+ h AS (SELECT e, CASE WHEN mel < 15 THEN mel * 200 / 3 ELSE 1000 * exp((mel - 15) * ln(64e-1) / 27) END AS hz FROM m),
+ b AS (SELECT x.e AS o, x.hz AS a, y.hz AS b, z.hz AS c FROM h x JOIN h y ON y.e = x.e + 1 JOIN h z ON z.e = x.e + 2),
+ w8 AS (SELECT CAST(o AS INTEGER) AS o, bin, least((f - a) / (b - a), (c - f) / (c - b)) * 2 / (c - a) AS weight FROM b, (SELECT i AS bin, i * 22050 / 16e0 AS f FROM range(9) r(i))),
+ mel AS (SELECT series_id, frame_idx, o, sum(weight * value) AS v FROM spec JOIN w8 USING (bin) WHERE weight > 0 GROUP BY 1, 2, 3),
+ db AS (SELECT series_id, frame_idx, o, greatest(10 * log10(greatest(v, 1e-10)) - 10 * log10(greatest(max(v) OVER (PARTITION BY series_id), 1e-10)), -80) AS db FROM mel)"""
 _DRAW = lambda text, n: f"(('0x' || substr(md5({text}), 1, 8))::BIGINT % ({n}))"
 
 ORACLES = {
@@ -182,6 +189,19 @@ ORACLES = {
         k AS (SELECT *, greatest(1, floor(n * CAST(0.3 AS DOUBLE) + 0.5)) AS k FROM r),
         m AS (SELECT series_id, frame_idx, band, avg(value) FILTER (r <= k) AS lo, avg(value) FILTER (r > n - k) AS hi FROM k GROUP BY 1, 2, 3)
         SELECT series_id, frame_idx, band, round(10 * log10(greatest(hi, 1e-10)) - 10 * log10(greatest(lo, 1e-10)), 4) AS contrast FROM m""",
+    "mel_db": _MEL + " SELECT series_id, frame_idx, o, round(db, 4) AS db FROM db",
+    "mfcc": _MEL + " SELECT series_id, frame_idx, CAST(k AS INTEGER) AS o, round(sum(db * cos(pi() * k * (o + 5e-1) / 8) * sqrt(CASE WHEN k = 0 THEN 1 ELSE 2 END / 8e0)), 4) AS value FROM db, range(5) r(k) GROUP BY 1, 2, 3",
+    "tonnetz": _SPEC + """, m AS (SELECT *, median(value) OVER (PARTITION BY series_id, bin ORDER BY frame_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS h, median(value) OVER (PARTITION BY series_id, frame_idx ORDER BY bin ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS p FROM spec),
+        k AS (SELECT series_id, frame_idx, bin, value * CASE WHEN h * h + p * p > 0 THEN h * h / (h * h + p * p) ELSE 0.5 END AS value FROM m),
+        c AS (SELECT series_id, frame_idx, ((floor(12 * log2(bin * 22050 / CAST(16 AS DOUBLE) / 440) + 69 + 0.5) % 12) + 12) % 12 AS c, sum(value) AS v FROM k WHERE bin > 0 GROUP BY 1, 2, 3),
+        s AS (SELECT *, CASE WHEN sum(v) OVER w > 0 THEN v / sum(v) OVER w ELSE 0 END AS share FROM c WINDOW w AS (PARTITION BY series_id, frame_idx))
+        SELECT series_id, frame_idx, CAST(o AS INTEGER) AS o, round(sum(share * CASE WHEN o > 3 THEN 5e-1 ELSE 1 END
+               * CASE WHEN o % 2 = 0 THEN sin(pi() * [7e0 / 6, 15e-1, 2e0 / 3][o // 2 + 1] * c) ELSE cos(pi() * [7e0 / 6, 15e-1, 2e0 / 3][o // 2 + 1] * c) END), 5) AS value FROM s, range(6) r(o) GROUP BY 1, 2, 3""",
+    "yin_f0": _FLAT + """, d AS (SELECT a.series_id, b.place - a.place AS lag, sum((a.x - b.x) * (a.x - b.x)) AS d FROM flat a JOIN flat b ON a.series_id = b.series_id AND b.place - a.place BETWEEN 1 AND 24 WHERE a.place < 40 GROUP BY 1, 2),
+        r AS (SELECT *, sum(d) OVER (PARTITION BY series_id ORDER BY lag) AS run FROM d),
+        n AS (SELECT series_id, lag, CASE WHEN run > 0 THEN d * lag / run ELSE 1 END AS norm FROM r),
+        l AS (SELECT *, lead(norm) OVER (PARTITION BY series_id ORDER BY lag) AS after, min(CASE WHEN lag >= 3 AND norm < 1e-1 THEN lag END) OVER (PARTITION BY series_id) AS first FROM n)
+        SELECT series_id, 0 AS frame_idx, round(22050 / CAST(coalesce(min(CASE WHEN lag >= first AND (after IS NULL OR after >= norm) THEN lag END), arg_min(lag, norm) FILTER (lag >= 3)) AS DOUBLE), 6) AS f0_hz, bool_or(first IS NOT NULL) AS voiced_flag FROM l GROUP BY 1""",
     "power_db": _FLAT + " SELECT series_id, place, round(greatest(10 * log10(greatest(x * x, 1e-10)) - 10 * log10(greatest(max(x * x) OVER (PARTITION BY series_id), 1e-10)), -40), 6) AS db FROM flat",
     "zscore_segment": _FLAT + " SELECT series_id, place, round((x - avg(x) OVER w) / (stddev_pop(x) OVER w + 1e-6), 6) AS z FROM flat WINDOW w AS (PARTITION BY series_id)",
     "moving_median": "WITH " + FRAMES_SQL.strip() + " SELECT track_id, frame_idx, round(median(f0_hz) OVER (PARTITION BY track_id ORDER BY frame_idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 6) AS m FROM frames",
@@ -204,7 +224,7 @@ ORACLES = {
         SELECT track_id, seg_idx, label AS label_idx, CAST(i AS INTEGER) AS idx, round(CAST(CASE WHEN i < 4 THEN embedding[i + 1] ELSE own[i - 3] END AS DOUBLE), 6) AS value FROM v JOIN t USING (track_id), range(6) r(i)""",
 }
 
-ROWS_ONLY = ("mel_db", "mfcc", "tonnetz", "yin_f0", "segment_vector_v1")
+ROWS_ONLY = ("segment_vector_v1",)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -178,6 +178,11 @@ def topk_labels(spark, d):
     return top.select("vec_id", "best", "place", F.col("t.place").alias("label_idx"), F.round("t.value", 6).alias("prob"))
 
 
+def prediction_lines(spark, d):
+    best = _scored(spark, d).select(F.col("vec_id").cast("string").alias("name"), sc.top_k(F.col("p"), 1)[0].alias("t"))
+    return stores.prediction_lines(best.select("name", F.concat(F.lit("class "), F.col("t.place").cast("string")).alias("label"), F.col("t.value").alias("confidence")))
+
+
 def track_vote(spark, d):
     probs = _probs(spark, d)
     truth = ev.track_truth(probs.select("track_id", "seg_idx", F.col("label").alias("label_idx")))
@@ -287,6 +292,7 @@ ORACLES = {
     "softmax_margin": _SCORED + " SELECT vec_id, label_idx, round(prob, 6) AS prob FROM scored",
     "topk_labels": _SCORED + """ SELECT vec_id, first_value(label_idx) OVER (PARTITION BY vec_id ORDER BY prob DESC, label_idx) AS best, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY prob DESC, label_idx) - 1 AS INTEGER) AS place, label_idx, round(prob, 6) AS prob
         FROM scored QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY prob DESC, label_idx) <= 3""",
+    "prediction_lines": _SCORED + " SELECT vec_id || chr(9) || 'class ' || label_idx || chr(9) || printf('%.3f', prob) AS value FROM scored WHERE r = 1",
     "track_vote": _SCORED + """, mean AS (SELECT track_id, label_idx, avg(prob) AS prob FROM probs GROUP BY 1, 2),
         truth AS (SELECT vec_id % 125 AS track_id, arg_min(label, vec_id) AS y_true FROM embeddings GROUP BY 1)
         SELECT track_id, y_true, label_idx AS y_pred, round(prob, 6) AS confidence FROM mean JOIN truth USING (track_id) QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY prob DESC, label_idx) = 1""",
