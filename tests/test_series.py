@@ -89,12 +89,18 @@ def test_gate(spark):
 
 
 def test_pooling(spark):
-    def pooled(flags):
-        sparse = spark.createDataFrame([(1, i, "hist", 0, v) for i, v in enumerate((2.0, 9.0, 4.0))], "track_id long, seg_idx int, feature string, idx int, value double")
-        segments = spark.createDataFrame([(1, i, bool(f), 0.5, 0.5) for i, f in enumerate(flags)], "track_id long, seg_idx int, pitched boolean, voiced_ratio double, harmonic_ratio double")
-        return iv.pool(sparse, segments).where("feature = 'hist'").first()["value"]
+    """The mean over pitched segments, over all of them if none is; what a segment lacks is 0 there."""
 
-    assert pooled((1, 0, 1)) == pytest.approx(3) and pooled((0, 0, 0)) == pytest.approx(5)
+    def pooled(flags):
+        rows = [(1, i, bool(flag), "hist", 0, v) for i, (flag, v) in enumerate(zip(flags, (2.0, 9.0, 4.0), strict=True))]
+        rows += [(1, i, bool(flag), "scalar", j, 0.25 * (i + 1 + j)) for i, flag in enumerate(flags) for j in range(2)] + [(1, 0, bool(flags[0]), "step", 3, 6.0)]
+        features = spark.createDataFrame(rows, "track_id long, seg_idx int, pitched boolean, feature string, idx int, value double")
+        return {(r["feature"], r["idx"]): r["value"] for r in iv.pool(features).collect()}
+
+    some, none = pooled((1, 0, 1)), pooled((0, 0, 0))
+    assert some["hist", 0] == pytest.approx(3) and none["hist", 0] == pytest.approx(5)
+    assert some["step", 3] == pytest.approx(3) and none["step", 3] == pytest.approx(2)
+    assert [some["track", i] for i in range(3)] == pytest.approx([2 / 3, 0.5, 0.75]) and none["track", 0] == 0
 
 
 def test_track_without_frames_is_zeros(spark):
