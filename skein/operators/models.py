@@ -9,9 +9,8 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -20,8 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.scalars import arg_max, num, softmax
+from ..sources.shared import materialize
 from . import evaluate as ev
 from . import manifest
+from .calibration import CalibratedMachines, RandomFeatures
+from .neighbours import BLOCK, RING_ROWS, NeighbourIndex
+from .stored import Stored
+from .trees import Boosted, ExtraTrees
 
 
 def column_stats(df: DataFrame, column: str = "features") -> tuple[np.ndarray, np.ndarray]:
@@ -58,29 +62,6 @@ def balanced(df: DataFrame) -> DataFrame:
     return df.join(F.broadcast(weights), "label_idx")  # a row per class
 
 
-class RandomFeatures:
-    """cos(w x + b) maps of seeded random directions: dot products come near those of a Gaussian kernel."""
-
-    def __init__(self, width: int, gamma: float, size: int = 256, seed: int = 42):
-        rng = np.random.default_rng(seed)
-        self.w, self.b, self.size = rng.normal(0, math.sqrt(2 * gamma), (size, width)), rng.uniform(0, 2 * math.pi, size), size
-
-    @staticmethod
-    def scale_gamma(df: DataFrame, column: str = "features") -> float:
-        """1 / (width * variance of all entries)."""
-        row = df.select(F.explode(vector_to_array(column)).alias("x"), F.size(vector_to_array(column)).alias("n")).agg(F.var_pop("x"), F.max("n")).first()
-        return 1.0 / (row[1] * row[0]) if row[0] else 1.0
-
-    def apply(self, df: DataFrame, column: str = "features") -> DataFrame:
-        w, b, scale = self.w, self.b, math.sqrt(2 / self.size)
-
-        @F.pandas_udf("array<double>")
-        def lift(x):
-            return pd.Series(list(scale * np.cos(np.stack(x.to_numpy()) @ w.T + b))) if len(x) else pd.Series([], dtype=object)
-
-        return df.withColumn(column, array_to_vector(lift(vector_to_array(column))))
-
-
 class PopulationScaler(Estimator):
     """features to _scaled: each place less its mean, over its population deviation."""
 
@@ -103,87 +84,63 @@ class VarianceShare(Estimator):
         return pca(df, self.share, "_scaled").fit(df)
 
 
-def _logistic(column: str, **kw) -> Estimator:
-    return LogisticRegression(featuresCol=column, labelCol="label_idx", weightCol="weight", family="multinomial", standardization=False, regParam=kw.get("reg", 0.01), maxIter=kw.get("iterations", 50))
-
-
-def _svm(column: str, **kw) -> Estimator:
-    return OneVsRest(classifier=LinearSVC(featuresCol=column, regParam=kw.get("reg", 0.01), maxIter=kw.get("iterations", 30)), featuresCol=column, labelCol="label_idx", weightCol="weight")
-
+class Logistic(Estimator):
+    """Multinomial logistic regression with penalty `c` on errors: coefficients are penalised by 1 / (c * sum of weights)."""
 
-def _forest(trees: int, bootstrap: bool) -> Callable[..., Estimator]:
-    return lambda column, **kw: RandomForestClassifier(featuresCol=column, labelCol="label_idx", weightCol="weight", numTrees=kw.get("trees", trees), maxDepth=kw.get("depth", 10), minInstancesPerNode=2, bootstrap=bootstrap, seed=42)
-
-
-def _boosted(column: str, **kw) -> Estimator:
-    return OneVsRest(classifier=GBTClassifier(featuresCol=column, maxIter=kw.get("trees", 700), maxDepth=kw.get("depth", 6), stepSize=kw.get("rate", 0.05), seed=42), featuresCol=column, labelCol="label_idx", weightCol="weight")
-
-
-class LiftedModel:
-    """A model on scaled, then lifted features."""
-
-    def __init__(self, before: PipelineModel, column: str, lift: RandomFeatures, model: Model):
-        self.before, self.column, self.lift, self.model = before, column, lift, model
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(self.lift.apply(self.before.transform(df), self.column))
+    def __init__(self, column: str, c: float = 1.0, iterations: int = 50):
+        super().__init__()
+        self.column, self.c, self.iterations = column, c, iterations
 
+    def _fit(self, df: DataFrame) -> Model:
+        whole = df.agg(F.sum("weight")).first()[0]
+        return LogisticRegression(featuresCol=self.column, labelCol="label_idx", weightCol="weight", family="multinomial", standardization=False, regParam=1 / (self.c * whole), maxIter=self.iterations).fit(df)
 
-class KernelMachine(Estimator):
-    """svm_rbf: a linear machine on random features of a Gaussian kernel; gamma is 1 / (width * variance) of what is scaled."""
 
-    def __init__(self, before: Pipeline, column: str, size: int = 256, **options):
+class Neighbours(Estimator):
+    def __init__(self, column: str, k: int = 9):
         super().__init__()
-        self.before, self.column, self.size, self.options = before, column, size, options
-
-    def _fit(self, df: DataFrame) -> LiftedModel:
-        before = self.before.fit(df)
-        rows = before.transform(df)
-        width = rows.select(F.size(vector_to_array(self.column))).first()[0]
-        lift = RandomFeatures(width, RandomFeatures.scale_gamma(rows, self.column), self.size)
-        return LiftedModel(before, self.column, lift, _svm(self.column, **self.options).fit(lift.apply(rows, self.column)))
+        self.column, self.k = column, k
 
+    def _fit(self, df: DataFrame) -> NeighbourModel:
+        vec = vector_to_array(self.column)
+        # A row's number comes from what it holds, so ties fall alike in every run; equal rows are interchangeable.
+        rows = df.select(F.xxhash64(vec, "label_idx").alias("id"), F.col("label_idx").cast("int").alias("label_idx"), vec.alias("vec"))
+        classes = 1 + (df.agg(F.max("label_idx")).first()[0] or 0)
+        return NeighbourModel({"column": self.column, "k": self.k, "classes": classes}, tables={"rows": materialize(rows, "neighbours")})
 
-class NeighbourModel:
-    """The training rows, scaled; a row's probabilities are its neighbours' shares of the vote."""
-
-    def __init__(self, before: PipelineModel, column: str, rows: DataFrame, k: int):
-        self.before, self.column, self.k, self.classes = before, column, k, 1 + (rows.agg(F.max("label_idx")).first()[0] or 0)
-        self.rows = self._vectors(rows).select(F.monotonically_increasing_id().alias("id"), "label_idx", "vec")
 
-    def _vectors(self, df: DataFrame) -> DataFrame:
-        return self.before.transform(df).withColumn("vec", vector_to_array(self.column))
+class NeighbourModel(Stored):
+    """The rows that it learnt from, as a table; a row's probabilities are its neighbours' shares of the vote."""
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        own = F.xxhash64(vector_to_array("features"))  # rows with equal features have equal neighbours
-        asked = self._vectors(df).select(own.alias("_q"), "vec").dropDuplicates(["_q"])
-        votes = neighbour_votes(self.rows, asked, "_q", self.k)
-        shares = votes.groupBy("_q").agg(F.map_from_entries(F.collect_list(F.struct("label_idx", "w"))).alias("_m"), F.sum("w").alias("_w"))
-        probs = F.transform(F.sequence(F.lit(0), F.lit(self.classes - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), num(0)) / F.col("_w"))
-        return df.withColumn("_q", own).join(shares, "_q", "left").withColumn("probability", array_to_vector(probs)).drop("_q", "_m", "_w")
+    def _transform(self, df: DataFrame) -> DataFrame:
+        if not hasattr(self, "_index"):
+            self._index = NeighbourIndex(self.tables["rows"])
+        own = F.xxhash64(vector_to_array(self.values["column"]))  # rows with equal features have equal neighbours
+        asked = df.select(own.alias("key"), vector_to_array(self.values["column"]).alias("vec")).dropDuplicates(["key"])
+        votes = _votes(self._index.search(asked, self.values["k"]))
+        shares = votes.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("label_idx", "w"))).alias("_m"), F.sum("w").alias("_w"))
+        probs = F.transform(F.sequence(F.lit(0), F.lit(self.values["classes"] - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), num(0)) / F.col("_w"))
+        return df.withColumn("key", own).join(shares, "key", "left").withColumn("probability", array_to_vector(probs)).drop("key", "_m", "_w")
 
 
-class Neighbours(Estimator):
-    def __init__(self, before: Pipeline, column: str, k: int = 9):
+class Voting(Estimator):
+    def __init__(self, members: list[tuple[Estimator, float]]):
         super().__init__()
-        self.before, self.column, self.k = before, column, k
+        self.members = members
 
-    def _fit(self, df: DataFrame) -> NeighbourModel:
-        return NeighbourModel(self.before.fit(df), self.column, df, self.k)
+    def _fit(self, df: DataFrame) -> VotingModel:
+        return VotingModel({"weights": [w for _, w in self.members]}, {f"member{i}": one.fit(df) for i, (one, _) in enumerate(self.members)})
 
 
-class VotingModel:
+class VotingModel(Stored):
     """The weighted mean of the members' probabilities."""
 
-    def __init__(self, members: list[tuple[Model, float]]):
-        self.members = members
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        whole, sums = sum(w for _, w in self.members), []
-        for i, (model, weight) in enumerate(self.members):
+    def _transform(self, df: DataFrame) -> DataFrame:
+        weights, sums = self.values["weights"], []
+        for i, weight in enumerate(weights):
             before = df.columns
-            df = model.transform(df)
-            df = df.select(*before, F.transform(_probabilities(df), lambda p: p * num(weight / whole)).alias(f"_p{i}"))  # noqa: B023
+            df = self.parts[f"member{i}"].transform(df)
+            df = df.select(*before, F.transform(_probabilities(df), lambda p: p * num(weight / sum(weights))).alias(f"_p{i}"))  # noqa: B023
             sums.append(f"_p{i}")
         mean = F.col(sums[0])
         for c in sums[1:]:
@@ -191,17 +148,22 @@ class VotingModel:
         return df.withColumn("probability", array_to_vector(mean)).drop(*sums)
 
 
-class Voting(Estimator):
-    def __init__(self, members: list[tuple[Estimator, float]]):
-        super().__init__()
-        self.members = members
+def _forest(column: str, trees: int = 400, depth: int = 10) -> Estimator:
+    return RandomForestClassifier(featuresCol=column, labelCol="label_idx", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=42)
 
-    def _fit(self, df: DataFrame) -> VotingModel:
-        return VotingModel([(one.fit(df), weight) for one, weight in self.members])
 
-
-MODELS: dict[str, Callable[..., Estimator]] = {"lr": _logistic, "svm_linear": _svm, "rf": _forest(400, True), "extra_trees": _forest(500, False), "gbt": _boosted}
-NAMES = (*MODELS, "svm", "svm_rbf", "knn", "ensemble")
+#: By name, the stages behind the scaler. Penalties 1 and 10, 400 and 500 trees of 2 rows a leaf, 700 rounds of depth 6, rate 0.05, l2 5.
+MODELS: dict[str, Callable[..., list[Estimator]]] = {
+    "lr": lambda column, **kw: [Logistic(column, **kw)],
+    "svm_linear": lambda column, **kw: [CalibratedMachines(column, **kw)],
+    "svm_rbf": lambda column, size=256, c=10.0, **kw: [RandomFeatures(column, "_lifted", size), CalibratedMachines("_lifted", c, **kw)],
+    "knn": lambda column, **kw: [Neighbours(column, **kw)],
+    "rf": lambda column, **kw: [_forest(column, **kw)],
+    "extra_trees": lambda column, **kw: [ExtraTrees(column, **kw)],
+    "gbt": lambda column, trees=700, **kw: [Boosted(column, trees, **kw)],
+}
+MODELS["svm"] = MODELS["svm_rbf"]
+NAMES = (*MODELS, "ensemble")
 #: The members of the ensemble and their weights.
 ENSEMBLE = (("svm_rbf", 2.0), ("extra_trees", 2.0), ("lr", 1.0), ("gbt", 2.0))
 
@@ -214,13 +176,8 @@ def build(name: str, share: float | None = None, **options) -> Estimator:
         raise ValueError(f"no model {name}: {sorted(NAMES)}")
     if name == "ensemble":
         return Voting([(build(member, share, **options.get(member, {})), weight) for member, weight in ENSEMBLE])
-    column = "_scaled" if share is None else "_scaled_pca"
     before = [PopulationScaler(), *([] if share is None else [VarianceShare(share)])]
-    if name in ("svm", "svm_rbf"):
-        return KernelMachine(Pipeline(stages=before), column, **options)
-    if name == "knn":
-        return Neighbours(Pipeline(stages=before), column, **options)
-    return Pipeline(stages=[*before, MODELS[name](column, **options)])
+    return Pipeline(stages=[*before, *MODELS[name]("_scaled" if share is None else "_scaled_pca", **options)])
 
 
 def fit(name: str, train: DataFrame, **options) -> Model:
@@ -238,44 +195,19 @@ def predict(model: Model, df: DataFrame, key: list[str]) -> DataFrame:
     return out.select(*key, _probabilities(out).alias("probs")).withColumn("y_pred", arg_max(F.col("probs"))).withColumn("confidence", F.array_max("probs"))
 
 
-def _nearest(q: np.ndarray, t: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of q, row of t, distance) of the k nearest and their ties; candidates by one matrix product, then exact distances."""
-    rough = (q * q).sum(axis=1)[:, None] + (t * t).sum(axis=1)[None, :] - 2 * (q @ t.T)
-    least = np.partition(rough, min(k, len(t)) - 1, axis=1)[:, min(k, len(t)) - 1]
-    slack = 1e-9 * (1 + (q * q).sum(axis=1) + (t * t).sum(axis=1).max())
-    i, j = np.nonzero(rough <= (least + slack)[:, None])
-    return i, j, np.sqrt(((q[i] - t[j]) ** 2).sum(axis=1))
-
-
-def neighbour_votes(train: DataFrame, queries: DataFrame, key: str, k: int = 9, part: int = 8_000, block: int = 2_000) -> DataFrame:
-    """key, label_idx, w: votes weighted by 1 / distance among the k nearest (at distance 0 only those vote; ties: the lower id).
-
-    train(id, label_idx, vec), queries(key, vec). Exact at any size: a task holds `block` queries and `part` training rows,
-    takes the k nearest of each query there, and the nearest of all parts are chosen from those."""
-    parts, rows = max(1, -(-train.count() // part)), max(1, -(-queries.count() // block))
-    deal = lambda df, column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
-    q = queries.select(F.col(key).alias("key"), "vec").withColumn("_b", deal(queries, "key", rows)).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    t = train.select("id", "label_idx", "vec").withColumn("_p", deal(train, "id", parts)).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
-    kinds = {"key": q.schema["key"].dataType.simpleString(), "id": t.schema["id"].dataType.simpleString()}
-
-    def nearest(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked) or not len(known):
-            return pd.DataFrame({"key": [], "d": [], "id": [], "label_idx": []})
-        own, ids, labels = np.stack(known["vec"].to_numpy()).astype(float), known["id"].to_numpy(), known["label_idx"].to_numpy()
-        whole, keys, out = np.stack(asked["vec"].to_numpy()).astype(float), asked["key"].to_numpy(), []
-        for lo in range(0, len(whole), 500):
-            i, j, d = _nearest(whole[lo : lo + 500], own, k)
-            order = np.lexsort((ids[j], d, i))
-            i, j, d = i[order], j[order], d[order]
-            place = np.arange(len(i)) - np.searchsorted(i, i)
-            out.append(pd.DataFrame({"key": keys[lo + i], "d": d, "id": ids[j], "label_idx": labels[j]})[place < k])
-        return pd.concat(out)
-
-    found = q.groupBy("_p", "_b").cogroup(t.groupBy("_p", "_b")).applyInPandas(nearest, f"key {kinds['key']}, d double, id {kinds['id']}, label_idx int")
-    best = found.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id", "label_idx"))), 1, k).alias("_b"))
-    near = best.select("key", F.array_min(F.transform("_b", lambda x: x["d"])).alias("_least"), F.explode("_b").alias("b"))
+def _votes(found: DataFrame) -> DataFrame:
+    """key, best -> key, label_idx, w: votes weighted by 1 / distance; at distance 0 only those vote."""
+    near = found.select("key", F.get("best", F.lit(0))["d"].alias("_least"), F.explode("best").alias("b"))
     weight = F.when(F.col("_least") == 0, (F.col("b.d") == 0).cast("double")).otherwise(num(1) / F.col("b.d"))
-    return near.groupBy(F.col("key").alias(key), F.col("b.label_idx").alias("label_idx")).agg(F.sum(weight).alias("w"))
+    return near.groupBy("key", F.col("b.label_idx").alias("label_idx")).agg(F.sum(weight).alias("w"))
+
+
+def neighbour_votes(train: DataFrame, queries: DataFrame, key: str, k: int = 9, part: int = RING_ROWS, block: int = BLOCK) -> DataFrame:
+    """key, label_idx, w: votes among the k nearest, exact at any size (ties: the lower id). train(id, label_idx, vec), queries(key, vec).
+
+    part: rows of a ring of the index; block: queries that meet a ring at once."""
+    found = NeighbourIndex(train, ring_rows=part, block=block).search(queries.select(F.col(key).alias("key"), "vec"), k)
+    return _votes(found).withColumnRenamed("key", key)
 
 
 def knn(train: DataFrame, queries: DataFrame, key: str, k: int = 9, **options) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Model
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
+from ..operators import stored
 
 MANIFEST = "track_id long, path string, label string"
 _SCORES = "struct<acc: double, macro_f1: double, balanced_acc: double>"
@@ -75,7 +76,7 @@ def read_runs(spark: SparkSession, root: str, needed: tuple[str, ...] = ("metric
     return rows.join(whole.select("run"), "run", "left_semi")
 
 
-def save_model(model: PipelineModel, folder: str, labels: list[str], config: dict, metrics: dict | None = None) -> None:
+def save_model(model: Model, folder: str, labels: list[str], config: dict, metrics: dict | None = None) -> None:
     """The model, its labels and settings, and what was measured, in one folder."""
     spark = SparkSession.active()
     model.write().overwrite().save(f"{folder}/model")
@@ -84,8 +85,8 @@ def save_model(model: PipelineModel, folder: str, labels: list[str], config: dic
             spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{name}")
 
 
-def load_model(spark: SparkSession, folder: str) -> tuple[PipelineModel, dict]:
-    return PipelineModel.load(f"{folder}/model"), json.loads(spark.read.text(f"{folder}/config").first()["value"])
+def load_model(spark: SparkSession, folder: str) -> tuple[Model, dict]:
+    return stored.load(spark, f"{folder}/model"), json.loads(spark.read.text(f"{folder}/config").first()["value"])
 
 
 def promote(spark: SparkSession, run: str, target: str) -> None:
