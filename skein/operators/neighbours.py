@@ -24,7 +24,7 @@ from ..functions.scalars import num
 from ..sources.shared import materialize
 
 MAX_PIVOTS, MAX_RINGS = 1024, 32_768
-RING_ROWS, BLOCK = 1024, 2_000
+RING_ROWS, BLOCK = 4096, 2_000
 
 
 def _vectors(column: pa.ListArray, width: int) -> np.ndarray:
@@ -89,7 +89,10 @@ class NeighbourIndex:
         known = materialize(rows.select("id", F.col("label_idx").cast("int").alias("label_idx"), F.transform("vec", lambda x: x.cast("double")).alias("vec")), "neighbours-rows")
         self.n, self.width = known.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
         self.kind = known.schema["id"].dataType.simpleString()
-        if self.n:
+        if self.n and not pivots and self.n <= 2 * ring_rows:  # one ring of one share: nothing to choose from
+            self.bounds = Bounds(np.zeros((1, self.width)), *(np.zeros(1) for _ in range(3)), np.array([self.n]), np.ones(1, int), np.zeros(1, int))
+            self.rows = known.select("*", F.lit(0).alias("at"), F.lit(0).alias("share"))
+        elif self.n:
             self._build(known, min(MAX_PIVOTS, pivots or max(1, int((self.n / ring_rows) ** 0.5 * 2))))
 
     def _build(self, known: DataFrame, pivots: int) -> None:
@@ -145,7 +148,6 @@ class NeighbourIndex:
 
     def _met(self, visits: DataFrame, k: int) -> DataFrame:
         """The k best (d, id, label_idx) of each query among the rows of what it visits, as rows key, best."""
-        visits = materialize(visits, "neighbours-visits")
         deal = F.pmod(F.xxhash64("key"), F.col("_blocks")).cast("int")
         blocks = visits.groupBy("at", "share").agg(F.ceil(F.count(F.lit(1)) / num(self.block)).cast("int").alias("_blocks"))
         asked = visits.join(blocks, ["at", "share"]).withColumn("_b", deal).drop("_blocks")
@@ -177,11 +179,11 @@ class NeighbourIndex:
         asked = materialize(queries.select("key", F.transform("vec", lambda x: x.cast("double")).alias("vec")), "neighbours-queries")
         if not self.n:
             return asked.select("key").where("1 = 0").withColumn("best", F.array().cast(f"array<struct<d:double,id:{self.kind},label_idx:int>>"))
-        first = materialize(self._kept(self._met(self._visits(asked, k, False), k), k), "neighbours-first")
         if len(self.bounds.ring) == 1:
-            return first
+            return self._kept(self._met(asked.select("*", F.lit(0).alias("at"), F.lit(0).alias("share")), k), k)
+        first = materialize(self._kept(self._met(materialize(self._visits(asked, k, False), "neighbours-visits"), k), k), "neighbours-first")
         # The k-th distance so far; without k rows everything may still be near enough. A tie may have a lower id, so bounds equal to it count.
         reach = F.when(F.size("best") < k, num(float("inf"))).otherwise(F.element_at("best", -1)["d"])
-        more = self._met(self._visits(asked.join(first.select("key", reach.alias("reach")), "key"), k, True), k)
+        more = self._met(materialize(self._visits(asked.join(first.select("key", reach.alias("reach")), "key"), k, True), "neighbours-visits"), k)
         both = first.select("key", F.explode("best").alias("b")).select("key", "b.*").unionByName(more)
         return self._kept(both, k)

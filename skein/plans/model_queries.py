@@ -14,7 +14,7 @@ from ..operators import models as md
 from .adapters import table
 
 #: Small ensembles: these queries show the operators, not the best scores.
-OPTIONS = {"rf": {"trees": 20, "depth": 6}, "extra_trees": {"trees": 20, "depth": 6}, "gbt": {"trees": 5, "depth": 3}, "svm_linear": {"iterations": 15}, "svm_rbf": {"iterations": 15, "size": 64}, "lr": {"iterations": 30}}
+OPTIONS = {"rf": {"trees": 20, "depth": 6}, "extra_trees": {"trees": 20, "depth": 6}, "gbt": {"trees": 5, "depth": 3}, "svm_linear": {"iterations": 15, "folds": 3}, "svm_rbf": {"iterations": 15, "folds": 3, "size": 64}, "lr": {"iterations": 30}}
 
 
 def _table(spark: SparkSession, d: str) -> DataFrame:
@@ -58,6 +58,13 @@ def gbt_predict(spark, d):
     return _run("gbt", spark, d)
 
 
+def gbt_losses(spark, d):
+    """The mean training loss before each round of boosting, and after the last."""
+    train, _ = _parts(spark, d)
+    losses = md.fit("gbt", train, **OPTIONS["gbt"]).stages[-1].values["losses"]
+    return spark.createDataFrame([(i, round(x, 6)) for i, x in enumerate(losses)], "round int, loss double")
+
+
 def pca_variance(spark, d):
     rows = _table(spark, d)
     size = md.variance_size(rows, 0.95)
@@ -114,7 +121,7 @@ ORACLES = {
         SELECT vec_id, label AS y_pred FROM v QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY w DESC, label) = 1""",
 }
 
-ROWS_ONLY = ("pca_variance", "lr_predict", "svm_linear_predict", "svm_rbf_predict", "rf_predict", "extra_trees_predict", "gbt_predict", "oof_predictions", "stacking_predict", "cv_summary", "predict_table")
+ROWS_ONLY = ("pca_variance", "lr_predict", "svm_linear_predict", "svm_rbf_predict", "rf_predict", "extra_trees_predict", "gbt_predict", "gbt_losses", "oof_predictions", "stacking_predict", "cv_summary", "predict_table")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
