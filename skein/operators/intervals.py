@@ -176,6 +176,20 @@ def _run_buckets(n_bins: int) -> Column:
     return let(edges, lambda all_edges: F.transform("_runs", lambda length: F.size(F.filter(all_edges, lambda e: e < length))))
 
 
+def entry_counts(rows: DataFrame, column: str | Column, *names: str) -> DataFrame:
+    """A histogram of packed segments, sparse: names (one, or the fields of the array's structs), n, value (the share of the array)."""
+    entries = F.col(column) if isinstance(column, str) else column
+    each = rows.select(*G, F.size(entries).alias("_whole"), F.explode(entries).alias("_e"))
+    each = each.select(*G, "_whole", *([F.col("_e").alias(names[0])] if len(names) == 1 else [F.col(f"_e.{f}").alias(c) for f, c in zip("ab", names, strict=True)]))
+    counted = each.groupBy(*G, *names).agg(F.count(F.lit(1)).alias("n"), F.max("_whole").alias("_whole"))
+    return counted.select(*G, *names, "n", (F.col("n") / (F.col("_whole") + num(EPS))).alias("value"))
+
+
+def duration_buckets(n_bins: int) -> Column:
+    """The duration bucket of each run of a packed segment."""
+    return _run_buckets(n_bins)
+
+
 def segment_features(frames: DataFrame, cfg: IntervalConfig) -> DataFrame:
     """track_id, seg_idx, pitched, feature, idx, value. Every note, move, step and run is an entry of weight 1 over its
     histogram's total, every scalar one over 1; they are summed where the segment already lies, without a shuffle."""
@@ -262,21 +276,34 @@ def track_features(frames: DataFrame, tracks: DataFrame, cfg: IntervalConfig) ->
 
 
 def mode_features(frames: DataFrame, cfg: ModeConfig) -> DataFrame:
-    """The absolute variant, sparse: pitch, interval and cadence histograms (cadence by absolute class) and four scalars."""
+    """The absolute variant, sparse: pitch, interval and cadence histograms (cadence by absolute class) and four scalars.
+
+    As `packed`: a segment's notes are one array, and everything comes from it; one shuffle by segment, one by histogram entry."""
+    voiced, zero, bins = F.col("voiced"), F.lit(0), F.lit(cfg.bins)
+    note = F.when(voiced & (F.col("f0_hz") > 0), F.struct("frame_idx", pitch_class(F.col("f0_hz"), cfg.bins).cast("int").alias("pc"), F.col("f0_hz").alias("hz")))
     marked = frames.withColumn("voiced", is_number(F.col("f0_hz")) & F.coalesce("voiced_flag", F.lit(False)))
-    base = marked.groupBy(*G).agg(F.avg(F.col("voiced").cast("int")).alias("voiced_ratio"), F.sum(F.col("voiced").cast("int")).alias("_n"))
-    good = base.where(F.col("_n") >= cfg.min_voiced).select(*G)
-    rows = marked.where("voiced AND f0_hz > 0").join(good, list(G), "left_semi").withColumn("pc", pitch_class(F.col("f0_hz"), cfg.bins)).withColumn("tail", series.in_tail(cfg.cadence))
-    hist = histogram(rows, "pc")
-    best = hist.groupBy(*G).agg(F.max_by("pc", F.struct("n", -F.col("pc"))).alias("tonic"), F.sort_array(F.collect_list("value"), asc=False).alias("_s"))
-    known = rows.join(best.select(*G, "tonic"), list(G)).withColumn("itv", F.pmod(F.col("pc") - F.col("tonic"), F.lit(cfg.bins)))
-    cents = num(1200) * F.log2(F.greatest("f0_hz", num(1e-9)) / F.greatest(F.median("f0_hz").over(segment_window()), num(1e-9)))
-    spread = rows.withColumn("_c", cents).groupBy(*G).agg(F.stddev_pop("_c").alias("f0_std_cents"))
-    cadence = histogram(known.where("tail"), "pc")
-    ending = known.where("tail").groupBy(*G).agg((F.sum((F.col("pc") == F.col("tonic")).cast("int")) / (F.count(F.lit(1)) + num(EPS))).alias("cadence_to_tonic"))
-    strength = best.select(*G, (F.col("_s")[0] - F.coalesce(F.get("_s", F.lit(1)), num(0))).alias("tonic_strength"))
-    one = base.join(strength, list(G), "left").join(spread, list(G), "left").join(ending, list(G), "left")
+    rows = marked.groupBy(*G).agg(F.avg(voiced.cast("int")).alias("voiced_ratio"), F.sum(voiced.cast("int")).alias("_v"), F.array_sort(F.collect_list(note)).alias("_notes"))
+    rows = rows.withColumn("_notes", F.when(F.col("_v") >= cfg.min_voiced, F.col("_notes")).otherwise(F.slice("_notes", F.lit(1), zero)))
+    rows = rows.withColumn("_pc", F.col("_notes.pc")).withColumn("_n", F.size("_notes")).withColumn("_hz", F.array_sort("_notes.hz"))
+    tail = F.greatest(F.lit(1), F.ceil(F.col("_n") * num(cfg.cadence)).cast("int"))
+    rows = rows.withColumn("_last", F.slice("_pc", F.greatest(F.lit(1), F.col("_n") - tail + 1), tail))
+    times = lambda column, v: F.size(F.filter(column, lambda x: x == v))
+    rows = rows.withColumn("_s", F.sort_array(F.transform(F.array_distinct("_pc"), lambda v: F.struct(times("_pc", v).alias("n"), (-v).alias("low"))), asc=False))
+    share_of = lambda i: F.coalesce(F.get("_s", F.lit(i))["n"] / (F.col("_n") + num(EPS)), num(0))
+    rows = rows.withColumn("_tonic", -F.get("_s", zero)["low"]).withColumn("tonic_strength", share_of(0) - share_of(1))
+    rows = rows.withColumn("cadence_to_tonic", F.coalesce(times("_last", F.col("_tonic")) / (F.size("_last") + num(EPS)), num(0)))
+    middle = (F.get("_hz", F.floor((F.col("_n") - 1) / 2).cast("int")) + F.get("_hz", F.floor(F.col("_n") / 2).cast("int"))) / 2
+    rows = rows.withColumn("_mid", F.greatest(middle, num(1e-9)))
+    rows = rows.withColumn("_cents", F.transform("_hz", lambda hz: num(1200) * F.log2(F.greatest(hz, num(1e-9)) / F.col("_mid"))))
+    count = F.greatest(F.col("_n"), F.lit(1))
+    spread = let(total(F.col("_cents")) / count, lambda mean: F.sqrt(total(F.transform("_cents", lambda x: (x - mean) * (x - mean))) / count))
+    rows = rows.withColumn("f0_std_cents", F.coalesce(spread, num(0)))
+    entry = lambda name, idx, weight, whole: F.struct(F.lit(name).alias("feature"), idx.cast("int").alias("idx"), weight.alias("weight"), whole.alias("whole"))
+    counted = lambda name, column, idx: F.transform(column, lambda x: entry(name, idx(x), num(1), F.size(column) + num(EPS)))
     listed = [F.coalesce(c, num(0)) for c in ("voiced_ratio", "tonic_strength", "f0_std_cents", "cadence_to_tonic")]
-    row = lambda df, name, idx: df.select(*G, F.lit(name).alias("feature"), F.col(idx).cast("int").alias("idx"), "value")
-    out = row(hist, "pitch", "pc").unionByName(row(histogram(known, "itv"), "interval", "itv")).unionByName(row(cadence, "cadence", "pc"))
-    return out.unionByName(one.select(*G, F.lit("scalar").alias("feature"), F.posexplode(F.array(*listed)).alias("idx", "value")))
+    entries = F.concat(
+        counted("pitch", "_pc", lambda x: x), counted("interval", "_pc", lambda x: F.pmod(x - F.col("_tonic"), bins)), counted("cadence", "_last", lambda x: x),
+        F.array(*[entry("scalar", F.lit(i), c, num(1)) for i, c in enumerate(listed)]),
+    )
+    each = rows.select(*G, F.explode(entries).alias("e")).select(*G, "e.*")
+    return each.groupBy(*G, "feature", "idx").agg((F.sum("weight") / F.max("whole")).alias("value"))

@@ -97,17 +97,28 @@ def stratified_folds(tracks: DataFrame, k: int = 5, repeats: int = 1, seed: int
     return out
 
 
-def validity(splits: DataFrame, tracks: DataFrame) -> DataFrame:
-    """One row: valid, reason (the first that applies)."""
-    names = splits.agg(F.coalesce(F.sum((~F.col("split").isin(list(SPLITS))).cast("int")), F.lit(0)).alias("odd"), F.countDistinct("split").alias("kinds"), F.count(F.lit(1)).alias("n"), F.countDistinct("track_id").alias("ids"))
-    strangers = splits.join(tracks.select("track_id"), "track_id", "left_anti").agg(F.count(F.lit(1)).alias("strangers"))
-    missing = tracks.join(splits.select("track_id"), "track_id", "left_anti").agg(F.count(F.lit(1)).alias("missing"))
-    one = names.join(strangers).join(missing)  # a row each
+def validity(splits: DataFrame, tracks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (or one for each value of the columns `by`, which splits then has): valid, reason (the first that applies).
+
+    Splits and tracks meet once, by id; what an id shows is counted by id, then in all."""
+    known = tracks.groupBy("track_id").agg(F.lit(True).alias("_known"))
+    has = [F.max((F.col("split") == name).cast("int")).alias(f"_{name}") for name in SPLITS]
+    ids = splits.join(known, "track_id", "left").groupBy(*by, "track_id").agg(
+        F.count(F.lit(1)).alias("_rows"), F.max("_known").alias("_known"), F.sum((~F.coalesce(F.col("split").isin(list(SPLITS)), F.lit(False))).cast("int")).alias("_odd"), *has
+    )
+    every = known.agg(F.count(F.lit(1)).alias("_tracks"))  # one row
+    sums = ids.groupBy(*by).agg(
+        F.sum("_odd").alias("_odd"), F.sum((F.col("_rows") > 1).cast("int")).alias("_twice"), F.sum(F.col("_known").isNull().cast("int")).alias("_strangers"),
+        F.count("_known").alias("_met"), *[F.max(f"_{name}").alias(f"_{name}") for name in SPLITS],
+    ).join(F.broadcast(every))
+    all_names = F.lit(True)
+    for name in SPLITS:
+        all_names &= F.coalesce(F.col(f"_{name}") > 0, F.lit(False))
     reason = (
-        F.when((F.col("odd") > 0) | (F.col("kinds") != len(SPLITS)), "split names").when(F.col("strangers") > 0, "unknown ids")
-        .when(F.col("n") != F.col("ids"), "repeated ids").when(F.col("missing") > 0, "missing ids")
+        F.when((F.col("_odd") > 0) | ~all_names, "split names").when(F.col("_strangers") > 0, "unknown ids")
+        .when(F.col("_twice") > 0, "repeated ids").when(F.col("_met") < F.col("_tracks"), "missing ids")
     )
-    return one.select(reason.isNull().alias("valid"), F.coalesce(reason, F.lit("")).alias("reason"))
+    return sums.select(*by, reason.isNull().alias("valid"), F.coalesce(reason, F.lit("")).alias("reason"))
 
 
 def pick(tracks: DataFrame, splits: DataFrame, split: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -63,8 +67,37 @@ def in_tail(share: float, by: tuple[str, ...] = G, order: str = "frame_idx") ->
     return F.row_number().over(W.partitionBy(*by).orderBy(F.col(order).desc())) <= F.greatest(F.lit(1), F.ceil(n * num(share)))
 
 
-def moving_median(value: str, half: int, by: list[str], order: str) -> Column:
-    return F.percentile(F.col(value), F.lit(0.5)).over(W.partitionBy(*by).orderBy(order).rowsBetween(-half, half))
+def sliding_median(values: list[float | None], half: int) -> list[float | None]:
+    """The median of each value and its `half` neighbours on either side. One ordered list moves along: a value enters, a value leaves,
+    so a wider window costs hardly more. Nulls don't count; a window of nulls has none."""
+    window: list[float] = []
+    out: list[float | None] = []
+    for v in values[:half]:
+        if v is not None:
+            insort(window, v)
+    for i in range(len(values)):
+        if i + half < len(values) and (new := values[i + half]) is not None:
+            insort(window, new)
+        if i > half and (old := values[i - half - 1]) is not None:
+            del window[bisect_left(window, old)]
+        n = len(window)
+        out.append((window[(n - 1) // 2] + window[n // 2]) / 2 if n else None)
+    return out
+
+
+def moving_median(df: DataFrame, value: str, out: str, half: int, by: list[str], order: str) -> DataFrame:
+    """df with out: the median of value over 2 * half + 1 rows of its series. NaN counts as null.
+
+    A series is one array (as its window was one partition), with its other columns beside it."""
+
+    @F.pandas_udf("array<double>")
+    def medians(x: pd.Series) -> pd.Series:
+        return pd.Series([sliding_median([None if v is None or v != v else v for v in np.asarray(one, object).tolist()], half) for one in x], dtype=object)
+
+    others = [c for c in df.columns if c not in by]
+    rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_order"), *others))).alias("_s"))
+    rows = rows.select(*by, F.explode(F.arrays_zip("_s", medians(F.transform("_s", lambda s: s[value].cast("double"))).alias("_m"))).alias("_z"))
+    return rows.select(*by, *[F.col("_z._s").getField(c).alias(c) for c in others], F.col("_z._m").alias(out)).select(*df.columns, out)
 
 
 def slope(value: str, half: int, by: list[str], order: str) -> Column:

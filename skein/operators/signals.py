@@ -79,9 +79,8 @@ def power_db(df: DataFrame, value: str, by: list[str], top_db: float = 80.0) ->
 
 def hpss(spectrum: DataFrame, half: int) -> DataFrame:
     """Adds harmonic and percussive parts: medians along time and along bins, as soft masks."""
-    h = series.moving_median("value", half, ["series_id", "bin"], "frame_idx")
-    p = series.moving_median("value", half, KEYS, "bin")
-    rows = spectrum.withColumn("_h", h).withColumn("_p", p)
+    rows = series.moving_median(spectrum, "value", "_h", half, ["series_id", "bin"], "frame_idx")
+    rows = series.moving_median(rows, "value", "_p", half, KEYS, "bin")
     h2, p2 = F.col("_h") * F.col("_h"), F.col("_p") * F.col("_p")
     mask = F.when(h2 + p2 > 0, h2 / (h2 + p2)).otherwise(num(0.5))
     return rows.withColumn("_m", mask).withColumn("harmonic", F.col("value") * F.col("_m")).withColumn("percussive", F.col("value") * (num(1) - F.col("_m"))).drop("_h", "_p", "_m")

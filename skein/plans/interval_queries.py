@@ -24,12 +24,9 @@ def _voiced(spark: SparkSession, d: str) -> DataFrame:
     return iv.voiced_frames(segmented(spark, d), CFG)
 
 
-def _notes(spark: SparkSession, d: str) -> DataFrame:
-    return iv.notes(_voiced(spark, d), CFG)
-
-
-def _itv(spark: SparkSession, d: str) -> DataFrame:
-    return iv.intervals(_notes(spark, d), CFG)
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    """A row a segment, from which all histograms come: no window, no join, no second scan."""
+    return iv.packed(_voiced(spark, d), CFG)
 
 
 def segment_starts_even(spark, d):
@@ -67,37 +64,39 @@ def pitch_class_query(spark, d):
 
 
 def tonic_intervals(spark, d):
-    return _itv(spark, d).select(*G, "frame_idx", F.col("pc").cast("int").alias("pc"), F.col("itv").cast("int").alias("itv"))
+    notes = F.transform("itv", lambda x, i: F.struct(F.get("_notes", i)["frame_idx"].alias("frame_idx"), F.get("_pc", i).alias("pc"), x.cast("int").alias("itv")))
+    return _packed(spark, d).select(*G, F.explode(notes).alias("e")).select(*G, "e.*")
 
 
 def tonic_strength(spark, d):
-    return iv.tonics(_notes(spark, d)).select(*G, "tonic", r6("tonic_strength"))
+    return _packed(spark, d).where("pitched").select(*G, F.col("_tonic").alias("tonic"), r6("tonic_strength"))
 
 
 def interval_hist(spark, d):
-    found = iv.histogram(_itv(spark, d), "itv").select(*G, F.col("itv").cast("int").alias("itv"), "n", "value")
-    every = found.select(*G).distinct().crossJoin(spark.range(CFG.bins).select(F.col("id").cast("int").alias("itv")))  # bins rows
-    return every.join(found, [*G, "itv"], "left").select(*G, "itv", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("value", num(0)), 6).alias("value"))
+    """All classes of a pitched segment, those that don't occur included."""
+    every = F.transform(F.sequence(F.lit(0), F.lit(CFG.bins - 1)), lambda i: F.struct(i.alias("itv"), F.size(F.filter("itv", lambda x: x == i)).cast("long").alias("n")))
+    rows = _packed(spark, d).where("pitched").select(*G, "_n", F.explode(every).alias("e"))
+    return rows.select(*G, "e.itv", "e.n", F.round(F.col("e.n") / (F.col("_n") + num(iv.EPS)), 6).alias("value"))
 
 
 def interval_transitions(spark, d):
-    return iv.transitions(_itv(spark, d)).select(*G, F.col("previous").cast("int").alias("previous"), F.col("itv").cast("int").alias("itv"), "n", r6("value"))
+    return iv.entry_counts(_packed(spark, d), "_moves", "previous", "itv").select(*G, F.col("previous").cast("int").alias("previous"), F.col("itv").cast("int").alias("itv"), "n", r6("value"))
 
 
 def cadence_hist(spark, d):
-    return iv.cadences(_itv(spark, d)).select(*G, F.col("itv").cast("int").alias("itv"), "n", r6("value"))
+    return iv.entry_counts(_packed(spark, d), "_end", "itv").select(*G, F.col("itv").cast("int").alias("itv"), "n", r6("value"))
 
 
 def step_hist(spark, d):
-    return iv.steps(_itv(spark, d)).select(*G, F.col("step").cast("int").alias("step"), "n", r6("value"))
+    return iv.entry_counts(_packed(spark, d), "_steps", "step").select(*G, F.col("step").cast("int").alias("step"), "n", r6("value"))
 
 
 def duration_hist(spark, d):
-    return iv.durations(_itv(spark, d)).select(*G, "bucket", "n", r6("value"))
+    return iv.entry_counts(_packed(spark, d), iv.duration_buckets(8), "bucket").select(*G, "bucket", "n", r6("value"))
 
 
 def duration_hist_quantile(spark, d):
-    return iv.duration_quantiles(_itv(spark, d), 6).select(*G, "bucket", "n", r6("value"))
+    return iv.entry_counts(_packed(spark, d), iv.duration_buckets(6), "bucket").select(*G, "bucket", "n", r6("value"))
 
 
 def segment_scalars(spark, d):

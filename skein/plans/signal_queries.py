@@ -12,6 +12,7 @@ from ..functions import scalars as sc
 from ..functions.scalars import num
 from ..operators import manifest, prep, series
 from ..operators import signals as sg
+from ..sources.shared import materialize
 from .adapters import FRAMES_SQL, frames, table
 
 RATE, FFT, HOP, HALF = 22050, 16, 4, 2
@@ -82,7 +83,7 @@ def zscore_segment(spark, d):
 
 
 def moving_median(spark, d):
-    return frames(spark, d).withColumn("m", series.moving_median("f0_hz", 3, ["track_id"], "frame_idx")).select("track_id", "frame_idx", r6("m"))
+    return series.moving_median(frames(spark, d).select("track_id", "frame_idx", "f0_hz"), "f0_hz", "m", 3, ["track_id"], "frame_idx").select("track_id", "frame_idx", r6("m"))
 
 
 def delta_features(spark, d):
@@ -108,8 +109,9 @@ def tonnetz(spark, d):
 
 
 def segment_vector_v1(spark, d):
-    spectrum = _spectrum(spark, d)
-    parts = sg.hpss(spectrum, HALF).select(*KEYS, "bin", F.col("harmonic").alias("value"))
+    """Six blocks of one spectrum, which is written once together with its harmonic part."""
+    both = materialize(sg.hpss(_spectrum(spark, d), HALF).select(*KEYS, "bin", "value", "harmonic"), "spectrum")
+    spectrum, parts = both.drop("harmonic"), both.select(*KEYS, "bin", F.col("harmonic").alias("value"))
     return sg.segment_vector(spectrum, parts, RATE, FFT, [2, 4], 0.3, 8, 5).select("series_id", "feature", "idx", r6("value"))
 
 

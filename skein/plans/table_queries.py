@@ -73,21 +73,16 @@ def splits_json_map(spark, d):
 
 
 def split_validity(spark, d):
-    """The splits as they are, and with a part taken out, put in twice, misnamed, or unknown."""
+    """The splits as they are, and with a part taken out, put in twice, misnamed, or unknown: one table, each row in the cases that have it."""
     tracks = _tracks(spark, d)
     good = manifest.stratified_split(tracks, SPLIT)
-    cases = {
-        "good": good,
-        "missing": good.where("track_id % 10 <> 3 OR split <> 'train'"),
-        "repeated": good.unionByName(good.where("split = 'val'")),
-        "named": good.select("track_id", F.when(F.col("split") == "test", "dev").otherwise(F.col("split")).alias("split")),
-        "unknown": good.select((F.col("track_id") + 1).alias("track_id"), "split"),
-    }
-    out = None
-    for name, splits in cases.items():
-        one = manifest.validity(splits, tracks).select(F.lit(name).alias("case"), "valid", "reason")
-        out = one if out is None else out.unionByName(one)
-    return out
+    row = lambda case, n=1, track=F.col("track_id"), split=F.col("split"): F.array_repeat(F.struct(F.lit(case).alias("case"), track.alias("track_id"), split.alias("split")), n)  # noqa: E731, B008
+    in_missing = ((F.col("track_id") % 10 != 3) | (F.col("split") != "train")).cast("int")
+    cases = F.concat(
+        row("good"), row("missing", in_missing), row("repeated", F.when(F.col("split") == "val", 2).otherwise(1)),
+        row("named", split=F.when(F.col("split") == "test", "dev").otherwise(F.col("split"))), row("unknown", track=F.col("track_id") + 1),
+    )
+    return manifest.validity(good.select(F.explode(cases).alias("e")).select("e.*"), tracks, ("case",))
 
 
 def manifest_diff(spark, d):

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +104,20 @@ def test_pooling(spark):
     assert [some["track", i] for i in range(3)] == pytest.approx([2 / 3, 0.5, 0.75]) and none["track", 0] == 0
 
 
+@pytest.mark.parametrize("half", [0, 1, 4, 40])
+def test_sliding_median(spark, half):
+    rng = np.random.default_rng(half)
+    series_of = {k: [None if v < -1.2 else round(float(v), 1) for v in rng.normal(size=n)] for k, n in (("a", 60), ("b", 1), ("c", 7))} | {"n": [None, None]}
+    rows = [(k, i, v, "extra") for k, values in series_of.items() for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "k string, i int, v double, other string").repartition(3)
+    got = {(r["k"], r["i"]): r["m"] for r in series.moving_median(df, "v", "m", half, ["k"], "i").collect()}
+    for k, values in series_of.items():
+        for i in range(len(values)):
+            near = [v for v in values[max(0, i - half) : i + half + 1] if v is not None]
+            assert got[k, i] == (pytest.approx(float(np.median(near))) if near else None)
+    assert series.moving_median(df, "v", "m", half, ["k"], "i").columns == ["k", "i", "v", "other", "m"]
+
+
 def test_track_without_frames_is_zeros(spark):
     frames = spark.createDataFrame([(1, i, 220.0 + i % 3, True, 1.0, 4.0, 1.0) for i in range(60)], "track_id long, frame_idx long, f0_hz double, voiced_flag boolean, energy double, h_power double, p_power double")
     tracks = spark.createDataFrame([(1,), (2,)], "track_id long")
