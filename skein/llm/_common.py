@@ -105,7 +105,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _POWERS: list[np.ndarray] = []
 
 
@@ -121,7 +120,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[s:e] for each span: polynomial, through one running sum."""
+    """A 64-bit hash of values[s:e] for each span: polynomial, through one running sum. The values are hashes themselves, and spans are
+    short: a long span of few different values could be one of two that collide by their structure."""
     power, inverse = _powers(len(values) + 1)
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * power[: len(values)], out=total[1:])
@@ -145,8 +145,24 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
-        return span_hashes(_BYTE[self.data], self.starts, self.ends)
+    def hashes(self, second: bool = False) -> np.ndarray:
+        """A 64-bit hash of each word; with `second`, another that shares nothing with the first but the word.
+
+        Each byte is mixed with its place in the word before it is added, so no two words collide by their structure: sums of powers
+        of a base would (a word of 1024 a and b in Thue-Morse order, and the same with a and b exchanged, whatever the base)."""
+        out, piece = np.zeros(len(self.starts), np.uint64), 1 << 18
+        seed = np.uint64(0x8CB92BA72F3D8DD7 if second else 0x2545F4914F6CDD1D)
+        lo = 0
+        while lo < len(self.starts):  # some words at a time: what is at hand stays small, whatever the block
+            hi = max(lo + 1, int(np.searchsorted(self.ends, self.starts[lo] + piece, "right")))
+            begin, first = int(self.starts[lo]), self.starts[lo:hi] - self.starts[lo]
+            sizes = self.ends[lo:hi] - self.starts[lo:hi]
+            inside = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())  # bytes of words, without those between
+            place = np.arange(len(inside)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            each = mix64((self.data[begin:][inside].astype(np.uint64) + (place.astype(np.uint64) << np.uint64(8))) * np.uint64(0x9E3779B97F4A7C15) + seed)
+            out[lo:hi] = np.add.reduceat(each, np.cumsum(sizes) - sizes)
+            lo = hi
+        return mix64(out + (self.ends - self.starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()

@@ -20,7 +20,8 @@ Edge cases: null, empty and blank texts have no n-grams, no links, and are their
 words is one n-gram; repeated rows and ids are rows of their own with the component of their text; null ids are ignored
 as component ids where another exists. Extra columns are ignored (`representatives` keeps them). Texts are read whole.
 Sets are told apart by 64-bit hashes of n-grams; where
-classes of sets are formed and texts are fetched by their hash, a second hash is compared, and a difference stops the job.
+classes of sets are formed and texts are fetched by their hash, a second hash, made from other hashes of the words, is compared, and a
+difference stops the job.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ N, PERCENT = 5, 80
 FREQUENT, PER_TASK, FLUSH = 131_072, 20_000, 2_000_000
 BLOCK, BLOCK_GRAMS = 4_096, 4_000_000
 SHARE, SALTS = 20, 16
-_SECOND = np.uint64(0xBF58476D1CE4E5B9)
+FILLED = 32_000_000  # bytes of sets sent on at once
 BITS = 27  # of the bit tables: 2 ** BITS bits
 
 
@@ -55,8 +56,8 @@ def _least_of_partners(percent: int):
     return 1 + F.floor(F.floor(percent * F.col("_n") / 100) / SHARE)
 
 
-def gram_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
-    """Sorted distinct n-gram hashes of each text."""
+def gram_sets(texts: list[bytes], n: int, seconds: list[int] | None = None) -> list[np.ndarray]:
+    """Sorted distinct n-gram hashes of each text. seconds: gets for each text a second hash of its set, from other hashes of its words."""
     w = Words(texts, SPACE_WORDS)
     first, counts = w.first[:-1], w.counts
     grams = np.where(counts >= n, counts - n + 1, np.minimum(counts, 1))
@@ -64,7 +65,14 @@ def gram_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     ends = np.cumsum(grams)
     start = np.arange(grams.sum()) - np.repeat(ends - grams, grams) + np.repeat(first, grams)
     hashes = span_hashes(w.hashes(), start, start + np.repeat(width, grams)).view(np.int64)
-    return [np.unique(hashes[e - g : e]) for e, g in zip(ends.tolist(), grams.tolist(), strict=True)]
+    if seconds is None:
+        return [np.unique(hashes[e - g : e]) for e, g in zip(ends.tolist(), grams.tolist(), strict=True)]
+    other, out = mix64(span_hashes(w.hashes(second=True), start, start + np.repeat(width, grams))), []
+    for e, g in zip(ends.tolist(), grams.tolist(), strict=True):
+        own, at = np.unique(hashes[e - g : e], return_index=True)
+        out.append(own)
+        seconds.append(int(other[e - g : e][at].sum(keepdims=True).view(np.int64)[0]) if g else 0)
+    return out
 
 
 def frequent_grams(df: DataFrame, n: int, table_size: int = FREQUENT, per_task: int = PER_TASK) -> np.ndarray:
@@ -108,7 +116,8 @@ def _prefixes(df: DataFrame, frequent, n: int, percent: int) -> DataFrame:
         known = order[by_hash]
         for batch in batches:
             for begin, texts in blocks(batch, "_text"):
-                sets = gram_sets(texts, n)
+                seconds: list[int] = []
+                sets = gram_sets(texts, n, seconds)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
                 at = np.searchsorted(known, flat)
@@ -119,18 +128,17 @@ def _prefixes(df: DataFrame, frequent, n: int, percent: int) -> DataFrame:
                     rank = np.full(len(flat), -1)
                 ends = np.cumsum(sizes)
                 keep = np.where(sizes > 0, np.minimum(sizes, sizes - -(-percent * sizes // 100) + least_shared(sizes)), 0)
-                prefixes, marks, seconds = [], np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
+                prefixes, marks = [], np.zeros(len(sets), np.int64)
                 for i, (e, s, k) in enumerate(zip(ends.tolist(), sizes.tolist(), keep.tolist(), strict=True)):
                     r = rank[e - s : e]
                     prefixes.append(sets[i][np.argsort(r, kind="stable")[:k]] if (r >= 0).any() else sets[i][:k])
                     if s:
                         values = sets[i].view(np.uint64)
                         marks[i] = mix64(mix64(values).sum(keepdims=True) + np.uint64(s)).view(np.int64)[0]
-                        seconds[i] = mix64(values * _SECOND).sum(keepdims=True).view(np.int64)[0]
                 flat = np.concatenate(prefixes) if prefixes else flat
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("_id").slice(begin, len(texts)), batch.column("_tk").slice(begin, len(texts)), pa.array(sizes), pa.array(marks, mask=sizes == 0),
-                     pa.array(seconds), list_array(flat, keep, pa.int64())], names=["_id", "_tk", "_n", "_sk", "_sk2", "_prefix"])
+                     pa.array(seconds, pa.int64()), list_array(flat, keep, pa.int64())], names=["_id", "_tk", "_n", "_sk", "_sk2", "_prefix"])
 
     with_key = df.select("_id", F.xxhash64("_text").alias("_tk"), "_text")
     return with_key.mapInArrow(run, f"_id {kind}, _tk long, _n long, _sk long, _sk2 long, _prefix array<long>")
@@ -301,11 +309,15 @@ def _links(df: DataFrame, sets: DataFrame, n: int, percent: int, block: int, blo
         names = ["_sk", "_rep", "_side", "_i", "_j"]
         for batch in batches:
             for begin, some in blocks(batch, "_text"):
-                rows, grams = [], []
+                rows, grams, size = [], [], 0
                 for tasks_of, s in zip(batch.column("_tasks").slice(begin, len(some)).to_pylist(), gram_sets(some, n), strict=True):
-                    for t in tasks_of:
+                    for t in tasks_of:  # a set goes to all blocks that its own meets: some at a time, however many they are
                         rows.append(t)
                         grams.append(s.tobytes())
+                        size += len(grams[-1])
+                        if size > FILLED:
+                            yield pa.RecordBatch.from_arrays([*(pa.array([t[c] for t in rows], pa.int64()) for c in names), pa.array(grams, pa.binary())], names=[*names, "_grams"])
+                            rows, grams, size = [], [], 0
                 yield pa.RecordBatch.from_arrays([*(pa.array([t[c] for t in rows], pa.int64()) for c in names), pa.array(grams, pa.binary())], names=[*names, "_grams"])
 
     filled = texts.join(wanted, "_tk").select("_tasks", "_text").mapInArrow(fill, "_sk long, _rep long, _side long, _i long, _j long, _grams binary")
