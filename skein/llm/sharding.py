@@ -25,6 +25,7 @@ import json
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -67,12 +68,19 @@ def first_map(n_shards: int, n_slots: int = N_SLOTS) -> SlotMap:
 
 
 def rebalance(current: SlotMap, loads: dict[int, int], n_shards: int | None = None, tolerance: float = 0.0005, hot: frozenset[tuple[int, int, int]] | None = None) -> SlotMap:
-    """The next version: slots move from the heaviest to the lightest shard until all are within the tolerance; others stay."""
+    """The next version: slots of shards that are gone are placed, heaviest first, each in the lightest shard; then slots move from
+    the heaviest to the lightest shard until all are within the tolerance. Others stay, so a new shard only takes what it lacks."""
     n_shards = n_shards or current.n_shards
     shard, held = list(current.shard), [set() for _ in range(n_shards)]
     for slot, s in enumerate(shard):
-        held[s].add(slot)
+        if s < n_shards:
+            held[s].add(slot)
     load = [sum(loads.get(i, 0) for i in x) for x in held]
+    for slot in sorted((i for i, s in enumerate(shard) if s >= n_shards), key=lambda i: (-loads.get(i, 0), i)):
+        low = min(range(n_shards), key=lambda s: (load[s], len(held[s]), s))
+        held[low].add(slot)
+        shard[slot] = low
+        load[low] += loads.get(slot, 0)
     mean = sum(load) / n_shards
     for _ in range(len(shard)):
         high, low = max(range(n_shards), key=lambda s: (load[s], -s)), min(range(n_shards), key=lambda s: (load[s], s))
@@ -89,6 +97,16 @@ def rebalance(current: SlotMap, loads: dict[int, int], n_shards: int | None = No
     return SlotMap(current.version + 1, n_shards, tuple(shard), current.hot if hot is None else hot)
 
 
+def stored_map(spark: SparkSession, folder: str) -> SlotMap | None:
+    """The latest version in the folder; None if there is none yet."""
+    try:
+        return SlotMap.load(spark, folder)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
 def _records(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = text_of(text_col)
     narrow = docs.select(
@@ -140,15 +158,20 @@ def shard_documents(
 ) -> DataFrame:
     """One row per row of docs: id, size, text_crc32, law, shard, slot (place in its shard, gapless from 0), grown_shard, virtual_slot, map_version.
 
-    map_folder: where the map's versions are stored; a new folder of the shared one if it isn't given."""
+    map_folder: where the map's versions are stored; a new folder of the shared one if it isn't given. A map that is stored there is
+    edited (its slots are kept, n_slots doesn't count), for more or fewer shards as well; version 1 is only made where there is none."""
     spark = docs.sparkSession
+    current = stored_map(spark, map_folder) if map_folder else None
     map_folder = map_folder or new_folder(spark, "slot-map")
-    first_map(n_shards, n_slots).save(spark, map_folder)
+    if current is None:
+        current = first_map(n_shards, n_slots)
+        current.save(spark, map_folder)
+    n_slots = len(current.shard)
     records = materialize(_records(docs, id_col, text_col), "shard-records")
     total = records.agg(F.sum(F.col("_size") * F.col("_rows"))).first()[0] or 0
     hot = hot_texts(records, int(hot_share * total / n_shards))
     loads = slot_loads(records, hot, n_slots)
-    rebalance(SlotMap.load(spark, map_folder), {s: b for s, (b, _) in loads.items()}, hot=hot).save(spark, map_folder)
+    rebalance(current, {s: b for s, (b, _) in loads.items()}, n_shards, hot=hot).save(spark, map_folder)
     plan = SlotMap.load(spark, map_folder)
     cut = in_pieces(_slotted(records, hot, n_slots), {s: r for s, (_, r) in loads.items()}, n_slots)
     rows = {(x["_slot"], x["_piece"]): x["r"] for x in cut.groupBy("_slot", "_piece").agg(F.sum("_rows").alias("r")).collect()}  # 2 * n_slots at most
