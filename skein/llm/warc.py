@@ -9,7 +9,7 @@
 Files lie in the shared folder, written through its own file system; a task's files carry its attempt number, and only
 those that a successful task reported are read on, so a lost executor leaves nothing behind that counts.
 
-Edge cases: a null html is the empty payload; a null page id is written as an empty id; in a group of equal payloads null
+Edge cases: a null html is the empty payload; page ids of any text come back as they were, null apart from empty; in a group of equal payloads null
 ids revisit the smallest id, and if it is repeated, or all ids are null, each of those rows is a response; null urls are
 empty; an empty table writes no records. Extra columns are ignored.
 """
@@ -21,6 +21,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from itertools import batched
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -43,13 +44,22 @@ def _clean(value: str) -> str:
     return value.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def record(page: str, url: str, payload: bytes, refers_to: str | None) -> bytes:
+def _urn(page: str | None) -> str:
+    """A page id as a header's value: whatever it holds, it comes back as it was, and null is apart from empty."""
+    return "<urn:nopage>" if page is None else f"<urn:page:{quote(page, safe='')}>"
+
+
+def _page(urn: str | None) -> str | None:
+    return unquote(urn[len("<urn:page:") : -1]) if urn and urn.startswith("<urn:page:") else None
+
+
+def record(page: str | None, url: str, payload: bytes, refers_to: str | None) -> bytes:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (b"" if refers_to is not None else payload)
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page}>", "WARC-Date: 2020-01-01T00:00:00Z",
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_urn(page)}", "WARC-Date: 2020-01-01T00:00:00Z",
             f"WARC-Target-URI: {_clean(url)}", f"WARC-Payload-Digest: sha1:{_digest(payload)}"]
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {REVISIT}"]
+        head += [f"WARC-Refers-To: {_urn(refers_to)}", f"WARC-Profile: {REVISIT}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(head).encode() + block + b"\r\n\r\n"
 
@@ -132,7 +142,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", html_
     dealt = groups.select("_sha", "_first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     marked = base.withColumn("_salt", F.pmod(F.xxhash64("_id", "_url"), F.lit(SALTS)).cast("int")).join(dealt, ["_sha", "_salt"], "left")
     refers = F.when(F.col("_first").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_first")), F.col("_first").cast("string"))
-    rows = marked.select(F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("_id"), "_url", "_html", refers.alias("_refers"))
+    rows = marked.select(F.col("_id").cast("string").alias("_id"), "_url", "_html", refers.alias("_refers"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, done, file, raw, n = TaskContext.get(), [], None, 0, 0
@@ -220,7 +230,7 @@ def read_archives(spark: SparkSession, folder: str, report: DataFrame) -> DataFr
                 digest, kind, size = h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"], int(headers(http)["content-length"])
                 if kind == "response" and (len(payload) != size or _digest(payload) != digest):
                     raise ValueError(f"{name}: the payload of {h['warc-record-id']} does not match its record")
-                page, to = (h.get(k, "<urn:page:>")[len("<urn:page:") : -1] or None for k in ("warc-record-id", "warc-refers-to"))
+                page, to = _page(h.get("warc-record-id")), _page(h.get("warc-refers-to"))
                 yield page, size, digest, kind, to, h.get("warc-target-uri", ""), name, offset
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
