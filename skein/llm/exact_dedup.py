@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import text_of
+from ._common import positional, text_of
 
 SALTS = 16
 
@@ -60,13 +60,19 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
+def _ordered(df: DataFrame, *by: str) -> DataFrame:
+    """One row by key: the _row with the largest _order."""
+    return df.groupBy(*by).agg(F.max_by("_row", "_order").alias("_row"), F.max("_order").alias("_order"))
+
+
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows that stay, with all columns of docs (all but the text need an order: no maps). A null text that stays is empty."""
-    others = [c for c in docs.columns if c != text_col]
-    ranked = F.struct(F.col(id_col).alias("_0"), *[F.col(c).alias(f"_{i + 1}") for i, c in enumerate(others)])
-    keyed = docs.select(
-        text_of(text_col).alias("_text"), _digest(text_of(text_col)).alias("_sha"), F.pmod(F.xxhash64(id_col), F.lit(salts)).alias("_salt"), ranked.alias("_row")
-    )
-    won = combine(keyed, F.col("_row"), F.lit(1), salts)
-    kept = {c: F.col(f"_keep._{i + 1}") for i, c in enumerate(others)}
-    return won.select(*[F.col("_text").alias(c) if c == text_col else kept[c].alias(c) for c in docs.columns])
+    """The rows that stay, with all columns of docs, whatever their types. A null text that stays is empty. Among rows of one text and id,
+    a hash of the other columns decides, so the choice is the same in every run."""
+    plain = positional(docs)
+    named = dict(zip(docs.columns, plain.columns, strict=True))
+    others, text = [c for c in plain.columns if c != named[text_col]], text_of(F.col(named[text_col]))
+    row = F.struct(*[F.col(c) for c in others])
+    keyed = plain.select(text.alias("_text"), _digest(text).alias("_sha"), row.alias("_row"), F.struct(F.col(named[id_col]).alias("id"), F.xxhash64(F.to_json(row)).alias("h")).alias("_order"))
+    salted = keyed.withColumn("_salt", F.pmod(F.xxhash64("_order"), F.lit(salts)))
+    won = _ordered(_ordered(salted, "_sha", "_salt", "_text"), "_sha", "_text")
+    return won.select(*[F.col("_text" if c == named[text_col] else f"_row.{c}").alias(c) for c in plain.columns]).toDF(*docs.columns)
