@@ -102,7 +102,7 @@ class WindowSet:
 
 
 def item_pieces(benchmark: DataFrame, n: int, piece_bytes: int, item_col: str, item_text: str) -> DataFrame:
-    """item, piece, words: normalised texts, their words joined by blanks, cut into overlapping pieces."""
+    """item, words: normalised texts, their words joined by blanks, cut into overlapping pieces; each once, however often an item is repeated."""
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), text_of(item_text).alias("_text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,17 +120,17 @@ def item_pieces(benchmark: DataFrame, n: int, piece_bytes: int, item_col: str, i
                 names = ["item", "piece", "words"]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.string(), pa.int64(), pa.binary()))], names=names)
 
-    return materialize(items.mapInArrow(cut, "item string, piece long, words binary"), "decontaminate-items")
+    return materialize(items.mapInArrow(cut, "item string, piece long, words binary").select("item", "words").distinct(), "decontaminate-items")
 
 
 def window_sets(benchmark: DataFrame, n: int = N, item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, piece_bytes: int = PIECE_BYTES) -> list:
     """Broadcast window sets, of at most block_bytes of text each; one if that is enough."""
     spark = benchmark.sparkSession
-    pieces = item_pieces(benchmark, n, min(piece_bytes, block_bytes), item_col, item_text)
+    pieces = item_pieces(benchmark, n, min(piece_bytes, max(1, block_bytes // 64)), item_col, item_text)  # so small that no block is far from the mean
     size = pieces.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     parts = 1 if size <= block_bytes else -(-2 * size // block_bytes)  # half full on average, as they are dealt by hash
     for part in range(parts):
-        chosen = pieces.where(F.pmod(F.xxhash64("item", "piece", "words"), F.lit(parts)) == part) if parts > 1 else pieces
+        chosen = pieces.where(F.pmod(F.xxhash64("item", "words"), F.lit(parts)) == part) if parts > 1 else pieces
         yield parts, spark.sparkContext.broadcast(WindowSet([(x["item"], bytes(x["words"])) for x in chosen.collect()], n))
 
 
