@@ -7,8 +7,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import asdict
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler, VectorSlicer
@@ -18,9 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.scalars import arg_max, num, softmax
+from ..config import IntervalConfig
+from ..functions.scalars import arg_max, num, softmax, top_k
 from ..sources.shared import materialize
 from . import evaluate as ev
+from . import intervals as iv
 from . import manifest
 from .calibration import CalibratedMachines, RandomFeatures
 from .neighbours import BLOCK, RING_ROWS, NeighbourIndex
@@ -62,10 +67,25 @@ def balanced(df: DataFrame) -> DataFrame:
     return df.join(F.broadcast(weights), "label_idx")  # a row per class
 
 
+class PlaceScaler(Stored):
+    """features to _scaled by known means and deviations of places (a place without deviation becomes 0)."""
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        each = F.arrays_zip(vector_to_array("features").alias("x"), F.lit(self.values["mean"]).alias("m"), F.lit(self.values["factor"]).alias("f"))
+        return df.withColumn("_scaled", array_to_vector(F.transform(each, lambda z: (z["x"] - z["m"]) * z["f"])))
+
+
 class PopulationScaler(Estimator):
-    """features to _scaled: each place less its mean, over its population deviation."""
+    """features to _scaled: each place less its mean, over its population deviation. known: mean and deviation, where they needn't be measured."""
 
-    def _fit(self, df: DataFrame) -> PipelineModel:
+    def __init__(self, known: tuple[np.ndarray, np.ndarray] | None = None):
+        super().__init__()
+        self.known = known
+
+    def _fit(self, df: DataFrame) -> Model:
+        if self.known is not None:
+            mean, std = self.known
+            return PlaceScaler({"mean": mean.tolist(), "factor": np.where(std > 0, 1 / np.where(std > 0, std, 1), 0.0).tolist()})
         n = df.count()
         scaled = StandardScaler(inputCol="features", outputCol="_sample", withMean=True).fit(df)
         width = len(scaled.mean)
@@ -252,23 +272,94 @@ class Stack:
         return predict(self.meta, meta_table(rows, self.names, self.key), [self.key])
 
 
-def cross_validate(df: DataFrame, folds: DataFrame, factory: Callable[[], Estimator], key: str, train_bank: DataFrame | None = None) -> DataFrame:
+def fold_stats(bank: DataFrame) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """Mean and population deviation of each place without fold (repeat, fold), from bank(repeat, fold, features): each fold's sums, taken
+    from its repeat's. Values are counted from a mean of all, so that what is taken away is small beside what stays."""
+    entries = bank.select("repeat", "fold", F.posexplode(vector_to_array("features")).alias("i", "x"))
+    middle = entries.groupBy("i").agg(F.avg("x").alias("_m"))  # a row a place
+    off = entries.join(F.broadcast(middle), "i").withColumn("x", F.col("x") - F.col("_m"))
+    rows = off.groupBy("repeat", "fold", "i").agg(F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.max("_m").alias("m")).collect()  # folds x places
+    width, out = 1 + max((r["i"] for r in rows), default=-1), {}
+    sums = {key: np.zeros((3, width)) for key in {(r["repeat"], r["fold"]) for r in rows}}
+    mean = np.zeros(width)
+    for r in rows:
+        sums[r["repeat"], r["fold"]][:, r["i"]], mean[r["i"]] = (r["n"], r["s"], r["q"]), r["m"]
+    for repeat, fold in sums:
+        n, s, q = sum(v for (other, _), v in sums.items() if other == repeat) - sums[repeat, fold]
+        n = np.maximum(n, 1)
+        variance = q / n - (s / n) ** 2
+        out[repeat, fold] = mean + s / n, np.sqrt(np.where(variance > 1e-14 * (q / n), variance, 0.0))
+    return out
+
+
+def cross_validate(df: DataFrame, folds: DataFrame, factory: Callable[[], Estimator], key: str, train_bank: DataFrame | None = None, parallel: int = 4) -> DataFrame:
     """metric, mean, ci95_low, ci95_high, n over all (repeat, fold). folds(repeat, fold, key).
 
     df: the segments that are scored (key, seg_idx, label_idx, features; one row a key if there is no seg_idx); train_bank: those
-    that models learn from, df itself if not given. A key's segments vote by mean probability, and keys are what is counted."""
+    that models learn from, df itself if not given. A key's segments vote by mean probability, and keys are what is counted.
+
+    Both are computed once and written with their folds; all folds learn from that bank, `parallel` at a time. A model that begins with a
+    PopulationScaler gets its fold's means and deviations from the bank's sums less the fold's, without a pass of its own."""
     evaluated = df if "seg_idx" in df.columns else df.withColumn("seg_idx", F.lit(0))
-    learned, scores = evaluated if train_bank is None else train_bank, None
-    for r in folds.select("repeat", "fold").distinct().orderBy("repeat", "fold").collect():
-        mine = folds.where(F.col("repeat") == r["repeat"]).select(key, "fold")
-        model = factory().fit(balanced(learned.join(mine.where(F.col("fold") != r["fold"]), key)))
-        held = evaluated.join(mine.where(F.col("fold") == r["fold"]), key)
+    dealt = folds.select("repeat", "fold", key)
+    scored = materialize(evaluated.select(key, "seg_idx", "label_idx", "features").join(dealt, key), "cv-scored")
+    learned = scored if train_bank is None else materialize(train_bank.select(key, "label_idx", "features").join(dealt, key), "cv-learned")
+    stats = fold_stats(learned)
+
+    def one(at: tuple[int, int]) -> tuple[float, float, float]:
+        repeat, fold = at
+        estimator = factory()
+        if isinstance(estimator, Pipeline) and isinstance(estimator.getStages()[0], PopulationScaler) and at in stats:
+            estimator = Pipeline(stages=[PopulationScaler(stats[at]), *estimator.getStages()[1:]])
+        mine = learned.where(F.col("repeat") == repeat)
+        model = estimator.fit(balanced(mine.where(F.col("fold") != fold).drop("repeat", "fold")))
+        held = scored.where((F.col("repeat") == repeat) & (F.col("fold") == fold))
         probs = predict(model, held, [key, "seg_idx"]).select(F.col(key).alias("track_id"), "seg_idx", F.posexplode("probs").alias("label_idx", "prob"))
         truth = ev.track_truth(held.select(F.col(key).alias("track_id"), "seg_idx", "label_idx"))
-        preds = ev.track_vote(probs).join(truth, "track_id").select("y_true", "y_pred")
-        one = ev.metrics(preds).select(F.explode(F.create_map(F.lit("acc"), "acc", F.lit("macro_f1"), "macro_f1", F.lit("balanced_acc"), "balanced_acc")).alias("metric", "value"))
-        scores = one if scores is None else scores.unionByName(one)
-    return ev.mean_ci95(scores, "value", ["metric"])
+        row = ev.metrics(ev.track_vote(probs).join(truth, "track_id").select("y_true", "y_pred")).first()
+        return row["acc"], row["macro_f1"], row["balanced_acc"]
+
+    places = [(r["repeat"], r["fold"]) for r in folds.select("repeat", "fold").distinct().orderBy("repeat", "fold").collect()]
+    with ThreadPool(parallel) as pool:
+        found = pool.map(inheritable_thread_target(df.sparkSession)(one), places)
+    rows = [(metric, float(v)) for values in found for metric, v in zip(("acc", "macro_f1", "balanced_acc"), values, strict=True)]
+    return ev.mean_ci95(df.sparkSession.createDataFrame(rows, "metric string, value double"), "value", ["metric"])
+
+
+class TrackFeatures(Stored):
+    """Frames to one vector a track, by settings that it carries. As the first stage of a model, it is stored and loaded with it, so the
+    model takes frames, and no others' features can get in."""
+
+    @classmethod
+    def by(cls, cfg: IntervalConfig) -> TrackFeatures:
+        return cls(asdict(cfg))
+
+    @property
+    def config(self) -> IntervalConfig:
+        return IntervalConfig(**self.values)
+
+    def _transform(self, frames: DataFrame) -> DataFrame:
+        tracks = frames.select("track_id").distinct()
+        return iv.track_features(frames, tracks, self.config).withColumn("features", array_to_vector("features"))
+
+
+def fit_frames(name: str, frames: DataFrame, labels: DataFrame, cfg: IntervalConfig, **options) -> PipelineModel:
+    """A model from frames, for labels(track_id, label_idx): the track vectors are computed once, and the settings stay with the model."""
+    begin = TrackFeatures.by(cfg)
+    vectors = materialize(begin.transform(frames).join(labels.select("track_id", "label_idx"), "track_id"), "track-vectors")
+    return PipelineModel([begin, fit(name, vectors, **options)])
+
+
+def predict_frames(frames: DataFrame, model: PipelineModel, labels: list[str], k: int, cfg: IntervalConfig | None = None) -> DataFrame:
+    """track_id, place, label, prob: the best k labels of each track, straight from its frames. cfg: what the caller believes the
+    settings to be; a model of others is refused."""
+    begin = model.stages[0]
+    if not isinstance(begin, TrackFeatures):
+        raise ValueError("this model takes ready features, not frames")
+    if cfg is not None and cfg.signature() != begin.config.signature():
+        raise ValueError(f"the model's settings are {begin.config.signature()}, not {cfg.signature()}")
+    ranked = F.posexplode(top_k(F.col("probs"), max(1, min(k, len(labels))))).alias("place", "_b")
+    return predict(model, frames, ["track_id"]).select("track_id", ranked).select("track_id", "place", F.get(F.lit(labels), F.col("_b.place")).alias("label"), F.col("_b.value").alias("prob"))
 
 
 def predict_series(segments: DataFrame, model: Model, labels: list[str], k: int, signature: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import draw, num
+from ..functions.scalars import draw, let, num, total
 from .manifest import hash_rank, label_index
 
 
@@ -46,6 +46,56 @@ def block_mask(values: Column, limit: int, key: Column, seed: int = 42) -> Colum
     return F.transform(values, lambda v, i: F.when((i >= start) & (i < start + width), num(0)).otherwise(v))
 
 
+# --- matrices: an array of rows (bins), each an array of values by frame -------------------------------------------
+
+
+def frames_of(matrix: Column) -> Column:
+    return F.coalesce(F.size(F.get(matrix, F.lit(0))), F.lit(0))
+
+
+def scale_matrix(matrix: Column, eps: float = 1e-6) -> Column:
+    """Each value less the mean of all of them, over their population deviation plus eps."""
+    flat = F.flatten(matrix)
+    n = F.size(flat).cast("double")
+
+    def scaled(mean: Column) -> Column:
+        spread = F.sqrt(total(F.transform(flat, lambda x: (x - mean) * (x - mean))) / n)
+        return let(spread + num(eps), lambda d: F.transform(matrix, lambda row: F.transform(row, lambda x: (x - mean) / d)))
+
+    return F.when(n > 0, let(total(flat) / n, scaled)).otherwise(matrix)
+
+
+def crop_frames(matrix: Column, start: Column, size: int) -> Column:
+    """The frames from start on, `size` of them; zeros where there are fewer."""
+    return F.transform(matrix, lambda row: crop(row, start, size))
+
+
+def attach_rows(matrix: Column, vector: Column) -> Column:
+    """The matrix with a row more for each value of the vector, which holds in all its frames."""
+    return F.concat(matrix, F.transform(vector, lambda v: F.array_repeat(v, frames_of(matrix))))
+
+
+def _block(n: Column, limit: int, key: Column, axis: str, seed: int) -> tuple[Column, Column]:
+    """A drawn start, and the end behind it, of at most `limit` of n places."""
+    width = draw(F.least(n, F.lit(limit)) + 1, key, F.lit(seed), F.lit(axis), F.lit("width"))
+    start = draw(n - width + 1, key, F.lit(seed), F.lit(axis), F.lit("start"))
+    return start, start + width
+
+
+def mask_frames(matrix: Column, limit: int, key: Column, seed: int = 42) -> Column:
+    """Zeros over a drawn block of at most `limit` frames, in all rows."""
+    start, end = _block(frames_of(matrix), limit, key, "frames", seed)
+    ends = F.struct(start.alias("a"), end.alias("b"))
+    return let(ends, lambda e: F.transform(matrix, lambda row: F.transform(row, lambda v, i: F.when((i >= e["a"]) & (i < e["b"]), num(0)).otherwise(v))))
+
+
+def mask_bins(matrix: Column, limit: int, key: Column, seed: int = 42) -> Column:
+    """Zeros over a drawn block of at most `limit` rows, in all frames."""
+    start, end = _block(F.size(matrix), limit, key, "bins", seed)
+    ends = F.struct(start.alias("a"), end.alias("b"))
+    return let(ends, lambda e: F.transform(matrix, lambda row, i: F.when((i >= e["a"]) & (i < e["b"]), F.transform(row, lambda v: num(0))).otherwise(row)))
+
+
 def balanced_sample(rows: DataFrame, key: str, seed: int = 42, label: str = "label") -> DataFrame:
     """As many draws with replacement as rows: draw -> a class by hash (all alike), a row of the class by hash.
 

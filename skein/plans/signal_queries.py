@@ -143,6 +143,41 @@ def block_mask(spark, d):
     return _signals(spark, d).select("series_id", F.posexplode(masked).alias("place", "x")).select("series_id", "place", r6("x"))
 
 
+def _matrices(spark, d):
+    """An embedding as 8 bins of 8 frames."""
+    matrix = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda b: F.slice("samples", b * 8 + 1, F.lit(8)))
+    return _signals(spark, d).select("series_id", "samples", F.col("series_id").cast("string").alias("path"), matrix.alias("matrix"))
+
+
+def _cells(rows):
+    """series_id, bin, frame_idx, x of all cells of matrix."""
+    by_bin = rows.select("series_id", F.posexplode("matrix").alias("bin", "_row"))
+    return by_bin.select("series_id", "bin", F.posexplode("_row").alias("frame_idx", "x")).select("series_id", "bin", "frame_idx", r6("x"))
+
+
+def matrix_scaled(spark, d):
+    return _cells(_matrices(spark, d).withColumn("matrix", prep.scale_matrix(F.col("matrix"))))
+
+
+def matrix_crop(spark, d):
+    """Five frames from a drawn place for training (odd ids), from the middle otherwise."""
+    rows = _matrices(spark, d).withColumn("start", prep.crop_start(prep.frames_of(F.col("matrix")), 5, F.col("path"), F.lit(0), F.col("series_id") % 2 == 1))
+    return _cells(rows.withColumn("matrix", prep.crop_frames(F.col("matrix"), F.col("start"), 5)))
+
+
+def matrix_mask_frames(spark, d):
+    return _cells(_matrices(spark, d).withColumn("matrix", prep.mask_frames(F.col("matrix"), 4, F.col("path"))))
+
+
+def matrix_mask_bins(spark, d):
+    return _cells(_matrices(spark, d).withColumn("matrix", prep.mask_bins(F.col("matrix"), 4, F.col("path"))))
+
+
+def matrix_attach_rows(spark, d):
+    """Below the bins, a row for each of the first three samples of the series."""
+    return _cells(_matrices(spark, d).withColumn("matrix", prep.attach_rows(F.col("matrix"), F.slice("samples", 1, 3))))
+
+
 def balanced_sample(spark, d):
     return prep.balanced_sample(_signals(spark, d), "series_id")
 
@@ -170,6 +205,7 @@ _MEL = _SPEC + """, t AS (SELECT 3e-1 AS low, 15 + 27 * ln(8e0) / ln(64e-1) AS h
  w8 AS (SELECT CAST(o AS INTEGER) AS o, bin, least((f - a) / (b - a), (c - f) / (c - b)) * 2 / (c - a) AS weight FROM b, (SELECT i AS bin, i * 22050 / 16e0 AS f FROM range(9) r(i))),
  mel AS (SELECT series_id, frame_idx, o, sum(weight * value) AS v FROM spec JOIN w8 USING (bin) WHERE weight > 0 GROUP BY 1, 2, 3),
  db AS (SELECT series_id, frame_idx, o, greatest(10 * log10(greatest(v, 1e-10)) - 10 * log10(greatest(max(v) OVER (PARTITION BY series_id), 1e-10)), -80) AS db FROM mel)"""
+_CELLS = _FLAT + ", cells AS (SELECT series_id, CAST(place // 8 AS INTEGER) AS bin, CAST(place % 8 AS INTEGER) AS frame_idx, x FROM flat)"
 _DRAW = lambda text, n: f"(('0x' || substr(md5({text}), 1, 8))::BIGINT % ({n}))"
 
 ORACLES = {
@@ -217,6 +253,15 @@ ORACLES = {
         WHERE k < CASE WHEN s.vec_id % 2 = 0 THEN 70 ELSE 40 END""",
     "block_mask": _FLAT + f""", w AS (SELECT *, {_DRAW("series_id || '|42|width'", "17")} AS width FROM flat), s AS (SELECT *, {_DRAW("series_id || '|42|start'", "65 - width")} AS start FROM w)
         SELECT series_id, place, round(CASE WHEN place >= start AND place < start + width THEN 0 ELSE x END, 6) AS x FROM s""",
+    "matrix_scaled": _CELLS + """ SELECT series_id, bin, frame_idx, round((x - avg(x) OVER w) / (stddev_pop(x) OVER w + 1e-6), 6) AS x FROM cells WINDOW w AS (PARTITION BY series_id)""",
+    "matrix_crop": _CELLS + f""", s AS (SELECT *, CASE WHEN series_id % 2 = 1 THEN {_DRAW("series_id || '|42|0'", "4")} ELSE 1 END AS start FROM cells)
+        SELECT series_id, bin, CAST(frame_idx - start AS INTEGER) AS frame_idx, round(x, 6) AS x FROM s WHERE frame_idx >= start AND frame_idx < start + 5""",
+    "matrix_mask_frames": _CELLS + f""", w AS (SELECT *, {_DRAW("series_id || '|42|frames|width'", "5")} AS width FROM cells), s AS (SELECT *, {_DRAW("series_id || '|42|frames|start'", "9 - width")} AS start FROM w)
+        SELECT series_id, bin, frame_idx, round(CASE WHEN frame_idx >= start AND frame_idx < start + width THEN 0 ELSE x END, 6) AS x FROM s""",
+    "matrix_mask_bins": _CELLS + f""", w AS (SELECT *, {_DRAW("series_id || '|42|bins|width'", "5")} AS width FROM cells), s AS (SELECT *, {_DRAW("series_id || '|42|bins|start'", "9 - width")} AS start FROM w)
+        SELECT series_id, bin, frame_idx, round(CASE WHEN bin >= start AND bin < start + width THEN 0 ELSE x END, 6) AS x FROM s""",
+    "matrix_attach_rows": _CELLS + """ SELECT series_id, bin, frame_idx, round(x, 6) AS x FROM cells
+        UNION ALL SELECT series_id, CAST(8 + place AS INTEGER), CAST(k AS INTEGER), round(x, 6) FROM flat, range(8) r(k) WHERE place < 3""",
     "balanced_sample": f"""WITH ranked AS (SELECT vec_id AS series_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || vec_id), vec_id) AS r FROM embeddings),
         sizes AS (SELECT label, count(*) AS n, row_number() OVER (ORDER BY label) - 1 AS c FROM embeddings GROUP BY 1),
         d AS (SELECT i AS draw, {_DRAW("i || '|42|class'", "(SELECT count(*) FROM sizes)")} AS c FROM range((SELECT count(*) FROM embeddings)) t(i)),

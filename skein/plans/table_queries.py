@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from ..functions.scalars import num
 from ..operators import evaluate as ev
 from ..operators import ledger, manifest
 from ..sources import files, stores
+from ..sources.shared import shared_dir
 from .adapters import table
 
 LANGS = ["en", "fr", "de", "es"]
@@ -112,6 +114,15 @@ def cache_hits_misses(spark, d):
     return hits.select("doc_id", F.lit("hit").alias("state")).unionByName(misses.select("doc_id", F.lit("miss").alias("state")))
 
 
+def store_lookup(spark, d):
+    """Features of all files are stored by two jobs, the first of them run twice; then all files are looked up."""
+    files = _key(_files(spark, d)).select("cache_key", F.col("size").cast("long").alias("size"), "doc_id")
+    store = stores.FeatureStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", "cache_key string, size bigint")
+    for job, keep in (("a", F.col("doc_id") % 3 == 0), ("a", F.col("doc_id") % 3 == 0), ("b", F.lit(True))):
+        store.put(files.where(keep).select("cache_key", "size"), job)
+    return store.read(files).select("cache_key", "size")
+
+
 def stable_seed(spark, d):
     return _files(spark, d).select("path", sc.stable_seed(F.col("path")).alias("seed"))
 
@@ -276,6 +287,7 @@ ORACLES = {
         SELECT dir, base || '.' || ext AS name, CASE WHEN row_number() OVER (PARTITION BY dir, lower(base) ORDER BY base || '.' || ext) = 1 THEN base ELSE base || '__' || lower(ext) || '__' || substr(md5(base || '.' || ext), 1, 6) END || '.wav' AS out FROM n""",
     "cache_key": _FILES + f" SELECT path, {_KEY} AS cache_key FROM files JOIN (SELECT doc_id, n_chars FROM documents) USING (doc_id)",
     "cache_hits_misses": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'hit' ELSE 'miss' END AS state FROM documents",
+    "store_lookup": _FILES + f" SELECT {_KEY} AS cache_key, CAST(n_chars AS BIGINT) AS size FROM files JOIN (SELECT doc_id, n_chars FROM documents) USING (doc_id)",
     "stable_seed": _FILES + " SELECT path, (('0x' || substr(md5(path), 1, 8))::BIGINT + 42) % 2147483647 AS seed FROM files",
     "ledger_status": """WITH j AS (SELECT o_orderdate AS a, max(l_shipdate) AS b, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate),
         s AS (SELECT CASE WHEN b IS NOT NULL AND b >= a AND n > 0 THEN 'skipped' ELSE 'converted' END AS status FROM j)

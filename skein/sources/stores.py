@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Model
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
@@ -39,24 +40,82 @@ def splits_rows(maps: DataFrame, column: str = "splits") -> DataFrame:
 
 
 class FeatureStore:
-    """Features by cache key, as Parquet; only what is missing is computed."""
+    """Features by content key; only what is missing is computed.
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path, schema
+    A job writes its rows to a folder of its own, parted by the first hex digits of the key's md5 and ordered by key, so a lookup only opens the
+    parts (and the row groups) that its keys can be in. They count once the job is in the log, whose latest version lists all jobs; a job
+    that fails half-way leaves nothing that is read, one that is run again replaces its folder or, if it is in the log, does nothing.
+    A version is written only if nobody wrote it before; who comes second looks again at what is stored, so no key is stored twice."""
 
-    def read(self) -> DataFrame:
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "cache_key", digits: int = 2):
+        self.spark, self.path, self.schema, self.key, self.digits = spark, path, schema, key, digits
+
+    def _part(self) -> Column:
+        return F.substring(F.md5(F.col(self.key).cast("string")), 1, self.digits)
+
+    def jobs(self) -> tuple[int, list[str]]:
+        """The log's latest version and the jobs that count."""
         try:
-            return self.spark.read.schema(self.schema).parquet(self.path)
-        except Exception as e:  # an empty store has no folder yet
+            rows = self.spark.read.schema("version long, jobs array<string>").json(f"{self.path}/log/*").orderBy(F.desc("version")).limit(1).collect()
+        except AnalysisException as e:  # an empty store has no log yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return self.spark.createDataFrame([], self.schema)
+            return 0, []
+        return (rows[0]["version"], rows[0]["jobs"]) if rows else (0, [])
 
-    def get(self, wanted: DataFrame, compute: Callable[[DataFrame], DataFrame], key: str = "cache_key") -> DataFrame:
-        """Features of wanted (with its key column); misses are computed and appended first."""
-        _, missing = hits_and_misses(wanted, self.read(), key)
-        compute(missing).write.mode("append").parquet(self.path)
-        return self.read().join(wanted.select(key).distinct(), key, "left_semi")
+    def _log(self, version: int, jobs: list[str]) -> bool:
+        """Whether this version could be written."""
+        try:
+            self.spark.createDataFrame([(version, jobs)], "version long, jobs array<string>").coalesce(1).write.mode("errorifexists").json(f"{self.path}/log/v{version:08d}")
+        except AnalysisException as e:
+            if "PATH_ALREADY_EXISTS" not in str(e):
+                raise
+            return False
+        return True
+
+    def _of(self, jobs: list[str], wanted: DataFrame | None = None) -> DataFrame:
+        if not jobs:
+            return self.spark.createDataFrame([], self.schema)
+        found = self.spark.read.schema(f"{self.schema}, _job string, _part string").option("basePath", f"{self.path}/data").parquet(*[f"{self.path}/data/_job={job}" for job in jobs])
+        if wanted is not None:  # 16 ** digits parts at most
+            found = found.where(F.col("_part").isin([r["p"] for r in wanted.select(self._part().alias("p")).distinct().collect()]))
+        return found.drop("_job", "_part")
+
+    def read(self, wanted: DataFrame | None = None) -> DataFrame:
+        """All that is stored, or the parts that hold the keys of wanted."""
+        return self._of(self.jobs()[1], wanted)
+
+    def _write(self, rows: DataFrame, job: str) -> None:
+        parted = rows.dropDuplicates([self.key]).withColumn("_part", self._part())
+        parted.repartitionByRange("_part", self.key).sortWithinPartitions("_part", self.key).write.mode("overwrite").partitionBy("_part").parquet(f"{self.path}/data/_job={job}")
+
+    def put(self, rows: DataFrame, job: str) -> None:
+        """Stores the rows whose keys aren't there yet, as one job. Rows of one key count once."""
+        while True:
+            version, jobs = self.jobs()
+            if job in jobs:
+                return
+            self._write(rows.join(self._of(jobs).select(self.key), self.key, "left_anti"), job)
+            if self._log(version + 1, [*jobs, job]):
+                return
+
+    def compact(self) -> None:
+        """One job in place of all: fewer and larger files. The old folders are left to whoever may still read them."""
+        while True:
+            version, jobs = self.jobs()
+            self._write(self._of(jobs), f"compact-{version}")
+            if self._log(version + 1, [f"compact-{version}"]):
+                return
+
+    def get(self, wanted: DataFrame, compute: Callable[[DataFrame], DataFrame], key: str | None = None) -> DataFrame:
+        """Features of wanted (with its key column); misses are computed and stored first, by a job named after their keys."""
+        if key and key != self.key:
+            raise ValueError(f"this store's key is {self.key}, not {key}")
+        _, missing = hits_and_misses(wanted, self.read(wanted), self.key)
+        n, marks = missing.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(self.key))).first()
+        if n:
+            self.put(compute(missing), f"{n}-{marks & (2**64 - 1):016x}")
+        return self.read(wanted).join(wanted.select(self.key).distinct(), self.key, "left_semi")
 
 
 def hits_and_misses(wanted: DataFrame, stored: DataFrame, key: str = "cache_key") -> tuple[DataFrame, DataFrame]:

@@ -251,3 +251,58 @@ def test_index_compares_few_pairs_on_clustered_rows(spark):
     # An upper bound of what a search compares: the second round is counted with the final reach plus all of the first round.
     pairs = index.pairs(index._visits(queries, 9, False)) + index.pairs(index._visits(reach, 9, True))
     assert pairs < 4000 * 400 / 5
+
+
+def test_fold_bank_gives_the_same_metrics(spark, rows):
+    """Means and deviations by subtraction, folds side by side, one look at the source."""
+    from pyspark.ml import Pipeline
+
+    from skein.operators import evaluate as ev
+
+    looked = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(x):
+        looked.add(1)
+        return x
+
+    source = rows.withColumn("first", seen(F.element_at("vec", 1))).select("id", "label_idx", array_to_vector(F.concat(F.array("first"), F.slice("vec", 2, 3), F.array(F.lit(7.0)))).alias("features"))
+    folds = md.folds(rows, "id", 3, repeats=2)
+    got = {r["metric"]: r for r in md.cross_validate(source, folds, lambda: md.build("lr", iterations=15), "id").collect()}
+    assert looked.value == 360
+    plain = rows.select("id", "label_idx", array_to_vector(F.concat("vec", F.array(F.lit(7.0)))).alias("features")).join(folds, "id").cache()
+    for (repeat, fold), (mean, std) in md.fold_stats(plain).items():
+        x = np.array([r["features"].toArray() for r in plain.where(f"repeat = {repeat} AND fold <> {fold}").collect()])
+        assert mean == pytest.approx(x.mean(axis=0)) and std == pytest.approx(x.std(axis=0)) and std[-1] == 0
+    values = []
+    for repeat in range(2):
+        for fold in range(3):
+            own = plain.where(f"repeat = {repeat}")
+            model = md.build("lr", iterations=15).fit(md.balanced(own.where(f"fold <> {fold}")))
+            held = md.predict(model, own.where(f"fold = {fold}"), ["label_idx"]).select(F.col("label_idx").alias("y_true"), "y_pred")
+            values.append(ev.metrics(held).first()["acc"])
+    assert got["acc"]["n"] == 6 and got["acc"]["mean"] == pytest.approx(np.mean(values), abs=0.01)
+    hook = md.cross_validate(rows.select("id", "label_idx", "features"), folds.where("repeat = 0"), lambda: Pipeline(stages=[md.Logistic("features", iterations=5)]), "id")
+    assert {r["n"] for r in hook.collect()} == {3}  # any estimator will do
+
+
+def test_prediction_from_frames(spark, tmp_path):
+    """A model that starts at frames is stored with its settings; others are refused."""
+    from skein.config import IntervalConfig
+
+    cfg = IntervalConfig(segment_length=10, segments=2)
+    rng = np.random.default_rng(1)
+    data = [(t, i, float(220 * 2 ** (rng.choice([0] if t % 2 else [1, 6, 9]) / 12)), True, float(rng.random()), 4.0, 1.0) for t in range(24) for i in range(30)]
+    frames = spark.createDataFrame(data, "track_id long, frame_idx long, f0_hz double, voiced_flag boolean, energy double, h_power double, p_power double").cache()
+    labels = spark.range(24).select(F.col("id").alias("track_id"), (F.col("id") % 2).cast("int").alias("label_idx"))
+    model = md.fit_frames("lr", frames.where("track_id < 16"), labels, cfg, iterations=10)
+    stores.save_model(model, str(tmp_path / "m"), ["even", "odd"], {"signature": cfg.signature()})
+    loaded, config = stores.load_model(spark, str(tmp_path / "m"))
+    got = md.predict_frames(frames, loaded, config["labels"], 5, cfg).collect()
+    assert loaded.stages[0].config == cfg and len(got) == 48
+    assert sum(r["label"] == ("odd" if r["track_id"] % 2 else "even") for r in got if r["place"] == 0 and r["track_id"] >= 16) >= 7
+    assert sorted(map(tuple, got)) == sorted(map(tuple, md.predict_frames(frames, model, ["even", "odd"], 2).collect()))
+    with pytest.raises(ValueError, match="settings"):
+        md.predict_frames(frames, loaded, ["even", "odd"], 1, IntervalConfig())
+    with pytest.raises(ValueError, match="ready features"):
+        md.predict_frames(frames, loaded.stages[1], ["even", "odd"], 1)

@@ -88,6 +88,24 @@ def test_prep(spark):
     assert row["a"] == [1, 2, 3, 0, 0] and row["b"] == [1, 2] and sum(v == 0 for v in row["c"]) <= 2
 
 
+def test_matrices(spark):
+    m = np.arange(1.0, 13.0).reshape(3, 4)
+    df = spark.createDataFrame([(str(k), m.tolist()) for k in range(40)] + [("empty", [])], "k string, m array<array<double>>")
+    made = df.select("k", prep.scale_matrix(F.col("m")).alias("z"), prep.crop_frames(F.col("m"), F.lit(2), 3).alias("c"), prep.attach_rows(F.col("m"), F.array(F.lit(5.0), F.lit(6.0))).alias("a"),
+                     prep.mask_frames(F.col("m"), 2, F.col("k")).alias("f"), prep.mask_bins(F.col("m"), 9, F.col("k")).alias("b")).collect()
+    frames, bins = set(), set()
+    for r in made:
+        if r["k"] == "empty":
+            assert r["z"] == r["c"] == r["f"] == r["b"] == [] and r["a"] == [[], []]
+            continue
+        assert np.array(r["z"]) == pytest.approx((m - m.mean()) / (m.std() + 1e-6)) and r["c"] == [[3, 4, 0], [7, 8, 0], [11, 12, 0]] and r["a"] == [*m.tolist(), [5.0] * 4, [6.0] * 4]
+        for got, axis, seen in ((np.array(r["f"]), 0, frames), (np.array(r["b"]), 1, bins)):
+            gone = np.flatnonzero((got == 0).all(axis=axis))
+            assert ((got == m) | (got == 0)).all() and len(gone) * m.shape[axis] == (got == 0).sum() and (len(gone) == 0 or gone[-1] - gone[0] + 1 == len(gone))
+            seen.add(len(gone))
+    assert frames == {0, 1, 2} and bins == {0, 1, 2, 3}
+
+
 def test_balanced_sample(spark):
     rows = spark.range(300).select(F.col("id"), F.when(F.col("id") < 270, "big").otherwise("small").alias("label"))
     got = {r["label"]: r["count"] for r in prep.balanced_sample(rows, "id").groupBy("label").count().collect()}

@@ -107,6 +107,48 @@ def test_feature_store(spark, tmp_path):
     assert calls == [["a"], ["bb"]]
 
 
+def files_read(df):
+    """How many files the only scan of a plan opened."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().apply("numFiles").value()
+
+
+def test_store_reads_few_files_and_keeps_keys_once(spark, tmp_path):
+    path = str(tmp_path / "s")
+    store = stores.FeatureStore(spark, path, "cache_key string, v int")
+    rows = spark.range(3000).select(F.md5(F.col("id").cast("string")).alias("cache_key"), F.col("id").cast("int").alias("v")).cache()
+    store.put(rows.where("v < 2000"), "first")
+    store.put(rows.where("v < 2000"), "first")  # again: nothing to do
+    store.put(rows.union(rows.where("v >= 2900")), "second")  # keys that are there, and keys given twice
+    assert store.jobs() == (2, ["first", "second"])
+    assert store.read().count() == 3000 == store.read().select("cache_key").distinct().count()
+    store.compact()
+    assert store.jobs() == (3, ["compact-2"]) and not store.read().exceptAll(rows).count()
+    part = F.substring(F.md5("cache_key"), 1, 2)
+    wanted = rows.where(part.isin("0a", "7f", "ff")).select("cache_key")  # about one key in a hundred
+    share = wanted.count() / 3000
+    assert 0 < share < 0.03 and files_read(store.read(wanted)) <= 2 * share * files_read(store.read())
+    assert store.get(wanted, lambda missing: 1 / 0).count() == wanted.count()
+
+
+def test_store_after_a_job_that_failed(spark, tmp_path):
+    """Rows without an entry in the log don't count; a job that comes second to a version looks again."""
+    store = stores.FeatureStore(spark, str(tmp_path / "s"), "cache_key string, v int")
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "cache_key string, v int")
+    store._write(rows, "half")
+    assert store.read().count() == 0 and store.jobs() == (0, [])
+    other, log = stores.FeatureStore(spark, str(tmp_path / "s"), store.schema), store._log
+
+    def late(version, jobs):
+        if version == 1 and other.jobs()[0] == 0:
+            other.put(rows.where("v = 1"), "other")  # comes between this job's look and its entry
+        return log(version, jobs)
+
+    store._log = late
+    store.put(rows, "half")
+    assert store.jobs() == (2, ["other", "half"]) and sorted(map(tuple, store.read().collect())) == [("a", 1), ("b", 2)]
+
+
 def test_runs(spark, tmp_path):
     flat, nested = '{"val_acc": 0.5, "val_macro_f1": 0.4}', '{"model_type": "lr", "val": {"acc": 0.7, "macro_f1": 0.6, "balanced_acc": 0.5}}'
     for run, text, whole in (("old", flat, True), ("new", nested, True), ("half", flat, False)):
