@@ -105,6 +105,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _mixed_bytes(at: np.ndarray, second: bool) -> np.ndarray:
+    """at: a byte plus 256 times its place in its word."""
+    return mix64(at * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x8CB92BA72F3D8DD7 if second else 0x2545F4914F6CDD1D))
+
+
+_BYTES = [_mixed_bytes(np.arange(64 * 256, dtype=np.uint64), second) for second in (False, True)]  # of the first 64 places
 _POWERS: list[np.ndarray] = []
 
 
@@ -150,17 +156,21 @@ class Words:
 
         Each byte is mixed with its place in the word before it is added, so no two words collide by their structure: sums of powers
         of a base would (a word of 1024 a and b in Thue-Morse order, and the same with a and b exchanged, whatever the base)."""
-        out, piece = np.zeros(len(self.starts), np.uint64), 1 << 18
-        seed = np.uint64(0x8CB92BA72F3D8DD7 if second else 0x2545F4914F6CDD1D)
+        out, piece, known = np.zeros(len(self.starts), np.uint64), 1 << 18, _BYTES[second]
         lo = 0
         while lo < len(self.starts):  # some words at a time: what is at hand stays small, whatever the block
             hi = max(lo + 1, int(np.searchsorted(self.ends, self.starts[lo] + piece, "right")))
-            begin, first = int(self.starts[lo]), self.starts[lo:hi] - self.starts[lo]
-            sizes = self.ends[lo:hi] - self.starts[lo:hi]
-            inside = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())  # bytes of words, without those between
-            place = np.arange(len(inside)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            each = mix64((self.data[begin:][inside].astype(np.uint64) + (place.astype(np.uint64) << np.uint64(8))) * np.uint64(0x9E3779B97F4A7C15) + seed)
-            out[lo:hi] = np.add.reduceat(each, np.cumsum(sizes) - sizes)
+            begin, stop = int(self.starts[lo]), int(self.ends[hi - 1])
+            kind = np.int32 if stop - begin < 1 << 22 else np.int64  # a word that is longer than a piece
+            first = (self.starts[lo:hi] - begin).astype(kind)
+            place = np.arange(stop - begin, dtype=kind) - np.repeat(first, np.diff(first, append=kind(stop - begin)))
+            at = self.data[begin:stop] | (place << 8)
+            each = known[np.minimum(at, len(known) - 1)]
+            far = np.flatnonzero(at >= len(known))
+            if len(far):
+                each[far] = _mixed_bytes(at[far].astype(np.uint64), second)
+            edges = np.stack([first, self.ends[lo:hi] - begin], axis=1).ravel()[:-1]  # words, and what lies between them
+            out[lo:hi] = np.add.reduceat(each, edges)[::2]
             lo = hi
         return mix64(out + (self.ends - self.starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 

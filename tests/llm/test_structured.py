@@ -22,7 +22,7 @@ X, Y = thue_morse(1024), thue_morse(1024, "b", "a")  # any two sums of powers of
 
 def test_word_hashes():
     rng = random.Random(1)
-    words = [X, Y, thue_morse(4096), thue_morse(4096, "b", "a"), "ab", "ba", "aab", "aba", "baa", "a" * 300_000, "a" * 300_001, *{"".join(rng.choices("ab", k=12)) for _ in range(2000)}]
+    words = [X, Y, thue_morse(4096), thue_morse(4096, "b", "a"), "ab", "ba", "aab", "aba", "baa", "a" * 300_000, "a" * 300_001, "a" * 9_000_000, "a" * 8_999_999 + "b", *{"".join(rng.choices("ab", k=12)) for _ in range(2000)}]
     text = " ".join(words).encode()
     for kinds in (SPACE_WORDS, ALNUM_WORDS):
         w = Words([text, b"", b"  ab  ba", b"x"], kinds)
