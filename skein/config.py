@@ -38,10 +38,15 @@ class IntervalConfig:
 
 @dataclass(frozen=True)
 class ModeConfig:
+    """Settings of the absolute variant; fewer than 12 bins become 12."""
+
     bins: int = 24
     cadence: float = 0.10
     min_voiced: int = 4
 
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "bins", max(12, self.bins))
+
 
 @dataclass(frozen=True)
 class SplitConfig:

@@ -70,8 +70,10 @@ def report(preds: DataFrame) -> DataFrame:
     return out.unionByName(scores.agg(*[weighted(c) for c in names], F.sum("support").alias("support")).select(F.lit("weighted avg").alias("name"), *names, "support"))
 
 
-def confusion(preds: DataFrame, labels: DataFrame) -> DataFrame:
-    """y_true, y_pred, n over all pairs of labels(label_idx)."""
+def confusion(preds: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """y_true, y_pred, n over all pairs of labels(label_idx); of those that occur, as truth or as prediction, if none are given."""
+    if labels is None:
+        labels = preds.select(F.explode(F.array("y_true", "y_pred")).alias("label_idx")).distinct()
     a, b = labels.select(F.col("label_idx").alias("y_true")), labels.select(F.col("label_idx").alias("y_pred"))
     every = a.join(b)  # labels squared
     counts = preds.groupBy("y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.config import IntervalConfig, SplitConfig
+from skein.config import IntervalConfig, ModeConfig, SplitConfig
 from skein.operators import intervals as iv
 from skein.operators import series
 
@@ -132,6 +132,7 @@ def test_nulls_and_nans_are_unvoiced(spark):
 
 
 def test_settings_are_checked():
+    assert ModeConfig(bins=7).bins == 12 and ModeConfig(bins=36).bins == 36
     for make in (lambda: IntervalConfig(cadence=0), lambda: SplitConfig(val=0.6, test=0.5)):
         with pytest.raises(ValueError):
             make()

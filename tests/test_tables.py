@@ -165,6 +165,9 @@ def test_metrics(spark):
     m = ev.metrics(df).first()
     assert (m["acc"], round(m["macro_f1"], 6), m["balanced_acc"]) == (0.5, 0.388889, 0.5)
     labels = spark.createDataFrame([(i,) for i in range(4)], "label_idx int")
+    occurring = {(r["y_true"], r["y_pred"]): r["n"] for r in ev.confusion(df).collect()}
+    names = {v for r in df.collect() for v in (r["y_true"], r["y_pred"])}
+    assert set(occurring) == {(a, b) for a in names for b in names} and sum(occurring.values()) == 4
     assert ev.confusion(df, labels).count() == 16 and ev.confusion(df, labels).agg(F.sum("n")).first()[0] == 4
 
 
