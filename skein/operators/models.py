@@ -46,17 +46,12 @@ def standard_scale(df: DataFrame, column: str = "features") -> DataFrame:
     return df.withColumn(column, F.transform(F.arrays_zip(F.col(column).alias("x"), scale[0].alias("m"), scale[1].alias("s")), lambda z: (z["x"] - z["m"]) / z["s"]))
 
 
-def variance_size(df: DataFrame, share: float = 0.95, column: str = "features") -> int:
-    """How many principal components explain that share."""
+def pca(df: DataFrame, share: float = 0.95, column: str = "features") -> PipelineModel:
+    """Keeps as many principal components of df as explain that share of its variance: one fit of all, then a slice."""
     width = df.select(F.size(vector_to_array(column))).first()[0]
-    explained = PCA(k=width, inputCol=column, outputCol="_pca").fit(df).explainedVariance.toArray()
-    return int(np.searchsorted(np.cumsum(explained), share - 1e-12) + 1)
-
-
-def pca(df: DataFrame, share: float = 0.95, column: str = "features") -> Pipeline:
-    """Stages that keep that share of the variance of df."""
-    width, k = df.select(F.size(vector_to_array(column))).first()[0], variance_size(df, share, column)
-    return Pipeline(stages=[PCA(k=width, inputCol=column, outputCol="_pca"), VectorSlicer(inputCol="_pca", outputCol=f"{column}_pca", indices=list(range(k)))])
+    whole = PCA(k=width, inputCol=column, outputCol="_pca").fit(df)
+    k = int(np.searchsorted(np.cumsum(whole.explainedVariance.toArray()), share - 1e-12) + 1)
+    return PipelineModel([whole, VectorSlicer(inputCol="_pca", outputCol=f"{column}_pca", indices=list(range(k)))])
 
 
 def balanced(df: DataFrame) -> DataFrame:
@@ -101,7 +96,7 @@ class VarianceShare(Estimator):
         self.share = share
 
     def _fit(self, df: DataFrame) -> PipelineModel:
-        return pca(df, self.share, "_scaled").fit(df)
+        return pca(df, self.share, "_scaled")
 
 
 class Logistic(Estimator):

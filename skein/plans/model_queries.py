@@ -67,9 +67,9 @@ def gbt_losses(spark, d):
 
 def pca_variance(spark, d):
     rows = _table(spark, d)
-    size = md.variance_size(rows, 0.95)
-    reduced = md.pca(rows, 0.95).fit(rows).transform(rows)
-    return reduced.select("vec_id", F.lit(size).alias("size"), F.size(md.vector_to_array("features_pca")).alias("kept"))
+    kept = md.pca(rows, 0.95)
+    reduced = kept.transform(rows)
+    return reduced.select("vec_id", F.lit(len(kept.stages[-1].getIndices())).alias("size"), F.size(md.vector_to_array("features_pca")).alias("kept"))
 
 
 def standard_scale(spark, d):

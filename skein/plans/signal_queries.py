@@ -235,6 +235,29 @@ ORACLES = {
         s AS (SELECT *, CASE WHEN sum(v) OVER w > 0 THEN v / sum(v) OVER w ELSE 0 END AS share FROM c WINDOW w AS (PARTITION BY series_id, frame_idx))
         SELECT series_id, frame_idx, CAST(o AS INTEGER) AS o, round(sum(share * CASE WHEN o > 3 THEN 5e-1 ELSE 1 END
                * CASE WHEN o % 2 = 0 THEN sin(pi() * [7e0 / 6, 15e-1, 2e0 / 3][o // 2 + 1] * c) ELSE cos(pi() * [7e0 / 6, 15e-1, 2e0 / 3][o // 2 + 1] * c) END), 5) AS value FROM s, range(6) r(o) GROUP BY 1, 2, 3""",
+    # Means and deviations of six blocks; a slope at the ends is that of the nearest frame with all its neighbours.
+    "segment_vector_v1": _MEL + """, ceps AS (SELECT series_id, frame_idx, k AS o, sum(db * cos(pi() * k * (o + 5e-1) / 8) * sqrt(CASE WHEN k = 0 THEN 1 ELSE 2 END / 8e0)) AS v FROM db, range(5) r(k) GROUP BY 1, 2, 3),
+        inner_ AS (SELECT series_id, frame_idx, o, ((lead(v, 1) OVER win - lag(v, 1) OVER win) + 2 * (lead(v, 2) OVER win - lag(v, 2) OVER win) + 3 * (lead(v, 3) OVER win - lag(v, 3) OVER win)
+                   + 4 * (lead(v, 4) OVER win - lag(v, 4) OVER win)) / 60 AS d FROM ceps WINDOW win AS (PARTITION BY series_id, o ORDER BY frame_idx)),
+        slopes AS (SELECT series_id, o, coalesce(d, last_value(d IGNORE NULLS) OVER (PARTITION BY series_id, o ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                   first_value(d IGNORE NULLS) OVER (PARTITION BY series_id, o ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS v FROM inner_),
+        notes AS (SELECT *, ((floor(12 * log2(bin * 22050 / CAST(16 AS DOUBLE) / 440) + 69 + 0.5) % 12) + 12) % 12 AS note FROM spec WHERE bin > 0),
+        chr AS (SELECT series_id, frame_idx, note, sum(value) AS v FROM notes GROUP BY 1, 2, 3),
+        chrs AS (SELECT series_id, note, CASE WHEN max(v) OVER win > 0 THEN v / max(v) OVER win ELSE 0 END AS v FROM chr WINDOW win AS (PARTITION BY series_id, frame_idx)),
+        bands AS (SELECT *, CASE WHEN bin >= 4 THEN 2 WHEN bin >= 2 THEN 1 ELSE 0 END AS band FROM spec),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY series_id, frame_idx, band ORDER BY value, bin) AS place, count(*) OVER (PARTITION BY series_id, frame_idx, band) AS n FROM bands),
+        ends AS (SELECT series_id, frame_idx, band, avg(value) FILTER (place <= greatest(1, floor(n * CAST(0.3 AS DOUBLE) + 0.5))) AS lo, avg(value) FILTER (place > n - greatest(1, floor(n * CAST(0.3 AS DOUBLE) + 0.5))) AS hi FROM ranked GROUP BY 1, 2, 3),
+        notes0 AS (SELECT *, CASE WHEN bin > 0 THEN ((floor(12 * log2(greatest(bin, 1) * 22050 / CAST(16 AS DOUBLE) / 440) + 69 + 0.5) % 12) + 12) % 12 END AS note FROM spec),
+        med AS (SELECT *, median(value) OVER (PARTITION BY series_id, bin ORDER BY frame_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS hm, median(value) OVER (PARTITION BY series_id, frame_idx ORDER BY bin ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS pm FROM notes0),
+        har AS (SELECT series_id, frame_idx, note, sum(value * CASE WHEN hm * hm + pm * pm > 0 THEN hm * hm / (hm * hm + pm * pm) ELSE 0.5 END) AS v FROM med WHERE bin > 0 GROUP BY 1, 2, 3),
+        shares AS (SELECT *, CASE WHEN sum(v) OVER win > 0 THEN v / sum(v) OVER win ELSE 0 END AS share FROM har WINDOW win AS (PARTITION BY series_id, frame_idx)),
+        circles AS (SELECT series_id, frame_idx, o, sum(share * CASE WHEN o > 3 THEN 5e-1 ELSE 1 END
+                    * CASE WHEN o % 2 = 0 THEN sin(pi() * [7e0 / 6, 15e-1, 2e0 / 3][o // 2 + 1] * note) ELSE cos(pi() * [7e0 / 6, 15e-1, 2e0 / 3][o // 2 + 1] * note) END) AS v FROM shares, range(6) r(o) GROUP BY 1, 2, 3),
+        every AS (SELECT series_id, 'mel' AS feature, o, 8 AS width, db AS x FROM db UNION ALL SELECT series_id, 'mfcc', o, 5, v FROM ceps UNION ALL SELECT series_id, 'delta', o, 5, v FROM slopes
+                  UNION ALL SELECT series_id, 'chroma', note, 12, v FROM chrs UNION ALL SELECT series_id, 'contrast', band, 3, 10 * log10(greatest(hi, 1e-10)) - 10 * log10(greatest(lo, 1e-10)) FROM ends
+                  UNION ALL SELECT series_id, 'tonnetz', o, 6, v FROM circles),
+        stats AS (SELECT series_id, feature, o, width, avg(x) AS mean, stddev_pop(x) AS std FROM every GROUP BY 1, 2, 3, 4)
+        SELECT series_id, feature, CAST(o AS INTEGER) AS idx, round(mean, 6) AS value FROM stats UNION ALL SELECT series_id, feature, CAST(o + width AS INTEGER), round(std, 6) FROM stats""",
     "yin_f0": _FLAT + """, d AS (SELECT a.series_id, b.place - a.place AS lag, sum((a.x - b.x) * (a.x - b.x)) AS d FROM flat a JOIN flat b ON a.series_id = b.series_id AND b.place - a.place BETWEEN 1 AND 24 WHERE a.place < 40 GROUP BY 1, 2),
         r AS (SELECT *, sum(d) OVER (PARTITION BY series_id ORDER BY lag) AS run FROM d),
         n AS (SELECT series_id, lag, CASE WHEN run > 0 THEN d * lag / run ELSE 1 END AS norm FROM r),
@@ -271,7 +294,7 @@ ORACLES = {
         SELECT track_id, seg_idx, label AS label_idx, CAST(i AS INTEGER) AS idx, round(CAST(CASE WHEN i < 4 THEN embedding[i + 1] ELSE own[i - 3] END AS DOUBLE), 6) AS value FROM v JOIN t USING (track_id), range(6) r(i)""",
 }
 
-ROWS_ONLY = ("segment_vector_v1",)
+ROWS_ONLY = ()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -327,7 +327,9 @@ ORACLES = {
         SELECT run, CAST(best_epoch AS INTEGER) AS best_epoch, round(best, 6) AS best, CAST(stop AS INTEGER) AS stopped_at FROM w QUALIFY row_number() OVER (PARTITION BY run ORDER BY k DESC) = 1""",
 }
 
-ROWS_ONLY = ("manifest_lifecycle",)
+ORACLES["manifest_lifecycle"] = f"""SELECT split, count(*) AS n, (SELECT count(*) FROM customer WHERE c_custkey <= 3) > 0 AS manifest_rebuilt, true AS splits_rebuilt, false AS again
+    FROM ({ORACLES["stratified_split"]}) GROUP BY split"""
+ROWS_ONLY = ()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
