@@ -232,13 +232,14 @@ def knn(train: DataFrame, queries: DataFrame, key: str, k: int = 9, **options) -
 
 
 def out_of_fold(df: DataFrame, folds: DataFrame, names: list[str], key: str, options: dict | None = None) -> DataFrame:
-    """model, key, fold, label_idx, probs: every row is scored by models that never saw its fold. folds(key, fold)."""
-    rows = df.join(folds, key)
-    out = None
+    """model, key, fold, label_idx, probs: every row is scored by models that never saw its fold. folds(key, fold).
+
+    Rows with their folds are written once, and so are the scores of each model."""
+    rows, out = materialize(df.select(key, "label_idx", "features").join(folds.select(key, "fold"), key), "oof-rows"), None
     for f in [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]:
         train, test = rows.where(F.col("fold") != f), rows.where(F.col("fold") == f)
         for name in names:
-            one = predict(fit(name, train, **(options or {}).get(name, {})), test, [key, "fold", "label_idx"]).withColumn("model", F.lit(name))
+            one = materialize(predict(fit(name, train, **(options or {}).get(name, {})), test, [key, "fold", "label_idx"]).withColumn("model", F.lit(name)), "oof")
             out = one if out is None else out.unionByName(one)
     return out.select("model", key, "fold", "label_idx", "probs")
 
