@@ -340,6 +340,55 @@ def test_markov_on_held_out_samples():
     assert caught >= 950 and wrong <= 20, (caught, wrong)
 
 
+def test_stretches_match_brute_force():
+    """Each stretch is found again as the best of what is left, when the best is taken first; parts beside it likewise."""
+
+    def brute(values, lo, hi, least):
+        spans = [(sum(values[a:b]), a - b, a, b) for a in range(lo, hi) for b in range(a + 1, hi + 1)]
+        if not spans or (top := max(spans))[0] < least:
+            return []
+        _, _, a, b = top
+        return [*brute(values, lo, a, least), (a, b), *brute(values, b, hi, least)]
+
+    rng = random.Random(4)
+    for _ in range(300):
+        values = [rng.uniform(-3, 3) for _ in range(rng.randint(0, 14))]
+        assert secret_scan._maximal(values, 2.0) == brute(values, 0, len(values), 2.0), values
+
+
+def test_planted_keys_by_length(spark):
+    """Keys planted within names, paths and dots, and beside rules' spans; precision and recall by length on whole documents."""
+    rng, own = random.Random(12), random.Random(98)
+    syllables = [a + b + c for a in ("", "b", "d", "f", "g", "k", "l", "m", "n", "p", "r", "s", "t", "v", "w") for b in "aeiou" for c in ("", "n", "r", "st")]
+    words = ["".join(rng.choices(syllables, k=rng.randint(2, 5))) for _ in range(6000)]
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    rows, where = [], {}
+    for i in range(400):
+        length = (12, 16, 20, 32, 64)[i % 5]
+        key = "".join(own.choices(alphabet, k=length))
+        before = " ".join(rng.choices(words, k=30)) + " " + ["", "path/to/", "name_of_", "token=abcdefgh;", ""][i % 7 % 5]
+        key = f"{key}.{key[::-1]}.{key}" if i % 7 == 4 else key
+        rows.append((i, f"{before}{key} {' '.join(rng.choices(words, k=30))} {'_'.join(rng.choices(words, k=4))} www.{rng.choice(words)}.com/{rng.choice(words)}"))
+        where[i] = (length, len(before), len(before) + len(key))
+    got = {r["doc_id"]: [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("markov")] for r in secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    recall = {n: np.mean([any(a <= s + 10 and e - 10 <= b for a, b in got[i]) for i, (m, s, e) in where.items() if m == n]) for n in (12, 16, 20, 32, 64)}
+    wrong = sum(not (a < e and s < b) for i, (_, s, e) in where.items() for a, b in got[i])
+    assert recall[12] >= 0.9 and all(recall[n] >= 0.97 for n in (16, 20, 32, 64)), recall
+    assert wrong <= 2, wrong  # of 400 documents with 60 words, a name and an address each
+
+
+def test_threshold_keeps_the_stated_rate():
+    """No more of the held-out samples are marked than the rate allows, and one unseen pair decides nothing."""
+    rng = random.Random(13)
+    plain = ["".join(rng.choices(["ta", "re", "con", "ment", "al", "ver"], k=8)) for _ in range(3000)]
+    samples = [*secret_scan.generated_samples(), *((w, False) for w in plain)]
+    for rate in (1e-1, 1e-3):
+        model = secret_scan.MarkovPair.train(samples, None, ["x" + w[3:] for w in plain], false_rate=rate)
+        assert sum(model.best("x" + w[3:]) >= model.min_ratio for w in plain) <= rate * len(plain) and model.min_ratio >= -np.log(rate)
+    assert secret_scan.MarkovPair.train(samples, min_ratio=3.5).min_ratio == 3.5 and model.ratio.max() < 5
+    assert list(secret_scan.outside([(0, 10), (12, 20), (30, 40)], [(2, 0, 4), (3, 1, 5), (8, 0, 31)])) == [(0, 2), (5, 8), (31, 40)]
+
+
 def test_secret_model_does_not_depend_on_partitions(docs):
     one, many = (secret_scan.sample_counts(docs.repartition(n)) for n in (1, 17))
     assert one.sum() > 0 and (one == many).all()
