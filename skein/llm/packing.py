@@ -158,7 +158,7 @@ def pack_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", ranks:
     # Bins that one group could not fill meet those of the others.
     bins = first.groupBy("_group", "_bin").agg(F.sum("_size").alias("_size"))
     loose = bins.where(F.col("_size") < size - size // 16)
-    again = _packed(loose.select(F.col("_group").alias("_g"), F.col("_bin").alias("_b"), "_size"), n // 8, size, group_size, "_g, _b", "_g int, _b long")
+    again = _packed(loose.select(F.col("_group").alias("_g"), F.col("_bin").alias("_b"), "_size"), loose.count(), size, group_size, "_g, _b", "_g int, _b long")
     again = again.select("_g", "_b", F.col("_group").alias("_to"), F.col("_bin").alias("_into"), F.col("_at").alias("_base"))
     placed = first.join(again, (F.col("_group") == F.col("_g")) & (F.col("_bin") == F.col("_b")), "left")
     shift = lambda g, b: F.shiftleft(g.cast("long"), 34) + b * 4

@@ -196,6 +196,34 @@ def test_packing(docs, rows):
     assert got["sequence_id"].nunique() <= 1.03 * math.ceil(got["length"].sum() / 64) + 2
 
 
+def test_sum_of_squares_matches_the_plain_rule():
+    """Each piece against every open gap and a new bin, the sum of squares counted anew each time."""
+    rng = np.random.default_rng(5)
+    for trial in range(40):
+        size = int(rng.choice([7, 16, 40]))
+        sizes = rng.integers(1, size, 60)
+        bins, places = packing.sum_of_squares(sizes, size)
+        order = np.lexsort((np.random.default_rng(len(sizes)).permutation(len(sizes)), np.where(sizes > size // 4, -sizes, 0)))
+        gaps: list[int] = []  # of all bins
+        for i in order.tolist():
+            need = int(sizes[i])
+
+            def cost(gap, need=need):
+                after = Counter(g for g in gaps if g)
+                after[gap] -= gap != size
+                after[gap - need] += gap > need
+                return sum(n * n for n in after.values())
+
+            found = [(cost(g), g) for g in sorted({g for g in gaps if g >= need})] + [(cost(size), size)]
+            gap = min(found)[1]
+            assert (size - places[i]) == gap, (trial, i)
+            if gap == size:
+                assert bins[i] == len(gaps)
+                gaps.append(size)
+            assert gaps[bins[i]] == gap
+            gaps[bins[i]] -= need
+
+
 def test_sum_of_squares_fits():
     sizes = np.random.default_rng(1).integers(1, 1025, 3000)
     for bins, places in (packing.sum_of_squares(sizes), packing.pack_items(sizes)):
@@ -280,6 +308,11 @@ def test_token_counts(docs, rows):
     own = token_counts.Lengths("piece_bpe_32k.model", {})
     for t in ("", " ", "  ", "a", " a ", "a  b   ", "▁x ▁", "\n a\tb", "<s> </s> <unk>", "日本 語", "a b　c"):
         assert own.count(t) == len(library.encode(t)), repr(t)
+    rng = random.Random(6)
+    odd = ["a", "Z", "é", "e\u0301", "ß", "日", "한", "👍🏽", "\u200d", "\u00a0", "\u3000", "\u2003", "\ufeff", "\x00", "\x7f", "\t", "\n", " ", "  ", "▁", "ﬁ", "½", "<s>", "</s>", "<unk>", "<0x0A>", "ing", "0", "...", "\u202e", "\U0001f1e9"]
+    for _ in range(3000):
+        t = "".join(rng.choices(odd, k=rng.randint(0, 30)))
+        assert own.count(t) == len(library.encode(t)), repr(t)
 
 
 def test_secrets(spark):
@@ -470,6 +503,15 @@ def test_sparse_weights_meet_the_optimality_conditions():
     assert set(np.flatnonzero(w)) >= {3, 5} and (np.abs(g) <= 1.05 * bound + 0.1).all()
 
 
+def test_sparse_weights_admit_as_many_terms_as_need_be():
+    rng = np.random.default_rng(10)
+    terms = [np.flatnonzero(rng.random(60) < 0.05).astype(np.int32) for _ in range(4000)]
+    y = np.array([float((t < 30).any()) for t in terms])
+    samples = toxicity.Samples(terms, y, 60)
+    (w0, w), (v0, v) = toxicity.sparse_weights(samples, step=1), toxicity.sparse_weights(samples)
+    assert set(range(30)) <= set(np.flatnonzero(w)) and np.allclose(w, v, atol=0.05) and w0 == pytest.approx(v0, abs=0.1)
+
+
 def test_warc(spark, tmp_path):
     rows = [(5, "u5", "<p>é</p>"), (3, "u\r\n3", "<p>é</p>"), (9, None, None), (2, "u2", ""), (None, "n", "lonely"), (7, "u7", "z" * 300_000), (8, "u8", "a\r\n\r\nb"), (8, "u8", "a\r\n\r\nb")]
     pages = spark.createDataFrame([(a, b, c, "e") for a, b, c in rows], "page_id long, url string, html string, record_type string")
