@@ -15,6 +15,18 @@ from ..functions.scalars import draw, num
 G = ("track_id", "seg_idx")
 
 
+#: Rows of a task where series are dealt out anew. A row grows to some kilobytes in the sorts and aggregates of what follows.
+TASK_ROWS = 100_000
+
+
+def deal(df: DataFrame, key: str, rows: int | None = None) -> DataFrame:
+    """df by series, about `rows` rows (TASK_ROWS, if not given) a task, at least a task a core. The number of tasks follows the number of rows, so a
+    task's memory doesn't; it is kept by adaptive execution, which goes by bytes as they are shuffled, compressed and before they are
+    exploded. Windows, aggregates and joins whose keys hold the series need no other exchange. Counts df, which should be a table at rest."""
+    tasks = -(-df.count() // (rows or TASK_ROWS))
+    return df.repartition(max(tasks, df.sparkSession.sparkContext.defaultParallelism), key)
+
+
 def lengths(frames: DataFrame, key: str = "track_id") -> DataFrame:
     return frames.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
 

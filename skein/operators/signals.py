@@ -187,17 +187,17 @@ def segment_vector(spectrum: DataFrame, harmonic: DataFrame, rate: int, n_fft: i
     slopes = delta(ceps, "value", ["series_id", "o"], half)
     by = W.partitionBy("series_id", "o").orderBy("frame_idx")
     filled = F.coalesce("delta", F.last("delta", True).over(by), F.first("delta", True).over(by.rowsBetween(0, W.unboundedFollowing)), num(0))
-    blocks = {
-        "mel": mels.select("series_id", "o", F.col("db").alias("x")), "mfcc": ceps.select("series_id", "o", F.col("value").alias("x")), "delta": slopes.select("series_id", "o", filled.alias("x")),
-        "chroma": chroma(spectrum, rate, n_fft).select("series_id", "o", F.col("value").alias("x")), "contrast": contrast(spectrum, edges, share).select("series_id", F.col("band").alias("o"), F.col("contrast").alias("x")),
-        "tonnetz": tonnetz(chroma(harmonic, rate, n_fft)).select("series_id", "o", F.col("value").alias("x")),
-    }
+    blocks = [
+        (mels, "o", {"mel": F.col("db")}), (slopes, "o", {"mfcc": F.col("value"), "delta": filled}), (chroma(spectrum, rate, n_fft), "o", {"chroma": F.col("value")}),
+        (contrast(spectrum, edges, share), "band", {"contrast": F.col("contrast")}), (tonnetz(chroma(harmonic, rate, n_fft)), "o", {"tonnetz": F.col("value")}),
+    ]
     width = {"mel": bands, "mfcc": coefficients, "delta": coefficients, "chroma": 12, "contrast": len(edges) + 1, "tonnetz": 6}
-    rows = None
-    for name, block in blocks.items():
-        one = block.select("series_id", F.lit(name).alias("feature"), F.col("o").cast("int").alias("o"), F.lit(width[name]).alias("_w"), "x")
-        rows = one if rows is None else rows.unionByName(one)
-    stats = summary(rows, "x", ["series_id", "feature", "o", "_w"])
+    stats = None
+    for block, o, values in blocks:  # summed up before they meet: a few rows a series instead of some for each frame
+        rows = block.select("series_id", F.col(o).cast("int").alias("o"), *[x.alias(name) for name, x in values.items()])
+        sums = rows.groupBy("series_id", "o").agg(*[F.struct(F.lit(name).alias("feature"), F.lit(width[name]).alias("_w"), F.avg(name).alias("mean"), F.stddev_pop(name).alias("std")).alias(name) for name in values])
+        one = sums.select("series_id", "o", F.explode(F.array(*values)).alias("_s")).select("series_id", "o", "_s.*")
+        stats = one if stats is None else stats.unionByName(one)
     out = stats.select("series_id", "feature", F.explode(F.array(F.struct(F.col("o").alias("idx"), F.col("mean").alias("value")), F.struct((F.col("o") + F.col("_w")).alias("idx"), F.col("std").alias("value")))).alias("e"))
     out = out.select("series_id", "feature", "e.idx", "e.value")
     return out if mode is None else out.unionByName(mode.select("series_id", "feature", F.col("idx").cast("int").alias("idx"), "value"))

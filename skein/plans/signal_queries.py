@@ -17,6 +17,9 @@ from .adapters import FRAMES_SQL, frames, table
 
 RATE, FFT, HOP, HALF = 22050, 16, 4, 2
 KEYS = sg.KEYS
+#: Signals of a task, and rows of their spectrum (13 frames of 9 bins each).
+TASK_SERIES = 1_000
+TASK_CELLS = 117 * TASK_SERIES
 
 
 def _signals(spark: SparkSession, d: str) -> DataFrame:
@@ -25,7 +28,7 @@ def _signals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _frames(spark, d):
-    return sg.frame_signal(_signals(spark, d), FFT, HOP)
+    return sg.frame_signal(series.deal(_signals(spark, d), "series_id", TASK_SERIES), FFT, HOP)
 
 
 def _spectrum(spark, d):
@@ -109,8 +112,8 @@ def tonnetz(spark, d):
 
 
 def segment_vector_v1(spark, d):
-    """Six blocks of one spectrum, which is written once together with its harmonic part."""
-    both = materialize(sg.hpss(_spectrum(spark, d), HALF).select(*KEYS, "bin", "value", "harmonic"), "spectrum")
+    """Six blocks of one spectrum, which is written once together with its harmonic part and dealt out by series again."""
+    both = series.deal(materialize(sg.hpss(_spectrum(spark, d), HALF).select(*KEYS, "bin", "value", "harmonic"), "spectrum"), "series_id", TASK_CELLS)
     spectrum, parts = both.drop("harmonic"), both.select(*KEYS, "bin", F.col("harmonic").alias("value"))
     return sg.segment_vector(spectrum, parts, RATE, FFT, [2, 4], 0.3, 8, 5).select("series_id", "feature", "idx", r6("value"))
 

@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from skein.config import IntervalConfig, ModeConfig, SplitConfig
 from skein.operators import intervals as iv
@@ -136,3 +137,30 @@ def test_settings_are_checked():
     for make in (lambda: IntervalConfig(cadence=0), lambda: SplitConfig(val=0.6, test=0.5)):
         with pytest.raises(ValueError):
             make()
+
+
+def test_tasks_follow_the_rows(spark):
+    """A series is in one task, tasks grow in number and not in rows, and adaptive execution doesn't merge them."""
+    for n in (400, 4000):
+        df = spark.range(n).select((F.col("id") % (n // 4)).alias("track_id"), "id")
+        placed = series.deal(df, "track_id", 50).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("track_id"))).withColumn("task", F.spark_partition_id())
+        tasks = placed.groupBy("task").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("n")).collect()
+        assert sum(r["rows"] for r in tasks) == n and max(r["rows"] for r in tasks) < 150 and {r["n"] for r in tasks} == {4}
+        assert placed.groupBy("track_id").agg(F.countDistinct("task").alias("t")).where("t > 1").count() == 0
+
+
+def _tasks(df):
+    rows = df.withColumn("_task", F.spark_partition_id()).collect()
+    return {tuple(r)[:-1] for r in rows}, len({r["_task"] for r in rows})
+
+
+def test_signal_tasks_follow_the_rows(spark, monkeypatch):
+    """The v1 vector is the same however its series are dealt out, and more tasks make its rows."""
+    from skein.plans import signal_queries as sq
+
+    whole, _ = _tasks(sq.segment_vector_v1(spark, "/root/testdata/sf0.001"))
+    series_ids = {r[0] for r in whole}
+    monkeypatch.setattr(sq, "TASK_SERIES", 20)
+    monkeypatch.setattr(sq, "TASK_CELLS", 117 * 20)
+    dealt, tasks = _tasks(sq.segment_vector_v1(spark, "/root/testdata/sf0.001"))
+    assert dealt == whole and tasks >= len(series_ids) / 20 * 0.8 > 4
