@@ -18,9 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as frames: a user is a track, an event a frame."""
+    """events as frames: a user is a track, an event a frame. They are dealt out by user once, which serves all that works by track."""
     order = W.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select(
+    return series.deal(table(spark, sf_dir, "events"), "user_id").select(
         F.col("user_id").alias("track_id"), (F.row_number().over(order) - 1).cast("long").alias("frame_idx"), (F.col("value") + num(55)).alias("f0_hz"),
         (F.col("event_type") != "error").alias("voiced_flag"), (((F.col("event_id") * 7919) % 1000).cast("double") / num(1000)).alias("energy"),
         F.col("value").alias("h_power"), ((F.col("event_id") * 31) % 40).cast("double").alias("p_power"),

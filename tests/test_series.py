@@ -164,3 +164,16 @@ def test_signal_tasks_follow_the_rows(spark, monkeypatch):
     monkeypatch.setattr(sq, "TASK_CELLS", 117 * 20)
     dealt, tasks = _tasks(sq.segment_vector_v1(spark, "/root/testdata/sf0.001"))
     assert dealt == whole and tasks >= len(series_ids) / 20 * 0.8 > 4
+
+
+def test_frame_tasks_follow_the_rows(spark, monkeypatch):
+    """Track vectors are the same however the tracks are dealt out, and no later exchange puts tracks together again."""
+    from skein.plans import interval_queries as iq
+
+    whole, _ = _tasks(iq.track_features(spark, "/root/testdata/sf0.001"))
+    profiles, _ = _tasks(iq.interval_profile(spark, "/root/testdata/sf0.001"))
+    monkeypatch.setattr(series, "TASK_ROWS", 20)
+    dealt, _ = _tasks(iq.track_features(spark, "/root/testdata/sf0.001"))
+    again, tasks = _tasks(iq.interval_profile(spark, "/root/testdata/sf0.001"))
+    assert dealt == whole and again == profiles
+    assert tasks > 8  # 15 tracks over 50 tasks, where 4 shuffle partitions would hold them all
