@@ -19,11 +19,13 @@ G = ("track_id", "seg_idx")
 TASK_ROWS = 100_000
 
 
-def deal(df: DataFrame, key: str, rows: int | None = None) -> DataFrame:
+def deal(df: DataFrame, key: str, rows: int | None = None, counted: DataFrame | None = None) -> DataFrame:
     """df by series, about `rows` rows (TASK_ROWS, if not given) a task, at least a task a core. The number of tasks follows the number of rows, so a
     task's memory doesn't; it is kept by adaptive execution, which goes by bytes as they are shuffled, compressed and before they are
-    exploded. Windows, aggregates and joins whose keys hold the series need no other exchange. Counts df, which should be a table at rest."""
-    tasks = -(-df.count() // (rows or TASK_ROWS))
+    exploded. Windows, aggregates and joins whose keys hold the series need no other exchange, up to the next Python function.
+
+    counted: the table at rest whose rows are meant, where df is made of it; else df is."""
+    tasks = -(-(df if counted is None else counted).count() // (rows or TASK_ROWS))
     return df.repartition(max(tasks, df.sparkSession.sparkContext.defaultParallelism), key)
 
 

@@ -17,9 +17,8 @@ from .adapters import FRAMES_SQL, frames, table
 
 RATE, FFT, HOP, HALF = 22050, 16, 4, 2
 KEYS = sg.KEYS
-#: Signals of a task, and rows of their spectrum (13 frames of 9 bins each).
+#: Signals of a task; a signal becomes 117 rows of its spectrum.
 TASK_SERIES = 1_000
-TASK_CELLS = 117 * TASK_SERIES
 
 
 def _signals(spark: SparkSession, d: str) -> DataFrame:
@@ -28,11 +27,16 @@ def _signals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _frames(spark, d):
-    return sg.frame_signal(series.deal(_signals(spark, d), "series_id", TASK_SERIES), FFT, HOP)
+    return sg.frame_signal(_signals(spark, d), FFT, HOP)
+
+
+def _dealt(spark, d, rows):
+    """What is made of the signals, TASK_SERIES of them a task."""
+    return series.deal(rows, "series_id", TASK_SERIES, _signals(spark, d))
 
 
 def _spectrum(spark, d):
-    return sg.power_spectrum(_frames(spark, d), FFT)
+    return _dealt(spark, d, sg.power_spectrum(_frames(spark, d), FFT))
 
 
 def r6(c, out=None):
@@ -107,13 +111,13 @@ def mfcc(spark, d):
 
 
 def tonnetz(spark, d):
-    parts = sg.hpss(_spectrum(spark, d), HALF).select(*KEYS, "bin", F.col("harmonic").alias("value"))
+    parts = _dealt(spark, d, sg.hpss(_spectrum(spark, d), HALF).select(*KEYS, "bin", F.col("harmonic").alias("value")))
     return sg.tonnetz(sg.chroma(parts, RATE, FFT)).select(*KEYS, "o", F.round("value", 5).alias("value"))
 
 
 def segment_vector_v1(spark, d):
     """Six blocks of one spectrum, which is written once together with its harmonic part and dealt out by series again."""
-    both = series.deal(materialize(sg.hpss(_spectrum(spark, d), HALF).select(*KEYS, "bin", "value", "harmonic"), "spectrum"), "series_id", TASK_CELLS)
+    both = _dealt(spark, d, materialize(sg.hpss(_spectrum(spark, d), HALF).select(*KEYS, "bin", "value", "harmonic"), "spectrum"))
     spectrum, parts = both.drop("harmonic"), both.select(*KEYS, "bin", F.col("harmonic").alias("value"))
     return sg.segment_vector(spectrum, parts, RATE, FFT, [2, 4], 0.3, 8, 5).select("series_id", "feature", "idx", r6("value"))
 
