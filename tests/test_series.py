@@ -161,9 +161,9 @@ def test_signal_tasks_follow_the_rows(spark, monkeypatch):
     whole, _ = _tasks(sq.segment_vector_v1(spark, "/root/testdata/sf0.001"))
     series_ids = {r[0] for r in whole}
     monkeypatch.setattr(sq, "TASK_SERIES", 20)
-    monkeypatch.setattr(sq, "TASK_CELLS", 117 * 20)
     dealt, tasks = _tasks(sq.segment_vector_v1(spark, "/root/testdata/sf0.001"))
     assert dealt == whole and tasks >= len(series_ids) / 20 * 0.8 > 4
+    assert min(_tasks(query(spark, "/root/testdata/sf0.001"))[1] for query in (sq.mfcc, sq.spectral_contrast, sq.tonnetz)) > 4
 
 
 def test_frame_tasks_follow_the_rows(spark, monkeypatch):
@@ -177,3 +177,16 @@ def test_frame_tasks_follow_the_rows(spark, monkeypatch):
     again, tasks = _tasks(iq.interval_profile(spark, "/root/testdata/sf0.001"))
     assert dealt == whole and again == profiles
     assert tasks > 8  # 15 tracks over 50 tasks, where 4 shuffle partitions would hold them all
+
+
+def test_prediction_tasks_follow_the_rows(spark, monkeypatch):
+    """Predictions from frames are the same however the tracks are dealt out, and aren't put together in a few tasks."""
+    from skein.plans import model_queries as mq
+
+    whole, _ = _tasks(mq.predict_frames(spark, "/root/testdata/sf0.001"))
+    monkeypatch.setattr(series, "TASK_ROWS", 20)
+    dealt, tasks = _tasks(mq.predict_frames(spark, "/root/testdata/sf0.001"))
+    key = lambda r: r[:2]
+    assert [r[:3] for r in sorted(dealt, key=key)] == [r[:3] for r in sorted(whole, key=key)]
+    assert [r[3] for r in sorted(dealt, key=key)] == pytest.approx([r[3] for r in sorted(whole, key=key)], abs=2e-4)
+    assert tasks > 8
