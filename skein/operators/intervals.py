@@ -229,10 +229,11 @@ def offsets(cfg: IntervalConfig) -> dict[str, int]:
     return out
 
 
-def dense(sparse: DataFrame, size: int, place: Column, keys: list[str]) -> DataFrame:
-    """keys, features: an array of `size` values, zeros where there is none."""
-    filled = sparse.where(F.col("value") != 0).withColumn("_at", place.cast("int"))
-    held = filled.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", "value"))).alias("_m"))
+def dense(sparse: DataFrame, size: int, place: Column, keys: list[str], zeros: bool = False) -> DataFrame:
+    """keys, features: an array of `size` values, zeros where there is none. zeros: keys with nothing but zeros have a row as well."""
+    filled = (sparse if zeros else sparse.where(F.col("value") != 0)).withColumn("_at", place.cast("int"))
+    entry = F.when(F.col("value") != 0, F.struct("_at", "value"))
+    held = filled.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_m"))
     after = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("_m", i - 1)["_at"] + 1)
     parts = F.flatten(F.transform("_m", lambda e, i: F.concat(F.array_repeat(num(0), e["_at"] - after(i)), F.array(e["value"]))))
     return held.select(*keys, F.concat(parts, F.array_repeat(num(0), F.lit(size) - after(F.size("_m")))).alias("features"))
@@ -263,16 +264,18 @@ def pool(features: DataFrame) -> DataFrame:
     return each.groupBy("track_id", "feature", "idx").agg((F.sum("value") / F.max("n")).alias("value"))
 
 
-def track_features(frames: DataFrame, tracks: DataFrame, cfg: IntervalConfig) -> DataFrame:
-    """track_id, features (cfg.track_size values): frames to segments to pooled vectors; a track without frames is all zeros."""
-    starts = series.even_starts(series.lengths(frames), cfg.segment_length, cfg.segments)
-    held = voiced_frames(series.cut(frames, starts, cfg.segment_length), cfg)
+def track_features(frames: DataFrame, tracks: DataFrame | None, cfg: IntervalConfig) -> DataFrame:
+    """track_id, features (cfg.track_size values): frames to segments to pooled vectors; a track without frames is all zeros, and so are
+    frames without a track. tracks: those asked for; without it, those that have frames, by one pass over them and no join."""
+    held = voiced_frames(series.cut_evenly(frames, cfg.segment_length, cfg.segments), cfg)
     pooled = pool(segment_features(held, cfg))
     at = F.when(F.col("feature") == "track", F.lit(cfg.segment_size) + F.col("idx")).otherwise(place(cfg))
-    vectors = dense(pooled, cfg.track_size, at, ["track_id"])
-    return tracks.select("track_id").join(vectors, "track_id", "left").select(
-        "track_id", F.coalesce("features", F.array_repeat(num(0), cfg.track_size)).alias("features"), F.lit(cfg.signature()).alias("cfg_sig")
-    )
+    vectors = dense(pooled, cfg.track_size, at, ["track_id"], zeros=tracks is None)
+    if tracks is None:
+        vectors = vectors.withColumn("features", F.when(F.col("track_id").isNotNull(), F.col("features")))
+    else:
+        vectors = tracks.select("track_id").join(vectors, "track_id", "left")
+    return vectors.select("track_id", F.coalesce("features", F.array_repeat(num(0), cfg.track_size)).alias("features"), F.lit(cfg.signature()).alias("cfg_sig"))
 
 
 def mode_features(frames: DataFrame, cfg: ModeConfig) -> DataFrame:

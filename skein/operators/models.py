@@ -335,14 +335,15 @@ class TrackFeatures(Stored):
         return IntervalConfig(**self.values)
 
     def _transform(self, frames: DataFrame) -> DataFrame:
-        tracks = frames.select("track_id").distinct()
-        return iv.track_features(frames, tracks, self.config).withColumn("features", array_to_vector("features"))
+        return iv.track_features(frames, None, self.config).withColumn("features", array_to_vector("features"))
 
 
 def fit_frames(name: str, frames: DataFrame, labels: DataFrame, cfg: IntervalConfig, **options) -> PipelineModel:
-    """A model from frames, for labels(track_id, label_idx): the track vectors are computed once, and the settings stay with the model."""
-    begin = TrackFeatures.by(cfg)
-    vectors = materialize(begin.transform(frames).join(labels.select("track_id", "label_idx"), "track_id"), "track-vectors")
+    """A model from frames, for labels(track_id, label_idx): the track vectors are computed once, and the settings stay with the model.
+
+    Labels are written first, so the tasks that make vectors don't hold what makes labels as well."""
+    begin, known = TrackFeatures.by(cfg), materialize(labels.select("track_id", "label_idx"), "track-labels")
+    vectors = materialize(begin.transform(frames).join(known, "track_id"), "track-vectors")
     return PipelineModel([begin, fit(name, vectors, **options)])
 
 

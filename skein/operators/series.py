@@ -33,17 +33,19 @@ def lengths(frames: DataFrame, key: str = "track_id") -> DataFrame:
     return frames.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _evenly(n: Column, length: int, segments: int) -> Column:
+    last = n - length
+    if segments <= 1:
+        return F.array(F.when(last <= 0, F.lit(0)).otherwise(F.floor(last / 2)).cast("long"))
+    spaced = F.transform(
+        F.sequence(F.lit(0), F.lit(segments - 1)), lambda i: F.when(i == segments - 1, last).otherwise(F.floor(i * (last.cast("double") / num(segments - 1)))).cast("long")
+    )
+    return F.when(last <= 0, F.array(F.lit(0).cast("long"))).otherwise(spaced)
+
+
 def even_starts(lens: DataFrame, length: int, segments: int) -> DataFrame:
     """lens(track_id, n) -> track_id, seg_idx, start: evenly spaced; one at 0 if too short, one in the middle if only one is asked for."""
-    last = F.col("n") - length
-    if segments <= 1:
-        starts = F.array(F.when(last <= 0, F.lit(0)).otherwise(F.floor(last / 2)).cast("long"))
-    else:
-        spaced = F.transform(
-            F.sequence(F.lit(0), F.lit(segments - 1)), lambda i: F.when(i == segments - 1, last).otherwise(F.floor(i * (last.cast("double") / num(segments - 1)))).cast("long")
-        )
-        starts = F.when(last <= 0, F.array(F.lit(0).cast("long"))).otherwise(spaced)
-    return lens.select("*", F.posexplode(starts).alias("seg_idx", "start"))
+    return lens.select("*", F.posexplode(_evenly(F.col("n"), length, segments)).alias("seg_idx", "start"))
 
 
 def random_starts(lens: DataFrame, length: int, segments: int, path: Column, seed: int = 42) -> DataFrame:
@@ -61,11 +63,21 @@ def cut(frames: DataFrame, starts: DataFrame, length: int, key: str = "track_id"
     return held.select(*frames.columns, F.col("_s.seg_idx").alias("seg_idx"))
 
 
+def cut_evenly(frames: DataFrame, length: int, segments: int, key: str = "track_id") -> DataFrame:
+    """As cut at even_starts, in one pass: a series is counted where its frames lie, so no second scan and no join is needed. Frames without a
+    key count as one series."""
+    starts = F.transform(_evenly(F.col("_n"), length, segments), lambda start, i: F.struct(i.alias("seg_idx"), start.alias("start")))
+    counted = frames.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(key)))
+    held = counted.withColumn("_s", F.explode(F.filter(starts, lambda s: (F.col("frame_idx") >= s["start"]) & (F.col("frame_idx") < s["start"] + length))))
+    return held.select(*frames.columns, F.col("_s.seg_idx").alias("seg_idx"))
+
+
 def run_lengths(df: DataFrame, value: str, by: tuple[str, ...] = G, order: str = "frame_idx") -> DataFrame:
     """Adds _run (which run of equal consecutive values) and _length."""
-    everything, same = W.partitionBy(*by).orderBy(order), W.partitionBy(*by, value).orderBy(order)
-    runs = df.withColumn("_run", F.row_number().over(everything) - F.row_number().over(same))
-    return runs.withColumn("_length", F.count(F.lit(1)).over(W.partitionBy(*by, value, "_run")))
+    ordered = W.partitionBy(*by).orderBy(order)
+    ends = df.withColumn("_run", (~F.col(value).eqNullSafe(F.lag(value).over(ordered))).cast("int"))
+    runs = ends.withColumn("_run", F.sum("_run").over(ordered.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return runs.withColumn("_length", F.count(F.lit(1)).over(W.partitionBy(*by, "_run")))
 
 
 def suppress_short_runs(df: DataFrame, mask: str, out: str, min_length: int, by: tuple[str, ...] = G, order: str = "frame_idx") -> DataFrame:

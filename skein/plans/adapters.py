@@ -28,9 +28,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    all_frames = frames(spark, sf_dir)
-    starts = series.even_starts(series.lengths(all_frames), CFG.segment_length, CFG.segments)
-    return series.cut(all_frames, starts, CFG.segment_length)
+    return series.cut_evenly(frames(spark, sf_dir).where("track_id IS NOT NULL"), CFG.segment_length, CFG.segments)
 
 
 FRAMES_SQL = """

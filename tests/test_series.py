@@ -190,3 +190,35 @@ def test_prediction_tasks_follow_the_rows(spark, monkeypatch):
     assert [r[:3] for r in sorted(dealt, key=key)] == [r[:3] for r in sorted(whole, key=key)]
     assert [r[3] for r in sorted(dealt, key=key)] == pytest.approx([r[3] for r in sorted(whole, key=key)], abs=2e-4)
     assert tasks > 8
+
+
+def test_track_vectors_come_from_one_pass(spark, tmp_path):
+    """All vectors of the frames' own tracks, those with nothing but zeros and frames without a track included, by one scan and no join; a
+    join put further sorts and aggregates into each task, or sent all vectors to the driver."""
+    from skein.operators.models import TrackFeatures
+
+    data = [(t, i, 220.0 + 7 * (i % (t or 5)), t != 3, (i * 37 % 100) / 100, None if t == 3 else 4.0, None if t == 3 else 1.0) for t in (1, 2, 3, None) for i in range(65)] + [(4, 0, 220.0, True, 1.0, 4.0, 1.0)]
+    made = spark.createDataFrame(data, "track_id long, frame_idx long, f0_hz double, voiced_flag boolean, energy double, h_power double, p_power double")
+    made.write.parquet(str(tmp_path / "frames"))
+    frames = spark.read.parquet(str(tmp_path / "frames"))
+    own = TrackFeatures.by(CFG).transform(frames)
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("FileScan") == 1
+    got = {r["track_id"]: list(r["features"]) for r in own.collect()}
+    asked = {r["track_id"]: r["features"] for r in iv.track_features(frames, frames.select("track_id").distinct(), CFG).collect()}
+    assert got == asked and set(got) == {1, 2, 3, 4, None} and not any(got[3]) and not any(got[None]) and any(got[4])
+
+
+def test_even_cuts_and_runs(spark):
+    """Cuts in one pass are those at even_starts; runs are those of itertools, nulls and equal values apart included."""
+    from itertools import groupby
+
+    frames = spark.createDataFrame([(t, i, [1, 1, None, None, 2, 1, 2][(i * i + t) % 7]) for t, n in ((1, 67), (2, 20), (3, 5), (4, 21)) for i in range(n)], "track_id long, frame_idx long, x int")
+    for segments in (1, 4):
+        starts = series.even_starts(series.lengths(frames), 20, segments)
+        key = lambda r: (r[0], r[3], r[1])
+        got = series.cut_evenly(frames, 20, segments)
+        assert sorted(got.collect(), key=key) == sorted(series.cut(frames, starts, 20).collect(), key=key)
+    for track in (1, 2, 3, 4):
+        rows = series.run_lengths(frames.where(f"track_id = {track}"), "x", ("track_id",)).orderBy("frame_idx").collect()
+        assert [r["_length"] for r in rows] == [n for n in (len(list(g)) for _, g in groupby(r["x"] for r in rows)) for _ in range(n)]
